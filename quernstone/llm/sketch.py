@@ -1,0 +1,81 @@
+"""Count tables of fixed size over all rows: 2**bits slots, whatever the input.
+
+Every task adds its rows into one array and sends the blocks of it that are not empty; the blocks are
+summed by streaming, and only the finished table of fixed size reaches the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BLOCK = 1 << 16
+
+
+def _send(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    blocks = counts.reshape(-1, min(BLOCK, len(counts)))
+    full = np.flatnonzero(blocks.any(axis=1))
+    for part in np.array_split(full, max(1, len(full) // 16)):
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([blocks[i].tobytes() for i in part], pa.binary())], ["block", "counts"])
+
+
+def slot_counts(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """How often each slot occurs over all rows, as uint32; `slots` gives the slots of a batch."""
+    size = 1 << bits
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.uint32)
+        for batch in batches:
+            for some in slots(batch):
+                found, n = np.unique(some, return_counts=True)
+                counts[found] += n.astype(np.uint32)
+        yield from _send(counts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.frombuffer(counts, np.uint32)
+                sums[block] = sums[block] + counts if block in sums else counts
+        for block, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    blocks = max(1, size // BLOCK)
+    merged = df.mapInArrow(add, schema).repartition(min(blocks, 16), F.col("block")).mapInArrow(merge, schema)
+    table = np.zeros((blocks, size // blocks), np.uint32)
+    for row in merged.toLocalIterator():
+        table[row.block] = np.frombuffer(row.counts, np.uint32)
+    return table.reshape(-1)
+
+
+def log_codes(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that rise with them: 0 for 0, 1 for 1, then eight steps for each doubling."""
+    codes = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8) + (counts > 0)
+    return np.minimum(codes, 255).astype(np.uint8)
+
+
+def code_values() -> np.ndarray:
+    """The count that each byte of log_codes stands for."""
+    values = 2.0 ** ((np.arange(256) - 1) / 8)
+    values[0] = 0
+    return values
+
+
+ID_BITS = 22
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit table of fixed size (512 KB) that holds at least the given ids; a first sieve before an exact semi-join."""
+    slot = ids.select(F.xxhash64(ids.columns[0]).bitwiseAND((1 << ID_BITS) - 1).cast("int").alias("slot"))
+    counts = slot_counts(slot, lambda batch: iter([batch.column("slot").to_numpy()]), ID_BITS)
+    return np.packbits(counts > 0)
+
+
+def id_slot(column: str) -> Column:
+    """The slot of an id in id_filter's table."""
+    return F.xxhash64(column).bitwiseAND((1 << ID_BITS) - 1).cast("int").alias("slot")
