@@ -108,7 +108,7 @@ SQL = {
         WHERE 2 * o >= a.n + b.n - o""",
     "p4_found": """
         WITH RECURSIVE rows AS (
-            SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), x -> x <> '') AS w
+            SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w
             FROM documents WHERE text IS NOT NULL),
         pairs AS (
             SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS p
