@@ -4,7 +4,628 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quernstone.functions import decoding as D, normalise as N
+from quernstone.operators import adaptive, conversation, corpus, egress, learning, rules as R, scoring, statistics as S, vectors
+from quernstone.plans import detect as plan
+from quernstone.plans.runtime import spread, table
+from quernstone.sources import records
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def ascii_only(text: Column) -> Column:
+    """Other characters as spaces: both regular expression dialects agree on what is left."""
+    return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
+
+
+ASCII = r"regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')"
+
+# -- sources, predicates, samples ----------------------------------------------------------------
+
+
+@query("""
+    SELECT id, source, payload->>'prompt' AS prompt, TRY_CAST(payload->>'label' AS INT) AS label, payload->>'lang' AS lang,
+           payload->>'channel' AS channel, TRY_CAST(payload->'meta'->>'tier' AS INT) AS tier
+    FROM (SELECT id, source, CASE WHEN json_valid(payload) THEN payload::JSON END AS payload FROM raw_records)
+    WHERE payload->>'prompt' IS NOT NULL""")
+def raw_fields(spark: SparkSession, d: str) -> DataFrame:
+    return records.parsed_payloads(table(spark, d, "raw_records"))
+
+
+@query("""
+    SELECT coalesce(scope, 'none') AS scope, coalesce(length(text) BETWEEN 1 AND 100000, false) AS accepted, count(*) AS n
+    FROM detect_requests GROUP BY 1, 2""")
+def request_gate(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "detect_requests")
+    return q.groupBy(F.coalesce("scope", F.lit("none")).alias("scope"), plan.acceptable(F.col("text")).alias("accepted")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, length(text) > 2000 AS truncated, md5(substr(text, 1, 2000)) AS head FROM documents")
+def truncated_texts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", N.is_truncated(text, 2000).alias("truncated"), F.md5(N.truncated(text, 2000)).alias("head"))
+
+
+@query(r"SELECT scope, regexp_full_match(text, '[\x20-\x7E]*') AS fast, count(*) AS n FROM documents GROUP BY ALL")
+def fast_path(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("scope", N.printable_ascii(F.col("text")).alias("fast")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM corpus_rows),
+    want AS (SELECT DISTINCT floor(i * n / 100)::BIGINT AS pos FROM (SELECT max(n) AS n FROM r), range(100) t(i))
+    SELECT id FROM r SEMI JOIN want USING (pos)""")
+def stride_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "corpus_rows").select("id")
+    n, k = rows.count(), 100
+    ranked = rows.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
+    want = spark.range(k).select(F.floor(F.col("id") * n / k).alias("pos")).distinct()
+    return ranked.join(F.broadcast(want), "pos", "left_semi").select("id")
+
+
+@query("SELECT id FROM corpus_rows ORDER BY md5('7:' || id), id LIMIT 50")
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "corpus_rows").orderBy(F.md5(F.concat(F.lit("7:"), "id")), "id").limit(50).select("id")
+
+
+@query("""
+    SELECT id, ts, verdict FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS k FROM decision_log) WHERE k = 1
+    ORDER BY ts DESC, id DESC LIMIT 100""")
+def recent_decisions(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "decision_log").groupBy("id").agg(F.min_by(F.struct("ts", "verdict"), "ts").alias("r"))
+    return once.select("id", "r.*").orderBy(F.desc("ts"), F.desc("id")).limit(100)
+
+
+@query("""
+    SELECT conversation_id, arg_max(text, (logged_at, request_id)) AS last_text FROM detect_requests
+    WHERE conversation_id IS NOT NULL AND text IS NOT NULL GROUP BY 1""")
+def last_messages(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "detect_requests").where("conversation_id IS NOT NULL AND text IS NOT NULL")
+    return q.groupBy("conversation_id").agg(F.max_by("text", F.struct("logged_at", "request_id")).alias("last_text"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`\n]*`', ' ', 'g')) AS rest FROM documents""")
+def without_code(spark: SparkSession, d: str) -> DataFrame:
+    rest = F.regexp_replace(F.regexp_replace("text", "(?s)```.*?```", " "), r"`[^`\n]*`", " ")
+    return table(spark, d, "documents").select("doc_id", F.md5(rest).alias("rest"))
+
+
+# -- normalisation and decoding ------------------------------------------------------------------
+
+
+@query(f"""
+    SELECT request_id, logged_at, length(text) - length(translate(text, '{N.ZERO_WIDTH}', '')) AS zero_width,
+           length(text) - length(translate(text, '{N.BIDI}', '')) AS bidi,
+           md5(translate(translate(text, '{N.ZERO_WIDTH}{N.BIDI}', ''), {_sql_text(N.CONFUSABLE_FROM)}, {_sql_text(N.CONFUSABLE_TO)})) AS folded,
+           md5(translate(text, {_sql_text(N.LEET_FROM)}, {_sql_text(N.LEET_TO)})) AS leet
+    FROM detect_requests""")
+def folded_characters(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    bare = N.strip_bidi(N.strip_zero_width(text))
+    return table(spark, d, "detect_requests").select("request_id", "logged_at", N.removed_count(text, N.ZERO_WIDTH).alias("zero_width"), N.removed_count(text, N.BIDI).alias("bidi"), F.md5(N.fold_confusables(bare)).alias("folded"), F.md5(N.fold_leet(text)).alias("leet"))
+
+
+@query(f"""
+    SELECT doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), {sorted(D.WORDS)})) AS words FROM documents""")
+def english_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", D.english_score(F.col("text")).alias("words"))
+
+
+@query(r"""
+    WITH b AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{16,}={0,2}')) AS blob FROM documents)
+    SELECT doc_id, count(*) AS blobs, md5(string_agg(hex(from_base64(substr(blob, 1, (length(blob) // 4 * 4)::INT))), ',' ORDER BY blob)) AS content
+    FROM b WHERE NOT contains(blob, '=') GROUP BY doc_id""")
+def base64_passages(spark: SparkSession, d: str) -> DataFrame:
+    blob = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(D.BASE64), F.lit(0))).alias("blob")).where(~F.contains("blob", F.lit("=")))
+    whole = F.substring(F.col("blob"), F.lit(1), (F.floor(F.length("blob") / 4) * 4).cast("int"))
+    raw = F.hex(F.unbase64(whole))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("blob", raw.alias("raw")))), lambda x: x["raw"])
+    return blob.groupBy("doc_id").agg(F.count("*").alias("blobs"), F.md5(F.array_join(parts, ",")).alias("content"))
+
+
+@query()
+def normalised_views(spark: SparkSession, d: str) -> DataFrame:
+    report = N.normalise(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    return N.views(report, "doc_id").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"), F.max("depth").alias("depth"))
+
+
+@query()
+def obfuscation_scores(spark: SparkSession, d: str) -> DataFrame:
+    report = N.normalise(spread(table(spark, d, "detect_requests").select("request_id", "text")), "text")
+    return report.select("request_id", F.round("l0.score", 6).alias("score"), "l0.zero_width", "l0.bidi", "l0.nfkc", "l0.confusable", "l0.max_depth", "l0.capped")
+
+
+@query()
+def shifted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Index entries written backwards by 13 letters, found and turned again."""
+    rows = table(spark, d, "index_entries").select("id", F.translate("text", *D.shifted(13)).alias("text"))
+    return rows.select("id", D.best_shift(F.col("text")).alias("x")).where("x IS NOT NULL").select("id", "x.n", "x.score", "x.text")
+
+
+# -- rules ---------------------------------------------------------------------------------------
+
+_RULES = R.shipped_rules()
+_SCOPE_OK = lambda r: "scope IN (" + ", ".join(f"'{s}'" for s in r.scope) + ")"
+_CANONICAL = [r for r in _RULES if "canonical" in r.views]
+_MATCH_SQL = f"""
+    WITH t AS MATERIALIZED (SELECT doc_id, coalesce(scope, 'user') AS scope, {ASCII} AS t FROM documents WHERE text IS NOT NULL),
+    m AS (""" + " UNION ALL ".join(f"SELECT doc_id AS id, '{r.id}' AS rule, {r.weight} AS weight, {list(r.labels)} AS labels FROM t WHERE {_SCOPE_OK(r)} AND {R.sql_condition('t', r.match)}" for r in _CANONICAL) + ")"
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.coalesce("scope", F.lit("user")).alias("scope"), ascii_only(F.col("text")).alias("text")))
+    return R.scan_texts(docs, _RULES, "doc_id", "text", F.col("scope"))
+
+
+@query(_MATCH_SQL + " SELECT id, rule, weight::DOUBLE AS weight FROM m")
+def rule_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("id", "rule", "weight")
+
+
+@query(_MATCH_SQL + """
+    SELECT id, round(1 - product(1 - least(weight, 0.999)::DOUBLE), 6) AS score, list_sort(list_distinct(flatten(list(labels)))) AS labels FROM m GROUP BY id""")
+def rule_scores(spark: SparkSession, d: str) -> DataFrame:
+    per = _matches(spark, d).groupBy("id").agg(F.collect_list("weight").alias("w"), F.collect_list("labels").alias("l"))
+    return per.select("id", R.noisy_or(F.col("w")).alias("score"), R.label_set(F.col("l")).alias("labels"))
+
+
+@query(_MATCH_SQL + " SELECT rule, count(*) AS n FROM m GROUP BY rule")
+def rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+# -- fusion and policy ---------------------------------------------------------------------------
+
+_W = plan.WEIGHTS
+_LAYERS = "SELECT id, ts, coalesce(score, 0) AS l0, length(text_preview) / 200.0 AS l1, coalesce(score, 0) * 0.5 AS l2, least(latency_ms / 100, 1) AS knn FROM decision_log WHERE text_preview IS NOT NULL"
+
+
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "decision_log").where("text_preview IS NOT NULL")
+    return log.select("id", "ts", F.coalesce("score", F.lit(0.0)).alias("l0"), (F.length("text_preview") / 200.0).alias("l1"), (F.coalesce("score", F.lit(0.0)) * 0.5).alias("l2"), F.least(F.col("latency_ms") / 100, F.lit(1.0)).alias("knn"))
+
+
+@query(f"""
+    SELECT id, round(1 / (1 + exp(-({_W.intercept} + {' + '.join(f'{c} * {w}' for c, w in _W.coefficients.items())}))), 6) AS fused,
+           greatest(l0, l1, l2, knn)::DOUBLE AS strongest,
+           CASE greatest(l0, l1, l2, knn) WHEN l0 THEN 'l0' WHEN l1 THEN 'l1' WHEN l2 THEN 'l2' ELSE 'knn' END AS driver
+    FROM ({_LAYERS})""")
+def fused_scores(spark: SparkSession, d: str) -> DataFrame:
+    best = scoring.strongest()
+    return _layers(spark, d).select("id", F.round(scoring.fuse(_W), 6).alias("fused"), best["value"].alias("strongest"), best["driver"].alias("driver"))
+
+
+_RANK = "CASE WHEN score >= {b} THEN 'block' WHEN score >= {c} THEN 'challenge' WHEN score >= {s} THEN 'sanitise' WHEN score >= {f} THEN 'flag' ELSE 'allow' END"
+
+
+@query(f"SELECT lower(verdict) AS logged, {_RANK.format(b=0.8, c=0.6, s=0.4, f=0.2)} AS decided, count(*) AS n FROM decision_log WHERE score IS NOT NULL GROUP BY 1, 2")
+def policy_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "decision_log").where("score IS NOT NULL").withColumn("logged", F.lower("verdict"))
+    return scoring.decide(log, "score").groupBy("logged", F.col("verdict").alias("decided")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    SELECT source, CASE source WHEN 'detect' THEN {_RANK.format(b=0.5, c=0.3, s=0.2, f=0.1)} ELSE {_RANK.format(b=0.8, c=0.6, s=0.4, f=0.2)} END AS decided, count(*) AS n
+    FROM decision_log WHERE score IS NOT NULL GROUP BY 1, 2""")
+def route_policies(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([("detect", 0.1, 0.2, 0.3, 0.5)], "key string, flag double, sanitise double, challenge double, block double")
+    log = table(spark, d, "decision_log").where("score IS NOT NULL").select("source", "score")
+    return scoring.decide_by(log, "score", "source", own).groupBy("source", F.col("verdict").alias("decided")).agg(F.count("*").alias("n"))
+
+
+# -- conversations -------------------------------------------------------------------------------
+
+_TURNS = """
+    q AS (SELECT request_id, conversation_id AS key, epoch_us(received_at) / 1e6 AS ts FROM
+        (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY logged_at) AS k FROM detect_requests) WHERE k = 1 AND conversation_id IS NOT NULL),
+    l AS (SELECT request_id, score, lower(verdict) AS verdict, taxonomy_labels FROM
+        (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, id) AS k FROM decision_log) WHERE k = 1),
+    t AS (SELECT key, ts, q.request_id AS ord, coalesce(score, 0) AS score,
+                 coalesce(list_position(['allow', 'flag', 'sanitise', 'challenge', 'block'], verdict) - 1, 0)::INT AS verdict, coalesce(taxonomy_labels, []) AS labels
+          FROM q LEFT JOIN l USING (request_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, ord) AS session
+          FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY key ORDER BY ts, ord) >= 1800 THEN 1 ELSE 0 END AS new FROM t))"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "detect_requests").groupBy("request_id").agg(F.min_by(F.struct("conversation_id", "received_at"), "logged_at").alias("q"))
+    q = q.select("request_id", F.col("q.conversation_id").alias("key"), (F.unix_micros(F.col("q.received_at").cast("timestamp")) / 1e6).alias("ts")).where("key IS NOT NULL")
+    log = table(spark, d, "decision_log").groupBy("request_id").agg(F.min_by(F.struct("score", "verdict", "taxonomy_labels"), F.struct("ts", "id")).alias("l"))
+    joined = q.join(log, "request_id", "left")
+    return joined.select("key", "ts", F.col("request_id").alias("ord"), F.col("l.score").alias("score"), scoring.verdict_of(F.col("l.verdict")).alias("verdict"), F.col("l.taxonomy_labels").alias("labels"))
+
+
+@query("WITH " + _TURNS + " SELECT key, session::INT AS session, count(*) AS turns FROM s GROUP BY 1, 2")
+def conversation_sessions(spark: SparkSession, d: str) -> DataFrame:
+    cut = conversation.sessions(_turns(spark, d), "key", "ts", "ord")
+    return cut.groupBy("key", "session").agg(F.count("*").alias("turns"))
+
+
+_ESCALATION = str(list(conversation.ESCALATION))
+_CLIMB = "len(list_filter(range(1, len(scores) - 1), lambda i: len(list_filter(range(i + 2, len(scores) + 1), lambda j: scores[j] - scores[i] >= 0.15 AND len(list_filter(range(i + 1, j + 1), lambda k: scores[k] <= scores[k - 1])) = 0)) > 0)) > 0"
+
+
+@query("WITH RECURSIVE " + _TURNS + f""",
+    n AS (SELECT *, row_number() OVER (PARTITION BY key, session ORDER BY ts, ord) AS turn FROM s),
+    walk AS (
+        SELECT key, session, turn, ts, ord, verdict, greatest(0, score - 0.05)::DOUBLE AS risk, [score] AS scores, labels, false AS had, false AS drift FROM n WHERE turn = 1
+        UNION ALL
+        SELECT n.key, n.session, n.turn, n.ts, n.ord, n.verdict, w.risk * pow(0.5, greatest(0, n.ts - w.ts) / 300) + greatest(0, n.score - 0.05),
+               list_append(w.scores, n.score)[-8:], list_distinct(list_concat(w.labels, n.labels)), list_contains(w.labels, 'role_play_jailbreak'),
+               list_contains(w.labels, 'role_play_jailbreak') AND list_has_any(n.labels, {_ESCALATION})
+        FROM walk w JOIN n ON n.key = w.key AND n.session = w.session AND n.turn = w.turn + 1),
+    f AS (SELECT *, CASE WHEN drift OR risk >= 0.6 THEN 3 WHEN had OR list_contains(labels, 'role_play_jailbreak') OR {_CLIMB} THEN 2 WHEN risk >= 0.15 THEN 1 ELSE 0 END AS st FROM walk)
+    SELECT key, ord, turn::INT AS turn, round(risk, 6) AS risk, st AS state, greatest(verdict, CASE st WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 0 END) AS floored FROM f""")
+def conversation_risk(spark: SparkSession, d: str) -> DataFrame:
+    out = conversation.follow(_turns(spark, d), "key", "ts", "ord", "score", "verdict", "labels")
+    return out.select("key", "ord", "turn", F.round("risk", 6).alias("risk"), "state", "floored")
+
+
+# -- outgoing text -------------------------------------------------------------------------------
+
+
+@query("SELECT id, ts, round(coalesce(list_entropy(string_split(text_preview, '')), 0), 6) AS bits FROM decision_log WHERE text_preview <> ''")
+def preview_entropy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "decision_log").where("text_preview <> ''").select("id", "ts", F.round(egress.entropy(F.col("text_preview")), 6).alias("bits"))
+
+
+_COUNTS = " UNION ALL ".join(f"SELECT '{rule}' AS rule, sum(len(regexp_extract_all(t, {_sql_text(p)})))::BIGINT AS n FROM t" for rule, p in (*egress.SECRETS, ("fabricated-tool-call", egress.TOOL_CALL)))
+
+
+@query(f"""
+    WITH t AS (SELECT {ASCII} AS t FROM documents WHERE text IS NOT NULL), c AS ({_COUNTS} UNION ALL
+        SELECT 'high-entropy', sum(len(list_filter(regexp_extract_all(t, {_sql_text(egress.OPAQUE)}), lambda x: list_entropy(string_split(x, '')) >= 4.0)))::BIGINT FROM t UNION ALL
+        SELECT 'markdown-image-exfil', sum(len(list_filter(regexp_extract_all(t, {_sql_text(egress.IMAGE)}, 1), lambda u: len(list_filter(regexp_extract_all(u, {_sql_text(egress.QUERY_VALUE)}, 1), lambda v: length(v) >= 16 AND list_entropy(string_split(v, '')) >= 3.5)) > 0)))::BIGINT FROM t)
+    SELECT rule, n FROM c WHERE n > 0""")
+def egress_findings(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").where("text IS NOT NULL").select(ascii_only(F.col("text")).alias("text")))
+    return egress.inspect(docs, "text").select(F.explode("findings").alias("f")).groupBy(F.col("f.rule").alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query()
+def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
+    out = egress.inspect(spread(table(spark, d, "documents").select("doc_id", "text")), "text")
+    return out.where(F.size("findings") > 0).select("doc_id", F.size("findings").alias("findings"), "redacted")
+
+
+@query("SELECT DISTINCT request_id, 'QUERN-CANARY-' || substr(sha256('key' || request_id), 1, 32) AS canary FROM detect_requests")
+def canaries(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "detect_requests").select("request_id", egress.canary("key", F.col("request_id")).alias("canary")).distinct()
+
+
+@query("""
+    SELECT request_id, logged_at, CASE WHEN length(text) <= 8 THEN repeat('*', length(text)) ELSE substr(text, 1, 4) || repeat('*', length(text) - 8) || right(text, 4) END AS preview
+    FROM detect_requests WHERE text IS NOT NULL""")
+def masked_previews(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "detect_requests").where("text IS NOT NULL").select("request_id", "logged_at", egress.mask_preview(F.col("text")).alias("preview"))
+
+
+# -- vectors -------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT query_id, id, round(similarity, 6) AS similarity, rank FROM (
+        SELECT q.vec_id AS query_id, e.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS similarity,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank
+        FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 5""")
+def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.neighbours(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("""
+    SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[]), 6) AS similarity FROM embeddings""")
+def turn_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.consecutive_similarity("embedding", "label", "vec_id"), 6).alias("similarity"))
+
+
+# -- corpus --------------------------------------------------------------------------------------
+
+_SHINGLES = r"""
+    w AS (SELECT id, regexp_extract_all(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[a-z0-9]+') AS w FROM corpus_rows WHERE text IS NOT NULL),
+    sh AS (SELECT id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                          WHEN len(w) = 0 THEN ['<empty>'] ELSE [array_to_string(w, ' ')] END AS s FROM w)"""
+
+
+@query("WITH " + _SHINGLES + " SELECT id, len(s)::INT AS shingles FROM sh")
+def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "corpus_rows").where("text IS NOT NULL").select("id", F.size(corpus.shingles(F.col("text"))).alias("shingles"))
+
+
+_DRAW = "('0x' || substr(md5(c || ':' || d || ':{k}'), 1, 8))::UBIGINT::BIGINT"
+
+
+@query("WITH RECURSIVE " + _SHINGLES + f""",
+    e AS (SELECT id, unnest(s) AS x FROM sh), z AS (SELECT id, len(s) AS n FROM sh),
+    o AS (SELECT a.id AS a, b.id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+    p AS (SELECT o.a, o.b FROM o JOIN z x ON x.id = o.a JOIN z y ON y.id = o.b WHERE o.o / (x.n + y.n - o.o) >= 0.5),
+    g AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    walk(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, w.root FROM walk w JOIN g ON g.a = w.node WHERE w.root < g.b),
+    k AS (SELECT node AS id, min(root) AS c FROM walk GROUP BY node),
+    m AS (SELECT id, c, row_number() OVER (PARTITION BY c ORDER BY id) AS pos, count(*) OVER (PARTITION BY c) AS n FROM k),
+    drawn AS (
+        SELECT a.c, a.id AS a, b.id AS b FROM m a JOIN m b ON a.c = b.c AND a.pos < b.pos WHERE a.n <= 12
+        UNION ALL
+        SELECT x.c, a.id, b.id FROM (SELECT c, n, d, {_DRAW.format(k=0)} % n AS i, {_DRAW.format(k=1)} AS r FROM (SELECT c, n FROM m WHERE pos = 1 AND n > 12), range(1, 41) t(d)) x
+        JOIN m a ON a.c = x.c AND a.pos = x.i + 1 JOIN m b ON b.c = x.c AND b.pos = (x.i + 1 + x.r % (x.n - 1)) % x.n + 1),
+    ok AS (SELECT c FROM (SELECT d.c, len(list_intersect(x.s, y.s)) AS o, len(x.s) + len(y.s) AS t FROM drawn d JOIN sh x ON x.id = d.a JOIN sh y ON y.id = d.b) GROUP BY c HAVING avg(o / (t - o)) >= 0.5),
+    f AS (SELECT r.id, coalesce(k.c, r.id) AS first FROM corpus_rows r LEFT JOIN (SELECT * FROM k SEMI JOIN ok USING (c)) k USING (id))
+    SELECT id, (dense_rank() OVER (ORDER BY first) - 1)::INT AS cluster FROM f""")
+def similarity_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.clusters(table(spark, d, "corpus_rows"), "id", "text")
+
+
+_BACKBONE = "gateway-capture-main"
+_ASSIGNED = f"""
+    a AS (SELECT id, source, family AS cluster, CASE WHEN source = 'hard_negatives' THEN 'hard_negatives_eval'
+        WHEN source = '{_BACKBONE}' THEN CASE WHEN source_split IN ('train', 'validation', 'test') THEN source_split ELSE 'test' END ELSE 'cross_source_eval' END AS partition,
+        text, label, source_split, license, tier FROM corpus_rows),
+    r AS (SELECT *, cluster IS NULL OR row_number() OVER (PARTITION BY cluster ORDER BY list_position({list(corpus.PARTITIONS)}, partition), id) = 1 AS kept FROM a)"""
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "corpus_rows")
+    return rows.withColumn("partition", corpus.target_partition(F.col("source"), F.col("source_split"), _BACKBONE)).withColumn("cluster", F.col("family"))
+
+
+@query("WITH " + _ASSIGNED + " SELECT id, partition, kept FROM r")
+def remediated_rows(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.remediate(_assigned(spark, d)).select("id", "partition", "kept")
+
+
+@query("WITH " + _ASSIGNED + """, p AS (SELECT cluster, count(*) AS n, count(DISTINCT partition) AS parts FROM a WHERE cluster IS NOT NULL GROUP BY 1)
+    SELECT count_if(parts > 1)::BIGINT AS cross_split_clusters_remediated, count_if(parts = 1 AND n > 1)::BIGINT AS within_split_duplicates_collapsed, sum(n - 1)::BIGINT AS dropped FROM p""")
+def split_findings(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.findings(_assigned(spark, d))
+
+
+@query("WITH " + _ASSIGNED + " SELECT partition, source, count(*) AS n FROM r WHERE kept GROUP BY 1, 2")
+def partition_sources(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.remediate(_assigned(spark, d)).where("kept").groupBy("partition", "source").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + _ASSIGNED + " SELECT cluster, count(DISTINCT partition) AS partitions, count(*) AS rows FROM a WHERE cluster IS NOT NULL GROUP BY 1 HAVING count(DISTINCT partition) > 1")
+def leaking_families(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.leaking_clusters(_assigned(spark, d))
+
+
+@query("""
+    WITH r AS (SELECT coalesce(family, id) AS cluster, row_number() OVER (ORDER BY md5('0:' || id), id) - 1 AS r, count(*) OVER () AS n FROM corpus_rows),
+    c AS (SELECT *, floor(n * 0.8) AS x, floor(n * 0.8) + floor(n * 0.1) AS y FROM r)
+    SELECT round(avg(CASE WHEN cluster IN (SELECT cluster FROM c WHERE r < x) THEN 1.0 ELSE 0 END), 6) AS leakage FROM c WHERE r >= y""")
+def naive_split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.naive_leakage(table(spark, d, "corpus_rows").select("id", F.coalesce("family", "id").alias("cluster")))
+
+
+_LINE = "concat_ws(chr(31), " + ", ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in ("id", "text", "label", "source", "source_split", "license", "tier")) + ")"
+
+
+@query("WITH " + _ASSIGNED + f""",
+    h AS (SELECT partition, sha256({_LINE}) AS h FROM r WHERE kept),
+    b AS (SELECT partition, ('0x' || substr(h, 1, 8))::UBIGINT % 64 AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY 1, 2),
+    s AS (SELECT partition, sha256(string_agg(h, chr(10) ORDER BY h)) AS sha256 FROM b GROUP BY 1)
+    SELECT partition, count(*) AS row_count, list_sort(list(DISTINCT license) FILTER (license IS NOT NULL)) AS licenses, list_sort(list(DISTINCT tier) FILTER (tier IS NOT NULL)) AS tiers, any_value(sha256) AS sha256
+    FROM r JOIN s USING (partition) WHERE kept GROUP BY partition""")
+def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.manifest(corpus.remediate(_assigned(spark, d)).where("kept")).select("partition", "row_count", "licenses", "tiers", "sha256")
+
+
+# -- evaluation ----------------------------------------------------------------------------------
+
+_SCORED = "s AS (SELECT doc_id AS id, label, (length(text) % 97) / 97.0::DOUBLE AS score FROM documents WHERE label IS NOT NULL AND text IS NOT NULL)"
+_CURVE = _SCORED + """,
+    g AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS n FROM s GROUP BY 1),
+    c AS (SELECT score, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS pos, sum(n) OVER () AS neg FROM g WINDOW w AS (ORDER BY score DESC))"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("label IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "label", (F.length("text") % 97 / 97.0).alias("score"))
+
+
+@query("WITH " + _CURVE + " SELECT round(score, 9) AS score, tp::BIGINT AS tp, fp::BIGINT AS fp FROM c")
+def roc_points(spark: SparkSession, d: str) -> DataFrame:
+    return S.curve(_scored(spark, d)).select(F.round("score", 9).alias("score"), "tp", "fp")
+
+
+@query("WITH " + _CURVE + " SELECT coalesce(max(CASE WHEN fp / neg <= 0.1 THEN tp / pos END), 0) AS tpr FROM c")
+def tpr_at_fpr(spark: SparkSession, d: str) -> DataFrame:
+    return S.tpr_at_fpr(_scored(spark, d), 0.1)
+
+
+@query("WITH " + _CURVE + " SELECT round(sum(p / pos * tp / (tp + fp)), 9) AS average_precision FROM c")
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    return S.average_precision(_scored(spark, d)).select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query()
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    return S.bootstrap_tpr(spread(_scored(spark, d)), 0.1, 200)
+
+
+@query("WITH " + _SCORED + """, x AS (SELECT threshold, count_if(score >= threshold AND label = 1) AS tp, count_if(score >= threshold AND label <> 1) AS fp,
+        count_if(score < threshold AND label <> 1) AS tn, count_if(score < threshold AND label = 1) AS fn FROM s, (VALUES (0.25), (0.5), (0.75), (2.0)) v(threshold) GROUP BY 1)
+    SELECT threshold::DOUBLE AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+           coalesce(fp / nullif(fp + tn, 0), 0) AS fpr, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0) AS accuracy FROM x""")
+def confusion_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return S.sweep(_scored(spark, d), [0.25, 0.5, 0.75, 2.0])
+
+
+@query("WITH " + _SCORED + """, e AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM s)
+    SELECT len(list_filter(e, lambda x: x <= score))::INT AS bin, count(*) AS n, round(avg(score), 9) AS predicted, round(avg(label), 9) AS observed FROM s, e GROUP BY 1""")
+def reliability_bins(spark: SparkSession, d: str) -> DataFrame:
+    return S.reliability(_scored(spark, d)).select("bin", "n", F.round("predicted", 9).alias("predicted"), F.round("observed", 9).alias("observed"))
+
+
+@query("WITH " + _SCORED + " SELECT round(avg(pow(score - label, 2)), 9) AS brier FROM s")
+def brier_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).agg(F.round(S.brier(F.col("label"), F.col("score")), 9).alias("brier"))
+
+
+_SORTED = "l AS (SELECT list_sort(list(latency_ms)) AS v, count(*) AS n FROM decision_log WHERE latency_ms IS NOT NULL)"
+
+
+@query("SELECT round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99 FROM decision_log")
+def latency_linear(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "decision_log").agg(S.percentiles_linear(F.col("latency_ms")).alias("p"))
+    return p.select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+
+
+@query("WITH " + _SORTED + " SELECT v[floor(n * 0.5)::INT + 1] AS p50, v[floor(n * 0.95)::INT + 1] AS p95, v[least(floor(n * 0.99), n - 1)::INT + 1] AS p99, n FROM l")
+def latency_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return S.percentiles_truncated(table(spark, d, "decision_log"), "latency_ms")
+
+
+@query("WITH " + _SORTED + " SELECT v[round_even((n - 1) * 0.5, 0)::INT + 1] AS p50, v[round_even((n - 1) * 0.95, 0)::INT + 1] AS p95, v[round_even((n - 1) * 0.99, 0)::INT + 1] AS p99, n FROM l")
+def latency_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return S.percentiles_nearest(table(spark, d, "decision_log"), "latency_ms")
+
+
+@query("""
+    WITH e AS (SELECT min(latency_ms) AS lo, max(latency_ms) AS hi FROM decision_log)
+    SELECT least(floor((latency_ms - lo) / (hi - lo) * 30), 29)::INT AS bin, count(*) AS count FROM decision_log, e WHERE latency_ms IS NOT NULL GROUP BY 1""")
+def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return S.histogram(table(spark, d, "decision_log"), "latency_ms")
+
+
+@query()
+def latency_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    return S.diagnose(table(spark, d, "decision_log"), "latency_ms", "ts")
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT unnest(taxonomy_labels) AS label FROM decision_log) GROUP BY 1 ORDER BY n DESC, label LIMIT 8")
+def taxonomy_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    each = table(spark, d, "decision_log").select(F.explode("taxonomy_labels").alias("label"))
+    return each.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(8)
+
+
+@query("""
+    WITH m AS (SELECT max(ts) AS m FROM decision_log), a AS (SELECT id, ts, m - ts AS s FROM decision_log, m)
+    SELECT id, ts, CASE WHEN s < 5 THEN 'just now' WHEN s < 60 THEN floor(s + 0.5)::INT || 's ago' WHEN s < 3600 THEN floor(s / 60 + 0.5)::INT || 'm ago' ELSE floor(s / 3600 + 0.5)::INT || 'h ago' END AS age FROM a""")
+def decision_ages(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "decision_log")
+    return log.join(F.broadcast(log.agg(F.max("ts").alias("m")))).select("id", "ts", S.ago(F.col("m") - F.col("ts")).alias("age"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, make_timestamp((ts * 1000000)::BIGINT)) AS hour, lower(verdict) AS verdict, count(*) AS n FROM decision_log GROUP BY 1, 2")
+def hourly_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "decision_log")
+    hour = F.date_trunc("hour", F.timestamp_micros((F.col("ts") * 1000000).cast("bigint"))).cast("timestamp_ntz")
+    return log.groupBy(hour.alias("hour"), F.lower("verdict").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query()
+def highlighted_matches(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "index_entries")
+    spans = R.scan_texts(rows, _RULES, "id", "text").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    return rows.join(spans, "id").select("id", F.posexplode(S.segments(F.col("spans"), F.col("text"))).alias("ord", "x")).select("id", "ord", "x.text", "x.spans")
+
+
+# -- rewordings and learning ---------------------------------------------------------------------
+
+_TABLE = ", ".join(f"({i}, {_sql_text(p)}, {_sql_text(s)})" for i, (p, s) in enumerate((p, s) for p, all_ in adaptive.SYNONYMS for s in all_))
+
+
+@query(f"""
+    WITH v AS (SELECT id, i, p || '->' || s AS substitution, substr(text, 1, instr(lower(text), p) - 1) || s || substr(text, instr(lower(text), p) + length(p)) AS out, text
+               FROM index_entries, (VALUES {_TABLE}) t(i, p, s) WHERE contains(lower(text), p)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS ord FROM v WHERE out <> text)
+    SELECT id, ord::INT AS ord, substitution, out AS text FROM r WHERE ord < 10""")
+def paraphrased_attacks(spark: SparkSession, d: str) -> DataFrame:
+    return adaptive.paraphrases(table(spark, d, "index_entries"), "id", "text")
+
+
+def _rule_score(df: DataFrame) -> DataFrame:
+    found = R.view_matches([r for r in _RULES if "user" in r.scope], F.col("text"), F.lit("canonical"), F.lit("user"))
+    return df.withColumn("score", R.noisy_or(F.transform(found, lambda m: m["weight"])))
+
+
+@query()
+def paraphrase_evasion(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "index_entries").select("id", "text")
+    variants = _rule_score(adaptive.paraphrases(seeds, "id", "text").select("id", "text"))
+    return adaptive.evasion(seeds, variants, 0.8)
+
+
+@query()
+def attack_climb(spark: SparkSession, d: str) -> DataFrame:
+    seeds = table(spark, d, "index_entries").select("id", "text")
+    return adaptive.hill_climb(seeds, _rule_score, 0.5, 8).select("id", "first_score", "score", "queries", "evaded")
+
+
+_TARGET = ", ".join(f"list_contains(taxonomy_labels, '{t}')::INT" if t != "benign" else "0" for t in learning.TAXONOMY)
+_LABELLED = f"""
+    r AS (SELECT source, CASE WHEN score IS NULL THEN NULL WHEN score >= 0.2 THEN 1 ELSE 0 END AS label, taxonomy_labels FROM decision_log),
+    t AS (SELECT source, label, CASE WHEN label = 0 THEN [0, 0, 0, 0, 0, 0, 0, 1] WHEN label = 1 AND list_has_any(taxonomy_labels, {list(learning.TAXONOMY[:-1])}) THEN [{_TARGET}] END AS target FROM r)"""
+
+
+@query("WITH " + _LABELLED + """
+    SELECT source, count(*) AS total, count_if(label = 0)::BIGINT AS benign, count_if(label = 1 AND target IS NOT NULL)::BIGINT AS labelled, count_if(label = 1 AND target IS NULL)::BIGINT AS excluded,
+           coalesce(count_if(label = 1 AND target IS NULL) / nullif(count_if(label = 1), 0), 0) AS exclusion_rate FROM t WHERE label IS NOT NULL GROUP BY 1""")
+def weak_label_coverage(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("score").isNull(), F.lit(None).cast("int")).when(F.col("score") >= 0.2, 1).otherwise(0)
+    rows = table(spark, d, "decision_log").select("source", label.alias("label"), "taxonomy_labels")
+    return learning.coverage(rows.withColumn("target", learning.weak_label(F.col("label"), F.col("taxonomy_labels"))), "source")
+
+
+@query("""
+    WITH r AS (SELECT vec_id % 7 AS batch, list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * 8) AS x,
+                      list_transform(range(8), lambda i: CASE WHEN label = i THEN 1.0::DOUBLE ELSE 0 END) AS y, list_transform(range(8), lambda i: CASE WHEN label < 8 OR i = 7 THEN 1.0::DOUBLE ELSE 0 END) AS m FROM embeddings),
+    l AS (SELECT batch, list_sum(list_transform(range(1, 9), lambda i: (greatest(x[i], 0) - x[i] * y[i] + ln(1 + exp(-abs(x[i])))) * m[i])) AS l, list_sum(m) AS w FROM r)
+    SELECT batch, round(sum(l) / greatest(sum(w), 1), 9) AS loss FROM l GROUP BY 1""")
+def masked_losses(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    eight = F.sequence(F.lit(0), F.lit(7))
+    rows = e.select(
+        (F.col("vec_id") % 7).alias("batch"),
+        F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 8).alias("logits"),
+        F.transform(eight, lambda i: F.when(F.col("label") == i, 1.0).otherwise(0.0)).alias("target"),
+        F.transform(eight, lambda i: F.when((F.col("label") < 8) | (i == 7), 1.0).otherwise(0.0)).alias("mask"),
+    )
+    return learning.batch_loss(rows, "batch").select("batch", F.round("loss", 9).alias("loss"))
+
+
+@query()
+def fusion_fit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _layers(spark, d).join(table(spark, d, "decision_log").select("id", F.lower("verdict").alias("v")).distinct(), "id").withColumn("label", (F.col("v") != "allow").cast("int"))
+    offset, weights = learning.fit_logistic(rows, list(scoring.LAYERS))
+    return spark.createDataFrame([("intercept", offset), *weights.items()], "layer string, weight double")
+
+
+# -- whole plans ---------------------------------------------------------------------------------
+
+
+@query()
+def screen_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The decision on every request: normalisation, rules in all views, fusion, policy."""
+    once = table(spark, d, "detect_requests").groupBy("request_id").agg(F.min_by(F.struct("text", "scope", "shadow"), "logged_at").alias("r")).select("request_id", "r.*")
+    out = plan.detect(once, shadow_col="shadow")
+    return out.select("id", F.round("l0", 6).alias("l0"), "l1", F.round("score", 6).alias("score"), "verdict", "enforced", "labels")
+
+
+@query()
+def screened_chats(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "detect_requests").where("conversation_id IS NOT NULL AND text IS NOT NULL")
+    last = q.groupBy("conversation_id").agg(F.max_by("text", F.struct("logged_at", "request_id")).alias("text"))
+    chats = last.select("conversation_id", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    return plan.screen_chat(chats, "conversation_id", "messages", "key").select("id", "blocked", "verdict", F.size("messages").alias("messages"))

@@ -189,7 +189,7 @@ def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True
 
     @F.pandas_udf(REPORT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [report(t, decode, fold) or {} for t in texts]
+        rows = [report(t or "", decode, fold) for t in texts]
         return pd.DataFrame(rows, columns=["length", "truncated", "max_depth", "capped", "zero_width", "bidi", "nfkc", "confusable", "score", "views"])
 
     return df.withColumn(out, F.when(F.col(text_col).isNotNull(), run(F.col(text_col))))
