@@ -164,7 +164,7 @@ Span = tuple[int, int, str]
 def byte_spans(text: str) -> list[Span]:
     """Spans that were UTF-8, with their original."""
     hits = [(end - n + 1, end + 1, c, sure) for end, (n, c, sure) in automaton().iter_long(text)]
-    out, at = [], 0
+    out, left, at = [], [], 0
     known = any(h[3] for h in hits)
     while at < len(hits):
         end = at + 1
@@ -174,7 +174,17 @@ def byte_spans(text: str) -> list[Span]:
         letters = whole.isalpha() and (whole.isupper() or whole.islower() or whole[1:].islower())
         if any(h[3] for h in run) or (len(run) > 2 and not letters) or (known and (len(run) > 1 or not letters)):
             out += [(a, b, c) for a, b, c, _ in run]
+        else:
+            left.append(run)
         at = end
+    if out:
+        # short words between garbled ones were garbled with them
+        begin, end = out[0][0], out[-1][1]
+        for run in left:
+            a, b = run[0][0], run[-1][1]
+            if begin < a and b < end and not text[a - 1].isalnum() and not text[b].isalnum():
+                out += [(a, b, c) for a, b, c, _ in run]
+        out.sort()
     return out
 
 
