@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -117,7 +118,7 @@ def original_span(origins: Column, s: Column, e: Column, length: Column) -> Colu
 
 REPORT = (
     "struct<length:int,truncated:boolean,max_depth:int,capped:boolean,zero_width:int,bidi:int,nfkc:int,confusable:int,score:double,"
-    "views:array<struct<kind:string,text:string,depth:int,provenance:string,origins:array<int>>>>"
+    "views:array<struct<kind:string,text:string,depth:int,provenance:string,origins:array<int>,gate:array<int>>>>"
 )
 
 
@@ -184,12 +185,16 @@ def report(text: str | None, decode: bool = True, fold: bool = True) -> dict | N
     return {"length": length, "truncated": long, "max_depth": depth, "capped": capped, **counts, "score": max(0.0, min(1.0, score)), "views": views}
 
 
-def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True, fold: bool = True) -> DataFrame:
-    """df with the report as a struct column."""
+def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True, fold: bool = True, gate: Callable[[], Callable[[str], list[int]]] | None = None) -> DataFrame:
+    """df with the report as a struct column; with a gate (made once a batch) each view says which rules it may match."""
 
     @F.pandas_udf(REPORT)
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = [report(t or "", decode, fold) for t in texts]
+        may = gate() if gate else None
+        for r in rows:
+            for v in r["views"]:
+                v["gate"] = may(v["text"]) if may else None
         return pd.DataFrame(rows, columns=["length", "truncated", "max_depth", "capped", "zero_width", "bidi", "nfkc", "confusable", "score", "views"])
 
     return df.withColumn(out, F.when(F.col(text_col).isNotNull(), run(F.col(text_col))))
@@ -197,6 +202,6 @@ def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True
 
 def views(df: DataFrame, id_col: str, report_col: str = "l0") -> DataFrame:
     """One row per view: (id, ord, kind, text, depth, provenance, origins)."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(F.col(f"{report_col}.views")).alias("ord", "v")).select("id", "ord", "v.*")
+    return df.select(F.col(id_col).alias("id"), F.posexplode(F.col(f"{report_col}.views")).alias("ord", "v")).select("id", "ord", "v.*").drop("gate")
 
 

@@ -8,14 +8,18 @@ the Unicode-aware dialect ((?dU)); spans count code points from 0 and end one pa
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.rules.gate import gate
+
 SEVERITIES = {"info": 10, "low": 20, "medium": 30, "high": 40, "critical": 50}
 SCOPES = ("user", "system", "retrieved", "tool_result", "file")
 #: How much a match counts by the view it was found in.
@@ -150,18 +154,22 @@ def _java(pattern: str) -> str:
     return "(?dU)" + re.sub(r"\\U([0-9A-Fa-f]{8})", lambda m: f"\\x{{{int(m.group(1), 16):X}}}", pattern)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it occurs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_span(text: Column, pattern: str) -> Column:
     """Span of the first match, null without one."""
     p = _java(pattern)
     begin = F.length(F.element_at(F.split(text, p, 2), 1))
-    return F.when(text.rlike(p), F.struct(begin.alias("s"), (begin + F.length(F.regexp_extract(text, p, 0))).alias("e")))
+    made = let(begin, lambda b: F.struct(b.alias("s"), (b + F.length(F.regexp_extract(text, p, 0))).alias("e")))
+    return F.when(text.rlike(p), made)
 
 
 def all_spans(text: Column, pattern: str) -> Column:
     """Spans of all matches of a pattern that never matches nothing."""
     p = _java(pattern)
-    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    parts = F.arrays_zip(F.slice(F.split(text, p, -1), 1, F.size(found)).alias("g"), found.alias("m"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -169,6 +177,8 @@ def all_spans(text: Column, pattern: str) -> Column:
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("s"), end.alias("e")))).alias("out"))
 
+    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    parts = let(found, lambda m: F.arrays_zip(F.slice(F.split(text, p, -1), 1, F.size(m)).alias("g"), m.alias("m")))
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
@@ -182,11 +192,11 @@ def near_span(text: Column, a: str, b: str, window: int) -> Column:
         F.greatest(x["e"], y["e"]).alias("e"),
         F.when(y["s"] >= x["e"], y["s"] - x["e"]).otherwise(x["s"] - y["e"]).alias("gap"),
     )
-    left, right = all_spans(text, a), all_spans(text, b)
-    pairs = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: pair(x, y))))
+    right = all_spans(text, b)
+    pairs = F.flatten(F.transform(all_spans(text, a), lambda x: F.transform(right, lambda y: pair(x, y))))
     best = F.array_min(F.filter(pairs, lambda z: z["gap"] <= window))
-    hit = text.rlike(_java(a)) & text.rlike(_java(b))
-    return F.when(hit, F.when(best.isNotNull(), F.struct(best["s"].alias("s"), best["e"].alias("e"))))
+    made = let(best, lambda z: F.when(z.isNotNull(), F.struct(z["s"].alias("s"), z["e"].alias("e"))))
+    return F.when(text.rlike(_java(a)) & text.rlike(_java(b)), made)
 
 
 def span(text: Column, node: dict[str, Any]) -> Column:
@@ -228,28 +238,29 @@ def matches(text: Column, node: dict[str, Any]) -> Column:
 MATCH_SCHEMA = "array<struct<rule:string,severity:string,labels:array<string>,weight:double,s:int,e:int>>"
 
 
-def view_matches(rules: list[Rule], text: Column, kind: Column, scope: Column) -> Column:
+def _match_of(r: Rule, kind: Column) -> Callable[[Column], Column]:
+    factor = F.lit(OTHER_CONFIDENCE)
+    for view, c in VIEW_CONFIDENCE.items():
+        factor = F.when(kind == view, F.lit(c)).otherwise(factor)
+    labels, weight = F.array(*[F.lit(x) for x in r.labels]), F.round(F.lit(r.weight) * factor, 4)
+    return lambda at: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), labels.alias("labels"), weight.alias("weight"), at["s"].alias("s"), at["e"].alias("e"))
+
+
+def view_matches(rules: list[Rule], text: Column, kind: Column, scope: Column, gate: Column | None = None) -> Column:
     """The rules that match a view of this kind in this scope: an array in rule order.
 
-    A rule costs one regular expression where it does not match: the span is computed behind it.
+    A rule costs one regular expression where it does not match: the span is computed behind it. With a
+    gate (numbers of the rules that may match at all) the others cost nothing.
     """
     found = []
-    for r in rules:
+    for k, r in enumerate(rules):
+        made = F.transform(F.filter(F.array(span(text, r.match)), lambda x: x.isNotNull()), _match_of(r, kind))
         allowed = scope.isin(*r.scope) & kind.isin(*r.views)
-        at = span(text, r.match)
-        factor = F.lit(OTHER_CONFIDENCE)
-        for view, c in VIEW_CONFIDENCE.items():
-            factor = F.when(kind == view, F.lit(c)).otherwise(factor)
-        value = F.struct(
-            F.lit(r.id).alias("rule"),
-            F.lit(r.severity).alias("severity"),
-            F.array(*[F.lit(x) for x in r.labels]).alias("labels"),
-            F.round(F.lit(r.weight) * factor, 4).alias("weight"),
-            at["s"].alias("s"),
-            at["e"].alias("e"),
-        )
-        found.append(F.when(allowed & matches(text, r.match), F.when(at.isNotNull(), value)))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+        if gate is not None:
+            allowed = F.array_contains(gate, F.lit(k)) & allowed
+        allowed = allowed & matches(text, r.match)
+        found.append(F.when(allowed, made))
+    return F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
 def noisy_or(weights: Column) -> Column:
@@ -263,11 +274,25 @@ def label_set(labels: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(labels)))
 
 
-def scan_texts(df: DataFrame, rules: list[Rule], id_col: str, text_col: str, scope: str | Column = "user") -> DataFrame:
+def gate_column(rules: list[Rule], text: Column) -> Column:
+    """Numbers of the rules that a text may match at all."""
+    trees = [r.match for r in rules]
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        may = gate(trees)
+        return pd.Series([may(t) if t is not None else [] for t in texts], dtype=object)
+
+    return run(text)
+
+
+def scan_texts(df: DataFrame, rules: list[Rule], id_col: str, text_col: str, scope: str | Column = "user", gated: bool = True) -> DataFrame:
     """(id, rule, severity, labels, weight, s, e): matches in the text as it stands (its canonical view)."""
     where = F.lit(scope) if isinstance(scope, str) else scope
     used = [r for r in rules if scope in r.scope] if isinstance(scope, str) else rules
-    found = view_matches(used, F.col(text_col), F.lit("canonical"), where)
+    if gated:
+        df = df.withColumn("_gate", gate_column(used, F.col(text_col)))
+    found = view_matches(used, F.col(text_col), F.lit("canonical"), where, F.col("_gate") if gated else None)
     return df.select(F.col(id_col).alias("id"), F.explode(found).alias("m")).select("id", "m.*")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.normalise import normalise, original_span
 from quernstone.operators import egress, rules as R
+from quernstone.operators.rules.gate import gate
 from quernstone.operators.scoring import CUTS, Cuts, Weights, contributions, decide, fuse
 from quernstone.plans.runtime import spread
 
@@ -23,10 +24,11 @@ def acceptable(text: Column) -> Column:
 def matched(df: DataFrame, id_col: str, text_col: str, scope_col: str, rules: list[R.Rule] | None = None) -> DataFrame:
     """df with l0 (the report) and matches: per rule the first view that fires, heaviest first, spans in the original text."""
     rules = rules or R.shipped_rules()
-    report = normalise(spread(df), text_col)
+    trees = [r.match for r in rules]
+    report = normalise(spread(df), text_col, gate=lambda: gate(trees))
     scope = F.coalesce(F.col(scope_col), F.lit("user"))
     seen = report.select("*", F.posexplode_outer("l0.views").alias("_ord", "_view"))
-    found = R.view_matches(rules, F.col("_view.text"), F.col("_view.kind"), scope)
+    found = R.view_matches(rules, F.col("_view.text"), F.col("_view.kind"), scope, F.col("_view.gate"))
     per_view = seen.withColumn("_found", F.transform(found, lambda m: m.withField("ord", F.col("_ord")).withField("view", F.col("_view.kind")).withField("at", original_span(F.col("_view.origins"), m["s"], m["e"], F.length(F.col("_view.text"))))))
     fired = per_view.where(F.size("_found") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.flatten(F.collect_list("_found")).alias("_all"))
     # the first view that fires is enough for a rule
