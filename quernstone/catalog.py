@@ -556,8 +556,10 @@ def paraphrased_attacks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rule_score(df: DataFrame) -> DataFrame:
-    found = R.view_matches([r for r in _RULES if "user" in r.scope], F.col("text"), F.lit("canonical"), F.lit("user"))
-    return df.withColumn("score", R.noisy_or(F.transform(found, lambda m: m["weight"])))
+    used = [r for r in _RULES if "user" in r.scope]
+    gated = df.withColumn("_gate", R.gate_column(used, F.col("text")))
+    found = R.view_matches(used, "text", "'canonical'", "'user'", "_gate")
+    return gated.withColumn("score", R.noisy_or(F.transform(found, lambda m: m["weight"]))).drop("_gate")
 
 
 @query()

@@ -218,49 +218,67 @@ def span(text: Column, node: dict[str, Any]) -> Column:
     return F.when(every, F.struct(F.least(*[c["s"] for c in children]).alias("s"), F.greatest(*[c["e"] for c in children]).alias("e")))
 
 
-def matches(text: Column, node: dict[str, Any]) -> Column:
-    """Whether a match tree matches; cheaper than its span, and exact but for near, where it is necessary."""
+# -- whole rule sets as one expression -----------------------------------------------------------
+# Thousands of nodes are faster written as text and parsed at once than built call by call.
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _spans_text(t: str, pattern: str) -> str:
+    p = _literal(_java(pattern))
+    parts = f"element_at(transform(array(regexp_extract_all({t}, {p}, 0)), m -> zip_with(slice(split({t}, {p}, -1), 1, size(m)), m, (g, k) -> named_struct('g', g, 'm', k))), 1)"
+    step = "named_struct('at', acc.at + length(x.g) + length(x.m), 'out', concat(acc.out, array(named_struct('s', acc.at + length(x.g), 'e', acc.at + length(x.g) + length(x.m)))))"
+    return f"aggregate({parts}, named_struct('at', 0, 'out', cast(array() AS array<struct<s:int,e:int>>)), (acc, x) -> {step}, acc -> acc.out)"
+
+
+def span_text(t: str, node: dict[str, Any]) -> str:
+    """The expression of `span` as text; t names the text."""
     kind = next(k for k in OPERATORS if k in node)
     body = node[kind]
     if kind == "regex":
-        return text.rlike(_java(body))
+        p = _literal(_java(body))
+        made = f"element_at(transform(array(length(element_at(split({t}, {p}, 2), 1))), b -> named_struct('s', b, 'e', b + length(regexp_extract({t}, {p}, 0)))), 1)"
+        return f"CASE WHEN {t} RLIKE {p} THEN {made} END"
     if kind == "near":
-        return text.rlike(_java(body["a"])) & text.rlike(_java(body["b"]))
+        a, b = body["a"], body["b"]
+        pair = "named_struct('len', greatest(x.e, y.e) - least(x.s, y.s), 'xs', x.s, 'ys', y.s, 's', least(x.s, y.s), 'e', greatest(x.e, y.e), 'gap', CASE WHEN y.s >= x.e THEN y.s - x.e ELSE x.s - y.e END)"
+        pairs = f"flatten(transform({_spans_text(t, a)}, x -> transform({_spans_text(t, b)}, y -> {pair})))"
+        best = f"array_min(filter({pairs}, z -> z.gap <= {int(body.get('window', 40))}))"
+        made = f"element_at(transform(array({best}), z -> CASE WHEN z IS NOT NULL THEN named_struct('s', z.s, 'e', z.e) END), 1)"
+        return f"CASE WHEN {t} RLIKE {_literal(_java(a))} AND {t} RLIKE {_literal(_java(b))} THEN {made} END"
     if kind == "not":
-        return ~span(text, body).isNotNull()
-    parts = [matches(text, c) for c in body]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out | p if kind == "any" else out & p
-    return out
+        return f"CASE WHEN ({span_text(t, body)}) IS NULL THEN named_struct('s', 0, 'e', 0) END"
+    children = [span_text(t, c) for c in body]
+    if kind == "any" or len(children) == 1:
+        return f"coalesce({', '.join(children)})"
+    every = f"array({', '.join(children)})"
+    extent = "named_struct('s', array_min(transform(c, y -> y.s)), 'e', array_max(transform(c, y -> y.e)))"
+    return f"element_at(transform(array({every}), c -> CASE WHEN NOT exists(c, y -> y IS NULL) THEN {extent} END), 1)"
 
 
 MATCH_SCHEMA = "array<struct<rule:string,severity:string,labels:array<string>,weight:double,s:int,e:int>>"
 
 
-def _match_of(r: Rule, kind: Column) -> Callable[[Column], Column]:
-    factor = F.lit(OTHER_CONFIDENCE)
-    for view, c in VIEW_CONFIDENCE.items():
-        factor = F.when(kind == view, F.lit(c)).otherwise(factor)
-    labels, weight = F.array(*[F.lit(x) for x in r.labels]), F.round(F.lit(r.weight) * factor, 4)
-    return lambda at: F.struct(F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), labels.alias("labels"), weight.alias("weight"), at["s"].alias("s"), at["e"].alias("e"))
-
-
-def view_matches(rules: list[Rule], text: Column, kind: Column, scope: Column, gate: Column | None = None) -> Column:
+def view_matches(rules: list[Rule], text: str, kind: str, scope: str, gate: str | None = None) -> Column:
     """The rules that match a view of this kind in this scope: an array in rule order.
 
-    A rule costs one regular expression where it does not match: the span is computed behind it. With a
-    gate (numbers of the rules that may match at all) the others cost nothing.
+    Text, kind, scope and gate are expressions (usually names of columns). The span is computed only for
+    rules that scope, view and gate (numbers of the rules that may match at all) let through.
     """
     found = []
+    quoted = lambda names: ", ".join(map(_literal, names))
     for k, r in enumerate(rules):
-        made = F.transform(F.filter(F.array(span(text, r.match)), lambda x: x.isNotNull()), _match_of(r, kind))
-        allowed = scope.isin(*r.scope) & kind.isin(*r.views)
-        if gate is not None:
-            allowed = F.array_contains(gate, F.lit(k)) & allowed
-        allowed = allowed & matches(text, r.match)
-        found.append(F.when(allowed, made))
-    return F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
+        weights = " ".join(f"WHEN {_literal(v)} THEN {round(r.weight * c, 4)}D" for v, c in VIEW_CONFIDENCE.items())
+        weight = f"CASE {kind} {weights} ELSE {round(r.weight * OTHER_CONFIDENCE, 4)}D END"
+        value = f"named_struct('rule', {_literal(r.id)}, 'severity', {_literal(r.severity)}, 'labels', array({quoted(r.labels)}), 'weight', {weight}, 's', x.s, 'e', x.e)"
+        allowed = f"{scope} IN ({quoted(r.scope)}) AND {kind} IN ({quoted(r.views)})"
+        if gate:
+            allowed = f"array_contains({gate}, {k}) AND {allowed}"
+        found.append(f"CASE WHEN {allowed} THEN transform(filter(array({span_text(text, r.match)}), x -> x IS NOT NULL), x -> {value}) END")
+    every = ", ".join(found) or f"cast(NULL AS {MATCH_SCHEMA})"
+    return F.expr(f"flatten(filter(array({every}), x -> x IS NOT NULL))")
 
 
 def noisy_or(weights: Column) -> Column:
@@ -288,12 +306,12 @@ def gate_column(rules: list[Rule], text: Column) -> Column:
 
 def scan_texts(df: DataFrame, rules: list[Rule], id_col: str, text_col: str, scope: str | Column = "user", gated: bool = True) -> DataFrame:
     """(id, rule, severity, labels, weight, s, e): matches in the text as it stands (its canonical view)."""
-    where = F.lit(scope) if isinstance(scope, str) else scope
     used = [r for r in rules if scope in r.scope] if isinstance(scope, str) else rules
+    shaped = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), (F.lit(scope) if isinstance(scope, str) else scope).alias("_scope"))
     if gated:
-        df = df.withColumn("_gate", gate_column(used, F.col(text_col)))
-    found = view_matches(used, F.col(text_col), F.lit("canonical"), where, F.col("_gate") if gated else None)
-    return df.select(F.col(id_col).alias("id"), F.explode(found).alias("m")).select("id", "m.*")
+        shaped = shaped.withColumn("_gate", gate_column(used, F.col("_text")))
+    found = view_matches(used, "_text", "'canonical'", "_scope", "_gate" if gated else None)
+    return shaped.select("id", F.explode(found).alias("m")).select("id", "m.*")
 
 
 # -- the same in SQL, for the check of ASCII texts -----------------------------------------------

@@ -27,8 +27,8 @@ def matched(df: DataFrame, id_col: str, text_col: str, scope_col: str, rules: li
     trees = [r.match for r in rules]
     report = normalise(spread(df), text_col, gate=lambda: gate(trees))
     scope = F.coalesce(F.col(scope_col), F.lit("user"))
-    seen = report.select("*", F.posexplode_outer("l0.views").alias("_ord", "_view"))
-    found = R.view_matches(rules, F.col("_view.text"), F.col("_view.kind"), scope, F.col("_view.gate"))
+    seen = report.select("*", scope.alias("_scope"), F.posexplode_outer("l0.views").alias("_ord", "_view")).withColumns({"_text": F.col("_view.text"), "_kind": F.col("_view.kind"), "_gate": F.col("_view.gate")})
+    found = R.view_matches(rules, "_text", "_kind", "_scope", "_gate")
     per_view = seen.withColumn("_found", F.transform(found, lambda m: m.withField("ord", F.col("_ord")).withField("view", F.col("_view.kind")).withField("at", original_span(F.col("_view.origins"), m["s"], m["e"], F.length(F.col("_view.text"))))))
     fired = per_view.where(F.size("_found") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.flatten(F.collect_list("_found")).alias("_all"))
     # the first view that fires is enough for a rule
