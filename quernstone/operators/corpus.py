@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.columns import let
 from quernstone.operators.graph import components
-from quernstone.plans.runtime import materialise
+from quernstone.plans.runtime import materialise, spread
 
 PARTITIONS = ("train", "validation", "test", "cross_source_eval", "hard_negatives_eval")
 SIMILARITY = 0.5
@@ -19,15 +20,16 @@ def shingle_text(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 2) -> Column:
     """Distinct runs of k words; all words of a shorter text; a mark for a text without words."""
-    words = F.regexp_extract_all(shingle_text(text), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
-    short = F.when(F.size(words) == 0, F.array(F.lit("<empty>"))).otherwise(F.array(F.array_join(words, " ")))
-    return F.array_distinct(F.when(F.size(words) >= k, runs).otherwise(short))
+    def of(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+        short = F.when(F.size(words) == 0, F.array(F.lit("<empty>"))).otherwise(F.array(F.array_join(words, " ")))
+        return F.array_distinct(F.when(F.size(words) >= k, runs).otherwise(short))
+
+    return let(F.regexp_extract_all(shingle_text(text), F.lit("[a-z0-9]+"), F.lit(0)), of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    return let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared))
 
 
 def similar_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = SIMILARITY) -> DataFrame:
@@ -36,7 +38,7 @@ def similar_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float
     Prefix filter over shingles in order of their frequency. Rows with the same set are one head, so a
     large group of copies is linked to it in a star. Null texts are left out.
     """
-    base = rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(F.col(text_col)), lambda s: F.xxhash64(s))).alias("set"))
+    base = spread(rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col)).select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(F.col(text_col)), lambda s: F.xxhash64(s))).alias("set"))
     base = materialise(base, "shingles")
     heads = base.groupBy("set").agg(F.min("id").alias("head"))
     copies = base.join(heads, "set").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
@@ -76,7 +78,8 @@ def clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = SIM
     named = members.select("component", F.col("pos").cast("long").alias("pos"), "id")
     a = pairs.join(named.select("component", F.col("pos").alias("i"), F.col("id").alias("a")), ["component", "i"])
     ab = a.join(named.select("component", F.col("pos").alias("j"), F.col("id").alias("b")), ["component", "j"])
-    texts = rows.select(F.col(id_col).alias("id"), shingles(F.col(text_col)).alias("s"))
+    needed = ab.select(F.col("a").alias("id")).union(ab.select("b")).distinct()
+    texts = spread(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")).select("id", shingles(F.col("text")).alias("s"))
     scored = ab.join(texts.select(F.col("id").alias("a"), F.col("s").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("q")), "b")
     cohesive = scored.groupBy("component").agg(F.avg(jaccard(F.col("p"), F.col("q"))).alias("mean")).where(F.col("mean") >= threshold).select("component")
     kept = linked.join(cohesive, "component", "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.columns import let
 from quernstone.operators.rules import all_spans
 
 CANARY_PREFIX = "QUERN-CANARY"
@@ -27,11 +28,12 @@ FINDING = "array<struct<s:int,e:int,ord:int,rule:string,preview:string>>"
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits a character; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(bits)
+    def bits(chars: Column) -> Column:
+        term = lambda k: k * F.log2(k.cast("double"))
+        total = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc + term(F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+        return F.log2(F.length(text).cast("double")) - total / F.length(text)
+
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(let(F.filter(F.split(text, ""), lambda c: c != ""), bits))
 
 
 def mask_preview(text: Column, keep: int = 4) -> Column:

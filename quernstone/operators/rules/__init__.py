@@ -18,6 +18,7 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.functions.columns import let
 from quernstone.operators.rules.gate import gate
 
 SEVERITIES = {"info": 10, "low": 20, "medium": 30, "high": 40, "critical": 50}
@@ -154,11 +155,6 @@ def _java(pattern: str) -> str:
     return "(?dU)" + re.sub(r"\\U([0-9A-Fa-f]{8})", lambda m: f"\\x{{{int(m.group(1), 16):X}}}", pattern)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often it occurs."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def first_span(text: Column, pattern: str) -> Column:
     """Span of the first match, null without one."""
     p = _java(pattern)
