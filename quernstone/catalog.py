@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import decoding as D, normalise as N
 from quernstone.operators import adaptive, conversation, corpus, egress, learning, rules as R, scoring, statistics as S, vectors
+from quernstone.operators.ranking import numbered
 from quernstone.plans import detect as plan
 from quernstone.plans.runtime import spread, table
 from quernstone.sources import records
@@ -77,7 +78,7 @@ def fast_path(spark: SparkSession, d: str) -> DataFrame:
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "corpus_rows").select("id")
     n, k = rows.count(), 100
-    ranked = rows.withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
+    ranked = numbered(rows, [F.col("id")], "pos")
     want = spark.range(k).select(F.floor(F.col("id") * n / k).alias("pos")).distinct()
     return ranked.join(F.broadcast(want), "pos", "left_semi").select("id")
 

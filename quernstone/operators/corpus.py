@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.columns import let
 from quernstone.operators.graph import components
+from quernstone.operators.ranking import numbered
 from quernstone.plans.runtime import materialise, spread
 
 PARTITIONS = ("train", "validation", "test", "cross_source_eval", "hard_negatives_eval")
@@ -84,8 +85,8 @@ def clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = SIM
     cohesive = scored.groupBy("component").agg(F.avg(jaccard(F.col("p"), F.col("q"))).alias("mean")).where(F.col("mean") >= threshold).select("component")
     kept = linked.join(cohesive, "component", "left_semi")
     every = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).join(kept, "id", "left").select("id", F.coalesce("component", "id").alias("first"))
-    numbered = every.select("first").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("first")) - 1)
-    return every.join(numbered, "first").select("id", "cluster")
+    firsts = numbered(every.select("first").distinct(), [F.col("first")], "cluster")
+    return every.join(firsts, "first").select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
 def target_partition(source: Column, split: Column, backbone: str, hard: str = "hard_negatives") -> Column:
@@ -120,11 +121,10 @@ def leaking_clusters(assigned: DataFrame) -> DataFrame:
 def naive_leakage(clustered: DataFrame, seed: int = 0) -> DataFrame:
     """(leakage): the share of test rows of a random 80/10/10 split whose cluster is in its training part.
 
-    The split is by rank of a hash; ranks are global but only counts cross tasks with the rows.
+    The split is by rank of a hash of the id.
     """
-    w = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "id")), "id")
-    placed = clustered.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.lit(None))
-    n = clustered.count()
+    placed = numbered(clustered, [F.md5(F.concat(F.lit(f"{seed}:"), "id")), F.col("id")], "r")
+    n = placed.count()
     first, second = int(n * 0.8), int(n * 0.8) + int(n * 0.1)
     train = placed.where(F.col("r") < first).select("cluster").distinct().withColumn("hit", F.lit(1))
     test = placed.where(F.col("r") >= second).select("cluster")

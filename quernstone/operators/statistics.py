@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.ranking import numbered, running
+
 
 def curve(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., score, tp, fp, pos, neg): cumulative counts at every distinct score, from the highest down.
+    """(by..., score, p, tp, fp, pos, neg): positives at and cumulative counts at every distinct score, from the highest down.
 
     Rows shrink to one per distinct score before any window runs. Null labels or scores are left out.
     """
     by = by or []
     counted = scores.where("label IS NOT NULL AND score IS NOT NULL").groupBy(*by, "score").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")) if by else Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        c = running(counted, [F.desc("score")], {"tp": "p", "fp": "n"})
+        return c.select("score", "p", "tp", "fp", F.col("all_tp").alias("pos"), F.col("all_fp").alias("neg"))
+    w, whole = Window.partitionBy(*by).orderBy(F.desc("score")), Window.partitionBy(*by)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return counted.select(*by, "score", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+    return counted.select(*by, "score", "p", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
 
 
 def tpr_at_fpr(scores: DataFrame, target: float, by: list[str] | None = None) -> DataFrame:
@@ -30,11 +34,8 @@ def tpr_at_fpr(scores: DataFrame, target: float, by: list[str] | None = None) ->
 
 def average_precision(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., average_precision): sum of recall steps times precision."""
-    by = by or []
     c = curve(scores, by)
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("score"))
-    step = F.col("tp") - F.coalesce(F.lag("tp").over(w), F.lit(0))
-    part = c.withColumn("part", F.try_divide(step, F.col("pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))
+    part = c.withColumn("part", F.try_divide(F.col("p"), F.col("pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))
     out = F.coalesce(F.sum("part"), F.lit(0.0)).alias("average_precision")
     return part.groupBy(*by).agg(out) if by else part.agg(out)
 
@@ -91,10 +92,8 @@ def percentiles_linear(value: Column, shares: tuple[float, ...] = (0.5, 0.95, 0.
 
 
 def _ranked(df: DataFrame, value: str) -> DataFrame:
-    w = Window.partitionBy(F.lit(0)).orderBy(value)
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return counted.select(F.col(value).alias("v"), F.sum("k").over(run).alias("upto"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
+    return running(counted, [F.col("v")], {"upto": "k"}).select("v", "upto", F.col("all_upto").alias("n"))
 
 
 def percentiles_truncated(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
@@ -148,7 +147,9 @@ def brier(label: Column, score: Column) -> Column:
 
 def diagnose(df: DataFrame, value: str, order: str) -> DataFrame:
     """(n, drift, suspect): whether latencies may be trusted: enough of them, no drift, no heavy tail."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("half", F.ntile(2).over(Window.partitionBy(F.lit(0)).orderBy(order)))
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(value, order), [F.col(order), F.col(value)], "pos")
+    total = ranked.count()
+    ranked = ranked.withColumn("half", F.when(F.col("pos") < (total + 1) // 2, 1).otherwise(2))
     a = ranked.agg(F.count("*").alias("n"), F.median(F.when(F.col("half") == 1, F.col(value))).alias("m1"), F.median(F.when(F.col("half") == 2, F.col(value))).alias("m2"), percentiles_linear(F.col(value)).alias("p"))
     drift = F.coalesce(F.try_divide(F.col("m2"), F.col("m1")), F.lit(1.0))
     why = F.array_compact(F.array(F.when(F.col("n") < 50, "few"), F.when((drift > 1.15) | (drift < 0.85), "drift"), F.when(F.col("p")[1] > 2.5 * F.col("p")[0], "tail")))
