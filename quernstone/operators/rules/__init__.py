@@ -258,7 +258,12 @@ MATCH_SCHEMA = "array<struct<rule:string,severity:string,labels:array<string>,we
 
 
 def view_matches(rules: list[Rule], text: str, kind: str, scope: str, gate: str | None = None) -> Column:
-    """The rules that match a view of this kind in this scope: an array in rule order.
+    """The rules that match a view of this kind in this scope: an array in rule order."""
+    return F.expr(matches_text(rules, text, kind, scope, gate))
+
+
+def matches_text(rules: list[Rule], text: str, kind: str, scope: str, gate: str | None = None) -> str:
+    """The expression of view_matches as text.
 
     Text, kind, scope and gate are expressions (usually names of columns). The span is computed only for
     rules that scope, view and gate (numbers of the rules that may match at all) let through.
@@ -274,7 +279,7 @@ def view_matches(rules: list[Rule], text: str, kind: str, scope: str, gate: str
             allowed = f"array_contains({gate}, {k}) AND {allowed}"
         found.append(f"CASE WHEN {allowed} THEN transform(filter(array({span_text(text, r.match)}), x -> x IS NOT NULL), x -> {value}) END")
     every = ", ".join(found) or f"cast(NULL AS {MATCH_SCHEMA})"
-    return F.expr(f"flatten(filter(array({every}), x -> x IS NOT NULL))")
+    return f"flatten(filter(array({every}), x -> x IS NOT NULL))"
 
 
 def noisy_or(weights: Column) -> Column:
@@ -310,6 +315,19 @@ def scan_texts(df: DataFrame, rules: list[Rule], id_col: str, text_col: str, sco
     return shaped.select("id", F.explode(found).alias("m")).select("id", "m.*")
 
 
+def report_matches(rules: list[Rule], views: str, scope: str) -> Column:
+    """Matches over all views of a report, heaviest first: of each rule the first view that fires, with its span in the original text.
+
+    One expression within the row: no view is exploded, shuffled or joined.
+    """
+    origin = "element_at(transform(array(slice(v.origins, m.s + 1, greatest(m.e - m.s, 1))), p -> named_struct('s', array_min(p), 'e', array_max(p) + 1)), 1)"
+    at = f"CASE WHEN v.origins IS NULL THEN named_struct('s', m.s, 'e', greatest(m.e, m.s + 1)) WHEN size(v.origins) = 0 THEN named_struct('s', 0, 'e', 0) ELSE {origin} END"
+    made = f"named_struct('rule', m.rule, 'ord', ord, 'severity', m.severity, 'labels', m.labels, 'weight', m.weight, 'view', v.kind, 'provenance', v.provenance, 'at', {at})"
+    every = f"array_sort(flatten(transform({views}, (v, ord) -> transform({matches_text(rules, 'v.text', 'v.kind', scope, 'v.gate')}, m -> {made}))))"
+    first = f"element_at(transform(array({every}), o -> filter(o, (x, i) -> i = 0 OR element_at(o, greatest(i, 1)).rule <> x.rule)), 1)"
+    return F.expr(f"transform(array_sort(transform({first}, x -> named_struct('w', -x.weight, 'rule', x.rule, 'x', x))), x -> x.x)")
+
+
 # -- the same in SQL, for the check of ASCII texts -----------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.normalise import normalise, original_span
+from quernstone.functions.normalise import normalise
 from quernstone.operators import egress, rules as R
 from quernstone.operators.rules.gate import gate
 from quernstone.operators.scoring import CUTS, Cuts, Weights, contributions, decide, fuse
@@ -21,32 +21,23 @@ def acceptable(text: Column) -> Column:
     return F.coalesce(F.length(text).between(*REQUEST_CHARS), F.lit(False))
 
 
-def matched(df: DataFrame, id_col: str, text_col: str, scope_col: str, rules: list[R.Rule] | None = None) -> DataFrame:
+def matched(df: DataFrame, text_col: str, scope_col: str, rules: list[R.Rule] | None = None) -> DataFrame:
     """df with l0 (the report) and matches: per rule the first view that fires, heaviest first, spans in the original text."""
     rules = rules or R.shipped_rules()
     trees = [r.match for r in rules]
     report = normalise(spread(df), text_col, gate=lambda: gate(trees))
-    scope = F.coalesce(F.col(scope_col), F.lit("user"))
-    seen = report.select("*", scope.alias("_scope"), F.posexplode_outer("l0.views").alias("_ord", "_view")).withColumns({"_text": F.col("_view.text"), "_kind": F.col("_view.kind"), "_gate": F.col("_view.gate")})
-    found = R.view_matches(rules, "_text", "_kind", "_scope", "_gate")
-    per_view = seen.withColumn("_found", F.transform(found, lambda m: m.withField("ord", F.col("_ord")).withField("view", F.col("_view.kind")).withField("at", original_span(F.col("_view.origins"), m["s"], m["e"], F.length(F.col("_view.text"))))))
-    fired = per_view.where(F.size("_found") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.flatten(F.collect_list("_found")).alias("_all"))
-    # the first view that fires is enough for a rule
-    order = F.array_sort(F.transform("_all", lambda m: F.struct(m["rule"].alias("rule"), m["ord"].alias("ord"), m.alias("m"))))
-    first = F.filter(order, lambda x, i: (i == 0) | (F.element_at(order, F.greatest(i, F.lit(1)))["rule"] != x["rule"]))
-    sorted_ = F.array_sort(F.transform(first, lambda x: F.struct((-x["m"]["weight"]).alias("w"), x["rule"].alias("rule"), x["m"].alias("m"))))
-    kept = fired.select("_id", F.transform(sorted_, lambda x: x["m"]).alias("matches"))
-    return report.join(kept, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    scoped = report.withColumn("__scope", F.coalesce(F.col(scope_col), F.lit("user")))
+    return scoped.withColumn("matches", R.report_matches(rules, "l0.views", "__scope")).drop("__scope")
 
 
 def detect(df: DataFrame, id_col: str = "request_id", text_col: str = "text", scope_col: str = "scope", shadow_col: str | None = None, rules: list[R.Rule] | None = None, weights: Weights = WEIGHTS, cuts: Cuts = Cuts(*CUTS), l2_col: str | None = None, knn_col: str | None = None) -> DataFrame:
     """(id, l0, l1, l2, knn, score, contributions, labels, matches, verdict, enforced, rationale) of every acceptable text.
 
-    The classifier's and the index's scores are columns of `df`; without them these layers count 0. Ids
-    should be unique; rows of equal id share their matches.
+    The classifier's and the index's scores are columns of `df`; without them these layers count 0. The
+    whole decision is made within the row.
     """
     kept = df.where(acceptable(F.col(text_col)))
-    m = matched(kept, id_col, text_col, scope_col, rules)
+    m = matched(kept, text_col, scope_col, rules)
     none = F.array().cast("array<double>")
     scored = m.select(
         F.col(id_col).alias("id"),
