@@ -632,3 +632,117 @@ def screened_chats(spark: SparkSession, d: str) -> DataFrame:
     last = q.groupBy("conversation_id").agg(F.max_by("text", F.struct("logged_at", "request_id")).alias("text"))
     chats = last.select("conversation_id", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
     return plan.screen_chat(chats, "conversation_id", "messages", "key").select("id", "blocked", "verdict", F.size("messages").alias("messages"))
+
+
+# -- more of the inventory -----------------------------------------------------------------------
+
+
+@query("SELECT id, text AS base64, text AS hex, text AS percent FROM index_entries WHERE length(text) >= 12")
+def decoded_again(spark: SparkSession, d: str) -> DataFrame:
+    """Texts encoded and decoded again by three schemes."""
+    text = F.col("text")
+    return table(spark, d, "index_entries").where(F.length("text") >= 12).select(
+        "id",
+        D.decode_base64(F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")).alias("base64"),
+        D.decode_hex(F.hex(F.encode(text, "UTF-8"))).alias("hex"),
+        D.decode_percent(F.regexp_replace(F.url_encode(text), r"\+", "%20")).alias("percent"),
+    )
+
+
+@query("SELECT id, 'x ' || substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 6) || ' yz' AS joined FROM index_entries WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 6")
+def joined_letters(spark: SparkSession, d: str) -> DataFrame:
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    rows = table(spark, d, "index_entries").where(F.length(letters) >= 6).select("id", F.substring(letters, 1, 6).alias("l"))
+    # a line break keeps the letter before the run apart from it
+    apart = F.concat(F.lit("x! "), F.regexp_replace("l", "(?<=.)(?=.)", " "), F.lit(" yz"))
+    return rows.select("id", F.regexp_replace(N.collapse_spaced(apart), "^x!", "x").alias("joined"))
+
+
+@query("SELECT c.id, c.text, coalesce(f.labels[1], '') AS family FROM corpus_rows c LEFT JOIN (SELECT id, CASE WHEN family IS NULL THEN [] ELSE [family] END AS labels FROM corpus_rows WHERE tier = 1) f USING (id) WHERE c.label = 1")
+def attack_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "corpus_rows")
+    weak = rows.where("tier = 1").select("id", F.when(F.col("family").isNull(), F.array().cast("array<string>")).otherwise(F.array("family")).alias("labels"))
+    return vectors.index_entries(rows.select("id", "text", "label"), weak).select("id", "text", "family")
+
+
+_VARIANTS = """
+    v AS (SELECT unnest(['fused', 'max', 'l1']) AS variant, unnest([1 / (1 + exp(-(-4.4484 + l0 * 0.0090 + l1 * 2.2509 + l2 * 6.4159 + knn * 1.5783))), greatest(l0, l1, l2, knn), l1]) AS score, label
+          FROM (SELECT l.*, CASE WHEN lower(g.verdict) = 'allow' THEN 0 ELSE 1 END AS label FROM (""" + _LAYERS + """) l JOIN (SELECT DISTINCT id, verdict FROM decision_log) g USING (id)))"""
+
+
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    verdicts = table(spark, d, "decision_log").select("id", F.when(F.lower("verdict") == "allow", 0).otherwise(1).alias("label"), "verdict").distinct().drop("verdict")
+    rows = _layers(spark, d).join(verdicts, "id")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), s.cast("double").alias("score")) for n, s in (("fused", scoring.fuse(_W)), ("max", scoring.strongest()["value"]), ("l1", F.col("l1")))]))
+    return rows.select("label", each.alias("x")).select("label", "x.*")
+
+
+@query("WITH " + _VARIANTS + """,
+    g AS (SELECT variant, round(score, 9) AS score, sum(label) AS p, sum(1 - label) AS n FROM v GROUP BY 1, 2),
+    c AS (SELECT variant, score, p, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY variant) AS pos, sum(n) OVER (PARTITION BY variant) AS neg FROM g WINDOW w AS (PARTITION BY variant ORDER BY score DESC))
+    SELECT variant, round(sum(p / pos * tp / (tp + fp)), 6) AS average_precision, round(coalesce(max(CASE WHEN fp / neg <= 0.01 THEN tp / pos END), 0), 6) AS tpr FROM c GROUP BY 1""")
+def headline_report(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision and the rate at 1 % false positives of the fusion, the maximum and the rules alone."""
+    rows = _variants(spark, d).withColumn("score", F.round("score", 9))
+    ap, tpr = S.average_precision(rows, ["variant"]), S.tpr_at_fpr(rows, 0.01, ["variant"])
+    return ap.join(tpr, "variant").select("variant", F.round("average_precision", 6).alias("average_precision"), F.round("tpr", 6).alias("tpr"))
+
+
+@query("WITH " + _VARIANTS + """
+    SELECT variant, count_if(score >= 0.5 AND label = 1)::BIGINT AS tp, count_if(score >= 0.5 AND label = 0)::BIGINT AS fp, count_if(score < 0.5 AND label = 0)::BIGINT AS tn, count_if(score < 0.5 AND label = 1)::BIGINT AS fn FROM v GROUP BY 1""")
+def ablation_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return S.confusion(_variants(spark, d), 0.5, ["variant"]).select("variant", "tp", "fp", "tn", "fn")
+
+
+@query("WITH " + _LABELLED + """, i AS (SELECT *, row_number() OVER () AS k FROM t)
+    SELECT label, target IS NULL AS excluded, count(*) AS n, sum(CASE WHEN target IS NULL THEN 1 ELSE 8 END)::DOUBLE AS masked, coalesce(sum(list_sum(target)), 0)::DOUBLE AS bits FROM i GROUP BY 1, 2""")
+def training_targets(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("score").isNull(), F.lit(None).cast("int")).when(F.col("score") >= 0.2, 1).otherwise(0)
+    rows = table(spark, d, "decision_log").select(F.monotonically_increasing_id().alias("id"), label.alias("label"), "taxonomy_labels")
+    weak = rows.withColumn("target", learning.weak_label(F.col("label"), F.col("taxonomy_labels")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    each = weak.select("label", "target", F.when(F.col("target").isNull(), 1.0).otherwise(8.0).alias("m"), F.coalesce(total(F.col("target").cast("array<double>")), F.lit(0.0)).alias("b"))
+    return each.groupBy("label", F.col("target").isNull().alias("excluded")).agg(F.count("*").alias("n"), F.sum("m").alias("masked"), F.sum("b").alias("bits"))
+
+
+@query()
+def calibration_fit(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d)
+    slope, offset = learning.fit_platt(rows)
+    fixed = rows.withColumn("fixed", learning.calibrated(F.col("score"), slope, offset))
+    return fixed.agg(F.lit(slope).alias("slope"), F.lit(offset).alias("offset"), S.brier(F.col("label"), F.col("score")).alias("before"), S.brier(F.col("label"), F.col("fixed")).alias("after"))
+
+
+@query()
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Linear heads on hashed words, fitted on a sample of at most 5,000 labelled rows, applied to all rows."""
+    rows = table(spark, d, "corpus_rows").where("text IS NOT NULL").select("id", "text", "label", "source_split")
+    sample = rows.where("source_split = 'train' AND label IS NOT NULL").orderBy(F.md5("id")).limit(5000)
+    target = F.array(*[F.lit(0.0)] * 7, (1 - F.col("label")).cast("double"))
+    features = learning.text_features(1 << 12).fit(rows)
+    shaped = features.transform(sample.withColumns({"target": target, "mask": F.array(*[F.lit(0.0)] * 7, F.lit(1.0))}))
+    own = shaped.select("features", F.col("target")[7].alias("label"))
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    head = LogisticRegression(regParam=1e-3, maxIter=20).fit(own)
+    return head.transform(features.transform(rows).drop("label")).select("id", (-vector_to_array("rawPrediction")[1]).alias("score"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, make_timestamp((ts * 1000000)::BIGINT)) AS hour, lower(verdict) AS verdict, count(*) AS n FROM decision_log GROUP BY 1, 2")
+def streamed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The windowed counts of a stream of decisions, run over all files and read back."""
+    from quernstone.plans.runtime import shared_dir
+    from quernstone.streaming.programs import verdict_counts
+
+    path = f"{d}/decision_log.parquet"
+    schema = spark.read.parquet(path).schema
+    import os
+    import uuid
+
+    where = f"{d}/decision_log.parquet*" if not os.path.isdir(path) else path
+    counts = verdict_counts(spark.readStream.schema(schema).parquet(where), late="30 days")
+    name, home = f"hours_{uuid.uuid4().hex}", shared_dir(spark)
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{home}/streams/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "verdict", F.col("count").alias("n"))
