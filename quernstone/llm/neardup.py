@@ -44,7 +44,7 @@ MOST_MATCHES = 8
 CHECK_COST = 40.0
 SURVIVING = 0.25
 #: Postings of a task, and the occurrences from which a member is cut into blocks of documents.
-TASK_POSTINGS = 400_000
+TASK_POSTINGS = 800_000
 HOT = 200_000
 BANDS, ROWS = 6, 3
 CHUNK = 1_500_000
@@ -181,10 +181,10 @@ def _routes(tasks: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(task[first].astype(np.int32)),
-                        *(batch.column(c).take(take) for c in ("id", "part", "n", "matches", "bitmap")),
+                        *(batch.column(c).take(take) for c in ("id", "part", "shape", "bitmap")),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))),
                     ],
-                    ["task", "id", "part", "n", "matches", "bitmap", "members"],
+                    ["task", "id", "part", "shape", "bitmap", "members"],
                 )
 
     return run
@@ -234,7 +234,7 @@ def _meet(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], I
             return
         t = pa.Table.from_batches(held).combine_chunks()
         ids = t.column("id").combine_chunks()
-        n, matches = t.column("n").to_numpy(), t.column("matches").to_numpy()
+        n, matches = np.divmod(t.column("shape").to_numpy(), MOST_MATCHES + 1)
         part = t.column("part").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
         order_id = np.empty(len(ids), np.int64)
         order_id[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
@@ -311,11 +311,12 @@ def similar_groups(rows: DataFrame, id_col: str = "id", text_col: str = "text",
     parts = connected_groups(led, "a", "b")
 
     work = heads.join(parts.select("id", F.col("group_id").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    work = work.withColumn("spread", F.xxhash64("id"))
+    # size and matches travel as one number
+    work = work.select("id", "part", (F.col("n") * (MOST_MATCHES + 1) + F.col("matches")).alias("shape"), "bitmap", "members", "hot", F.xxhash64("id").alias("spread"))
     size = profiles.agg(F.sum(F.size("members")), F.count("*")).first()
     tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil((size[0] or 0) / TASK_POSTINGS))
     most = float(code_values()[np.frombuffer(codes.value, np.uint8).max()])
-    routed = work.mapInArrow(_routes(tasks, math.ceil(most / HOT)), f"task int, id {kind}, part {kind}, n int, matches int, bitmap binary, members array<int>")
+    routed = work.mapInArrow(_routes(tasks, math.ceil(most / HOT)), f"task int, id {kind}, part {kind}, shape int, bitmap binary, members array<int>")
     met = routed.repartitionById(tasks, F.col("task")).drop("task").mapInArrow(_meet(threshold, kind), f"a {kind}, b {kind}, hits int, need int")
     candidates = met.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
     candidates = materialise(candidates.select("a", "b"), "candidates")
