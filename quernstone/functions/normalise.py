@@ -13,7 +13,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ LEET_TO = "oieastasitlc"
 SPACED = r"(?:(?<=\s)|\A)(?:[A-Za-z]\s+){3,}[A-Za-z](?=\s|\Z)"
 
 _SPACED = re.compile(SPACED)
+_APART = re.compile(r"[A-Za-z]\s+[A-Za-z]\s+[A-Za-z]\s")
 _FOLD = dict(zip(map(ord, CONFUSABLE_FROM), CONFUSABLE_TO))
 _LEET = str.maketrans(LEET_FROM, LEET_TO)
 _DROPPED = {c: "zero_width" for c in ZERO_WIDTH} | {c: "bidi" for c in BIDI}
@@ -122,37 +125,69 @@ REPORT = (
 )
 
 
-def _canonical(text: str) -> tuple[str, list[int], dict[str, int]]:
-    out: list[str] = []
-    origins: list[int] = []
+@lru_cache(maxsize=1)
+def _changing() -> tuple[re.Pattern[str], dict[str, str]]:
+    """A pattern of the characters that canonical form changes, and the compatibility forms of those that have one."""
+    wide, runs = {}, []
+    for n in range(0x80, 0x110000):
+        c = chr(n)
+        if 0xD800 <= n < 0xE000 or 0x3400 <= n < 0xA000 or 0xAC00 <= n < 0xD7A4 or 0x20000 <= n < 0x2F800:
+            continue
+        form = unicodedata.normalize("NFKC", c)
+        if form != c:
+            wide[c] = form
+        if form != c or c in _DROPPED or n in _FOLD:
+            if runs and runs[-1][1] == n - 1:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"), wide
+
+
+def _canonical(text: str) -> tuple[str, list[int] | None, dict[str, int]]:
+    """Canonical text, origins of its characters (None where they are its own positions) and what was changed."""
     counts = {"zero_width": 0, "bidi": 0, "nfkc": 0, "confusable": 0}
-    for i, c in enumerate(text):
+    pattern, wide = _changing()
+    parts: list[str] = []
+    places: list[np.ndarray] = []
+    at, moved = 0, False
+    for m in pattern.finditer(text):
+        i, c = m.start(), m.group()
+        parts.append(text[at:i])
+        places.append(np.arange(at, i, dtype=np.int32))
+        at = i + 1
         dropped = _DROPPED.get(c)
         if dropped:
             counts[dropped] += 1
+            moved = True
             continue
-        wide = c if c < "\x80" else unicodedata.normalize("NFKC", c)
-        counts["nfkc"] += wide != c
-        for x in wide:
-            if x not in _DROPPED:
-                y = _FOLD.get(ord(x))
-                counts["confusable"] += y is not None
-                out.append(y or x)
-                origins.append(i)
-    return "".join(out), origins, counts
-
-
-def _folded(text: str, origins: list[int] | None) -> tuple[str, list[int]] | None:
+        form = wide.get(c, c)
+        counts["nfkc"] += form != c
+        out = [(_FOLD.get(ord(x)), x) for x in form if x not in _DROPPED]
+        counts["confusable"] += sum(y is not None for y, _ in out)
+        parts.append("".join(y or x for y, x in out))
+        places.append(np.full(len(out), i, np.int32))
+        moved |= len(out) != 1
+    if not parts:
+        return text, None, counts
+    parts.append(text[at:])
+    places.append(np.arange(at, len(text), dtype=np.int32))
+    return "".join(parts), np.concatenate(places).tolist() if moved else None, counts
+
+
+def _folded(text: str, origins: list[int] | None) -> tuple[str, list[int] | None] | None:
     leet = text.translate(_LEET)
-    runs = list(_SPACED.finditer(leet))
+    runs = list(_SPACED.finditer(leet)) if _APART.search(leet) else []
     if leet == text and not runs:
         return None
     drop = {i for m in runs for i in range(m.start(), m.end()) if leet[i].isspace()}
-    kept = [i for i in range(len(leet)) if i not in drop] if drop else range(len(leet))
-    out = "".join([leet[i] for i in kept]) if drop else leet
+    if not drop:
+        return leet, origins
+    kept = [i for i in range(len(leet)) if i not in drop]
+    out = "".join([leet[i] for i in kept])
     if out == text:
         return None
-    return out, [origins[i] for i in kept] if origins else list(kept)
+    return out, [origins[i] for i in kept] if origins else kept
 
 
 def report(text: str | None, decode: bool = True, fold: bool = True) -> dict | None:
@@ -161,7 +196,7 @@ def report(text: str | None, decode: bool = True, fold: bool = True) -> dict | N
         return None
     long = len(text) > MAX_CHARS
     text = text[:MAX_CHARS]
-    if text.isascii() and text.isprintable():
+    if text.isascii():
         canonical, origins, counts = text, None, {"zero_width": 0, "bidi": 0, "nfkc": 0, "confusable": 0}
     else:
         canonical, origins, counts = _canonical(text)
