@@ -299,7 +299,7 @@ _COUNTS = " UNION ALL ".join(f"SELECT '{rule}' AS rule, sum(len(regexp_extract_a
     SELECT rule, n FROM c WHERE n > 0""")
 def egress_findings(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").where("text IS NOT NULL").select(ascii_only(F.col("text")).alias("text")))
-    return egress.inspect(docs, "text").select(F.explode("findings").alias("f")).groupBy(F.col("f.rule").alias("rule")).agg(F.count("*").alias("n"))
+    return egress.inspect(docs, "text").select(F.explode_outer("findings").alias("f")).where("f IS NOT NULL").groupBy(F.col("f.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
 @query()

@@ -232,7 +232,9 @@ def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True
                 v["gate"] = may(v["text"]) if may else None
         return pd.DataFrame(rows, columns=["length", "truncated", "max_depth", "capped", "zero_width", "bidi", "nfkc", "confusable", "score", "views"])
 
-    return df.withColumn(out, F.when(F.col(text_col).isNotNull(), run(F.col(text_col))))
+    # marked so that no filter inferred from a later explode runs it a second time
+    once = run.asNondeterministic()
+    return df.withColumn(out, F.when(F.col(text_col).isNotNull(), once(F.col(text_col))))
 
 
 def views(df: DataFrame, id_col: str, report_col: str = "l0") -> DataFrame:

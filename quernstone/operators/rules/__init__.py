@@ -302,7 +302,7 @@ def gate_column(rules: list[Rule], text: Column) -> Column:
         may = gate(trees)
         return pd.Series([may(t) if t is not None else [] for t in texts], dtype=object)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def scan_texts(df: DataFrame, rules: list[Rule], id_col: str, text_col: str, scope: str | Column = "user", gated: bool = True) -> DataFrame:
@@ -312,7 +312,8 @@ def scan_texts(df: DataFrame, rules: list[Rule], id_col: str, text_col: str, sco
     if gated:
         shaped = shaped.withColumn("_gate", gate_column(used, F.col("_text")))
     found = view_matches(used, "_text", "'canonical'", "_scope", "_gate" if gated else None)
-    return shaped.select("id", F.explode(found).alias("m")).select("id", "m.*")
+    # an inner explode would make the optimiser filter on the whole expression first, and so compute it twice
+    return shaped.select("id", F.explode_outer(found).alias("m")).where("m IS NOT NULL").select("id", "m.*")
 
 
 def report_matches(rules: list[Rule], views: str, scope: str) -> Column:
