@@ -7,9 +7,10 @@ into sessions before it is folded, so what one task holds is a session, not a co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.operators.ranking import after_gaps
 from quernstone.operators.scoring import VERDICTS
 
 STATES = ("normal", "probing", "establishing", "exploiting")
@@ -50,9 +51,7 @@ def state_of(risk: Column, rising: Column, drift: Column, pivot: Column, persona
 
 def sessions(turns: DataFrame, key_col: str, ts_col: str, order_col: str, ttl_s: float = TTL_S) -> DataFrame:
     """turns with a session number per key: a gap of the time to live or more begins a new one."""
-    w = Window.partitionBy(key_col).orderBy(ts_col, order_col)
-    gap = F.col(ts_col) - F.lag(ts_col).over(w)
-    return turns.withColumn("_new", F.when(gap >= ttl_s, 1).otherwise(0)).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    return after_gaps(turns, key_col, ts_col, order_col, ttl_s, "session")
 
 
 _TURN = "struct<ts:double,ord:string,score:double,verdict:int,labels:array<string>,similarity:double>"

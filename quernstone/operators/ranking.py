@@ -37,6 +37,30 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return placed.withColumn(out, _before(counts, "n") + F.col("_pos")).drop("_part", "_pos")
 
 
+def after_gaps(df: DataFrame, key: str, at: str, tie: str, gap: float, out: str) -> DataFrame:
+    """df with the number of gaps of at least `gap` before each row of its key, in order of `at` and `tie`.
+
+    The rows of one key may span many partitions: the last row of each is what the next one looks back to.
+    """
+    placed = _placed(df, [F.col(key), F.col(at), F.col(tie)])
+    ends = placed.groupBy("_part").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(at).alias("t")), "_pos").alias("end"))
+    rows = sorted(((r["_part"], r["end"]) for r in ends.collect()), key=lambda r: r[0])
+    kind = placed.schema[key].dataType
+    looked = [(p, e) for (p, _), (_, e) in zip(rows[1:], rows[:-1])]
+    back_key = F.create_map(*[x for p, e in looked for x in (F.lit(p), F.lit(e["k"]).cast(kind))])[F.col("_part")] if looked else F.lit(None).cast(kind)
+    back_at = F.create_map(*[x for p, e in looked for x in (F.lit(p), F.lit(e["t"]).cast("double"))])[F.col("_part")] if looked else F.lit(None).cast("double")
+    w = Window.partitionBy("_part").orderBy("_pos")
+    first = F.col("_pos") == 0
+    before_key, before_at = F.when(first, back_key).otherwise(F.lag(key).over(w)), F.when(first, back_at).otherwise(F.lag(at).over(w))
+    broken = F.coalesce((before_key == F.col(key)) & (F.col(at) - before_at >= gap), F.lit(False))
+    marked = materialise(placed.withColumn("_gap", F.when(broken, 1).otherwise(0)), "gaps")
+    per = marked.groupBy("_part").agg(F.sum("_gap").alias("n"))
+    counted = marked.withColumn("_gaps", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)) + _before(per, "n"))
+    starts = counted.groupBy(F.col(key).alias("_key")).agg(F.min("_gaps").alias("_least"))
+    joined = counted.join(starts, F.col(key) == F.col("_key"))
+    return joined.withColumn(out, (F.col("_gaps") - F.col("_least")).cast("int")).drop("_part", "_pos", "_gap", "_gaps", "_key", "_least")
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """df with running totals (name: column) in this order, which must be total; and the grand totals as all_name."""
     placed = _placed(df, order)
