@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.kernels import mix
 from quernstone.llm.jaccard import sets_of, verified
+from quernstone.llm.sketch import bit_table
 from quernstone.plans.runtime import materialise, text_slices
 
 BANDS, ROWS = 112, 4
 #: 64-bit words of a set's bit map.
 MAP_WORDS = 4
+#: Each side's buckets are sieved by a bit table of the other side's, of fixed size (8 MB).
+SIEVE_BITS = 26
 MAP_COLUMNS = [f"m{k}" for k in range(MAP_WORDS)]
 
 
@@ -89,6 +92,26 @@ def _buckets(words: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def _slots(batch: pa.RecordBatch) -> np.ndarray:
+    return (batch.column("bands").flatten().to_numpy().view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _sieved(sieve: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each bucket of a record that may hold a record of the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(sieve.value, np.uint8)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                slots = _slots(batch)
+                hit = np.flatnonzero((table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
+                buckets = batch.column("bands").flatten().take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([buckets, batch.column("id").take(pa.array(hit // BANDS))], ["bucket", "id"])
+
+    return run
+
+
 def split_overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text", split_col: str = "source_split", threshold: float = 0.5, words: str = "alnum") -> DataFrame:
     """(id_a, id_b), id_a < id_b: each pair of a training row with a validation or test row that is that similar."""
     side = F.when(F.col(split_col) == "train", 1).when(F.col(split_col).isin("validation", "test"), 2)
@@ -102,9 +125,12 @@ def split_overlaps(rows: DataFrame, id_col: str = "id", text_col: str = "text",
     heads = materialise(heads, "heads")
     marked = texts.join(heads.select(F.col("head").alias("id"), "sides"), "id").dropDuplicates(["id"]).select("id", "text", "sides")
     banded = materialise(marked.mapInArrow(_buckets(words), f"id {kind}, sides int, bands array<bigint>"), "bands")
-    banded = banded.select("id", "sides", F.explode("bands").alias("bucket"))
-    left = banded.where("(sides & 1) > 0").select("bucket", F.col("id").alias("t"))
-    right = banded.where("(sides & 2) > 0").select("bucket", F.col("id").alias("e"))
+    sides = []
+    for own, other in ((1, 2), (2, 1)):
+        sieve = bit_table(banded.where(f"(sides & {other}) > 0").select("bands"), _slots, SIEVE_BITS)
+        shipped = rows.sparkSession.sparkContext.broadcast(sieve.tobytes())
+        sides.append(banded.where(f"(sides & {own}) > 0").select("id", "bands").mapInArrow(_sieved(shipped), f"bucket bigint, id {kind}"))
+    left, right = sides[0].withColumnRenamed("id", "t"), sides[1].withColumnRenamed("id", "e")
     crossed = left.join(right, "bucket").where("t <> e").select(F.least("t", "e").alias("a"), F.greatest("t", "e").alias("b")).distinct()
     maps = heads.select(F.col("head").alias("id"), "n", "spare", *MAP_COLUMNS)
     hopeful = crossed.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id")).where(may_overlap(threshold)).select("a", "b")

@@ -53,6 +53,35 @@ def slot_counts(df: DataFrame, slots: Callable[[pa.RecordBatch], Iterator[np.nda
     return table.reshape(-1)
 
 
+def bit_table(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """Packed bits (little end first) of the slots that occur, 2**bits of them whatever the input."""
+    size = 1 << (bits - 3)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, np.uint8)
+        for batch in batches:
+            some = np.unique(slots(batch))
+            np.bitwise_or.at(table, some >> 3, np.left_shift(1, some & 7).astype(np.uint8))
+        yield from _send(table)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                part = np.frombuffer(part, np.uint8)
+                held[block] = held[block] | part if block in held else part
+        for block, part in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    blocks = max(1, size // BLOCK)
+    merged = df.mapInArrow(add, schema).repartition(min(blocks, 16), F.col("block")).mapInArrow(merge, schema)
+    table = np.zeros((blocks, size // blocks), np.uint8)
+    for row in merged.toLocalIterator():
+        table[row.block] = np.frombuffer(row.counts, np.uint8)
+    return table.reshape(-1)
+
+
 def log_codes(counts: np.ndarray) -> np.ndarray:
     """Counts as bytes that rise with them: 0 for 0, 1 for 1, then eight steps for each doubling."""
     codes = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8) + (counts > 0)
