@@ -58,11 +58,10 @@ def bit_table(df: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], bits
     size = 1 << (bits - 3)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.uint8)
+        marks = np.zeros(1 << bits, bool)
         for batch in batches:
-            some = np.unique(slots(batch))
-            np.bitwise_or.at(table, some >> 3, np.left_shift(1, some & 7).astype(np.uint8))
-        yield from _send(table)
+            marks[slots(batch)] = True
+        yield from _send(np.packbits(marks, bitorder="little"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
