@@ -4,6 +4,8 @@ For every pair of a true and a wrong encoding the garbled form of each plausible
 encodings) or pair of letters (single-byte encodings) is computed beforehand, and one automaton finds
 all of them in a single pass over the text. Only matched spans are replaced; correct text around them
 stays as it is. Passes repeat while they find anything, so that text garbled twice is restored too.
+Japanese that was Shift-JIS or EUC-JP is looked for first, stretch by stretch, since its bytes form
+sequences of UTF-8 by chance.
 
 A match counts only where it is no ordinary text: forms that consist of letters of one alphabet need a
 neighbour that matches as well, single-byte forms need whole words of them in a consistent letter case.
@@ -32,6 +34,8 @@ LETTERWISE = (("cp1251", "cp1252"), ("cp1253", "cp1252"), ("koi8-r", "cp1252"),
 CYRILLIC_PAIRS = (("koi8-r", "cp1251"), ("cp1251", "koi8-r"))
 #: Single-byte pairs of Latin alphabets: true, wrong.
 LATIN_PAIRS = (("iso8859-2", "latin-1"), ("cp1250", "cp1252"), ("cp1250", "latin-1"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"))
+#: Encodings of Japanese that are read as latin-1 or cp1252, each with the shape of a character.
+JAPANESE = {"cp932": r"[\x81-\x9f\xe0-\xfc][@-~\x80-\xfc]|[\xa1-\xdf]", "euc_jp": r"[\xa1-\xfe]{2}|\x8e[\xa1-\xdf]|\x8f[\xa1-\xfe]{2}"}
 #: Letters of the languages in question beyond ASCII.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœąćęłńóśźżčďěňřšťůž"
 PUNCTUATION = "‘’“”–—…€™‚„•«»°£¥§©®±½¼¾·¿¡\xa0"
@@ -188,6 +192,108 @@ def byte_spans(text: str) -> list[Span]:
     return out
 
 
+_AS_BYTES = {ord(c): b for b in range(0x80, 0xA0) if (c := read_as(bytes([b]), "cp1252")) != chr(b)}
+_JAPANESE_HINT = re.compile(r"[\x82‚][Ÿ\x9f-ñ]|[\x83ƒ][@-~\x80-\x96€-™]|[¤¥][¡-ö]|[\x88-\x98][@-~\x80-ü]")
+_UNITS = {true: re.compile(shape) for true, shape in JAPANESE.items()}
+_STRETCH = {true: re.compile(f"(?:{shape})+") for true, shape in JAPANESE.items()}
+_IDEOGRAPH_BYTES = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}")
+
+
+def _kind(c: str, unit: str, true: str) -> str:
+    """K: kana, C: common kanji, P: punctuation and full-width forms, H: half-width kana, R: anything rare."""
+    if "\u3041" <= c <= "\u30ff":
+        return "K"
+    if "\u4e00" <= c <= "\u9fff":
+        return "C" if ("\x88" <= unit[0] <= "\x98" if true == "cp932" else "\xb0" <= unit[0] <= "\xcf") else "R"
+    if "\u3000" <= c <= "\u3040" or "\uff01" <= c <= "\uff5e":
+        return "P"
+    return "H" if "\uff61" <= c <= "\uff9f" else "R"
+
+
+def _stretches(raw: str, true: str, start: int, end: int) -> Iterator[tuple[int, int, str, str]]:
+    """(begin, end, original, kinds) of what decodes in a stretch, cut where a character isn't assigned."""
+    begin, at, out, kinds = start, start, [], []
+    while at < end and (m := _UNITS[true].match(raw, at, end)):
+        try:
+            c = m.group().encode("latin-1").decode(true)
+        except UnicodeDecodeError:
+            if out:
+                yield begin, at, "".join(out), "".join(kinds)
+            begin, out, kinds = m.end(), [], []
+        else:
+            out.append(c)
+            kinds.append(_kind(c, m.group(), true))
+        at = m.end()
+    if out:
+        yield begin, at, "".join(out), "".join(kinds)
+
+
+def _was_utf8(raw: str, a: int, b: int) -> bool:
+    while a and "\x80" <= raw[a - 1] <= "\xff":
+        a -= 1
+    while b < len(raw) and "\x80" <= raw[b] <= "\xff":
+        b += 1
+    data = raw[a:b].encode("latin-1")
+    try:
+        data.decode()
+        return True
+    except UnicodeDecodeError:
+        return 6 * len(_IDEOGRAPH_BYTES.findall(data)) > len(data)
+
+
+def japanese_spans(text: str) -> list[Span]:
+    """Stretches of Japanese that were Shift-JIS or EUC-JP, each in the encoding that gives most kana and common kanji.
+
+    A stretch counts by three kana, or by kanji alone if control characters lead them; shorter ones count
+    next to it.
+    """
+    if not _JAPANESE_HINT.search(text):
+        return []
+    raw = text.translate(_AS_BYTES)
+    sure, rest = [], []
+    for true in JAPANESE:
+        for m in _STRETCH[true].finditer(raw):
+            # a letter that stands before the stretch shifts all of it by one
+            readings = [list(_stretches(raw, true, a, m.end())) for a in (m.start(), m.start() + 1)]
+            for a, b, original, kinds in max(readings, key=lambda r: sum(k.count("K") + k.count("C") - 2 * k.count("R") - k.count("H") for *_, k in r)):
+                n, kana = len(kinds), kinds.count("K")
+                odd = kinds.count("R")
+                found = kana > 2 and 5 * (odd + kinds.count("H")) <= n
+                # Greek that was UTF-8 and read as cp850 or cp852: the sign leads half of its letters
+                found = found and not ("╬" in text and true == "euc_jp" and set(raw[a:b:2]) == {"¤"})
+                if not found and true == "cp932" and kinds.count("C") > 1 and set(kinds) <= set("KCP"):
+                    found = not (a and "\x80" <= raw[a - 1] <= "\xff") and all("\x80" <= text[u.start()] < "\xa0" for u in _UNITS[true].finditer(raw, a, b))
+                if found and not _was_utf8(raw, a, b):
+                    sure.append((n - odd, a, b, original, true))
+                elif 5 * odd <= n:
+                    rest.append((a, b, original, true))
+    if not sure:
+        return []
+    taken: list[tuple[int, int, str, str]] = []
+    for _, a, b, original, true in sorted(sure, reverse=True):
+        if all(b <= x or y <= a for x, y, *_ in taken):
+            taken.append((a, b, original, true))
+    taken.sort()
+    # short stretches beside them, without a letter in between, were garbled with them
+    for order, near in ((1, lambda t, r: (t[1], r[0])), (-1, lambda t, r: (r[1], t[0]))):
+        merged = sorted(taken + rest)[::order]
+        last, spans = None, []
+        for s in merged:
+            if s in taken:
+                spans.append(s)
+                last = s
+            elif last and s[3] == last[3]:
+                x, y = near(last, s)
+                if 0 <= y - x <= 40 and not any(c.isalpha() for c in text[x:y]):
+                    spans.append(s)
+                    last = s
+        taken = []
+        for s in sorted(spans):
+            if not taken or taken[-1][1] <= s[0]:
+                taken.append(s)
+    return [(a, b, original) for a, b, original, _ in taken]
+
+
 _WORD = re.compile(r"[^\W\d_]+")
 _INVERTED = re.compile(r"(?<![^\W\d_])[а-яё][А-ЯЁ]{2,}(?![^\W\d_])")
 _CYRILLIC_WORD = re.compile(r"(?<![^\W\d_])[А-яЁёЈі╦╗]+(?![^\W\d_])")
@@ -323,11 +429,13 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         return text, 0, False
     count = 0
     for _ in range(3):
-        spans = byte_spans(text)
-        if not spans:
+        before = count
+        for find in (japanese_spans, byte_spans):
+            spans = find(text)
+            count += len(spans)
+            text = _replaced(text, spans)
+        if count == before:
             break
-        count += len(spans)
-        text = _replaced(text, spans)
     if not count:
         spans = letter_spans(text) or cyrillic_spans(text) or latin_spans(text)
         count = len(spans)

@@ -165,6 +165,27 @@ def test_garbled_text_is_found(text, true, wrong):
         assert fixed == f"Before all. {text} 12 after"
 
 
+JAPANESE = "図書館の質問が確認された。つつの設定は古い、カタカナとも「会議」"
+
+
+@pytest.mark.parametrize("true", ["cp932", "euc_jp"])
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+def test_japanese_of_old_encodings_is_restored(true, wrong):
+    for text in (JAPANESE, JAPANESE * 40, "これは\n" + JAPANESE + " 12 図書館", "ですね"):
+        garbled = mojibake.read_as(text.encode(true), wrong)
+        assert mojibake.repair(f"Before all. {garbled} 12 after, für £5")[0] == f"Before all. {text} 12 after, für £5"
+    mixed = mojibake.read_as(JAPANESE.encode(true), wrong) + " and " + mojibake.read_as("Größe über".encode(), wrong)
+    assert mojibake.repair(mixed)[0] == JAPANESE + " and Größe über"
+
+
+@pytest.mark.parametrize("text", ["図書館の質問が確認された。", "カタカナとひらがな", "für später", "そのつつは"])
+def test_utf8_is_not_taken_for_japanese_of_old_encodings(text):
+    for wrong in ("latin-1", "cp1252"):
+        once = mojibake.read_as(text.encode(), wrong)
+        assert mojibake.japanese_spans(once) == mojibake.japanese_spans(mojibake.read_as(once.encode(), wrong)) == []
+    assert mojibake.japanese_spans(mojibake.read_as("Στυφτσς στρ ο φτωχ".encode(), "cp850")) == []
+
+
 def test_twice_garbled_and_lost():
     twice = mojibake.read_as(mojibake.read_as("für später".encode(), "cp1252").encode(), "cp1252")
     assert mojibake.repair(twice)[0] == "für später"
