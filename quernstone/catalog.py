@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import decoding as D, normalise as N
 from quernstone.operators import adaptive, conversation, corpus, egress, learning, rules as R, scoring, statistics as S, vectors
 from quernstone.operators.ranking import numbered
-from quernstone.plans import detect as plan
+from quernstone.plans import corpus as building, detect as plan
 from quernstone.plans.runtime import spread, table
 from quernstone.sources import records
 
@@ -432,6 +432,51 @@ def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
     return corpus.manifest(corpus.remediate(_assigned(spark, d)).where("kept")).select("partition", "row_count", "licenses", "tiers", "sha256")
 
 
+# The same on clusters computed from the texts; the queries above take the given families, as their SQL does.
+
+_CLUSTERED = f"computed AS ({SQL['similarity_clusters']}), " + _ASSIGNED.replace("family AS cluster", "cluster").replace("FROM corpus_rows)", "FROM corpus_rows LEFT JOIN (SELECT DISTINCT id, cluster FROM computed) USING (id))")
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    return building.clustered(table(spark, d, "corpus_rows"), _BACKBONE)
+
+
+@query("WITH " + _CLUSTERED + " SELECT id, partition, kept FROM r")
+def clustered_rows(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.remediate(_clustered(spark, d)).select("id", "partition", "kept")
+
+
+@query("WITH " + _CLUSTERED + """, p AS (SELECT cluster, count(*) AS n, count(DISTINCT partition) AS parts FROM a WHERE cluster IS NOT NULL GROUP BY 1)
+    SELECT count_if(parts > 1)::BIGINT AS cross_split_clusters_remediated, count_if(parts = 1 AND n > 1)::BIGINT AS within_split_duplicates_collapsed, sum(n - 1)::BIGINT AS dropped FROM p""")
+def clustered_findings(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.findings(_clustered(spark, d))
+
+
+@query("WITH " + _CLUSTERED + " SELECT partition, source, count(*) AS n FROM r WHERE kept GROUP BY 1, 2")
+def clustered_sources(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.remediate(_clustered(spark, d)).where("kept").groupBy("partition", "source").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + _CLUSTERED + " SELECT cluster, count(DISTINCT partition) AS partitions, count(*) AS rows FROM a WHERE cluster IS NOT NULL GROUP BY 1 HAVING count(DISTINCT partition) > 1")
+def leaking_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.leaking_clusters(_clustered(spark, d))
+
+
+@query("WITH " + _CLUSTERED + """,
+    n AS (SELECT cluster, row_number() OVER (ORDER BY md5('0:' || id), id) - 1 AS r, count(*) OVER () AS n FROM a),
+    c AS (SELECT *, floor(n * 0.8) AS x, floor(n * 0.8) + floor(n * 0.1) AS y FROM n)
+    SELECT round(avg(CASE WHEN cluster IN (SELECT cluster FROM c WHERE r < x) THEN 1.0 ELSE 0 END), 6) AS leakage FROM c WHERE r >= y""")
+def clustered_split_leakage(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.naive_leakage(_clustered(spark, d).select("id", "cluster"))
+
+
+@query()
+def clustered_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of the whole build, which fails if the audit finds a leak."""
+    _, _, manifest = building.build(table(spark, d, "corpus_rows"), _BACKBONE)
+    return manifest.select("partition", "row_count", "licenses", "tiers", "sha256")
+
+
 # -- evaluation ----------------------------------------------------------------------------------
 
 _SCORED = "s AS (SELECT doc_id AS id, label, (length(text) % 97) / 97.0::DOUBLE AS score FROM documents WHERE label IS NOT NULL AND text IS NOT NULL)"

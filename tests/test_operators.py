@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import adaptive, conversation, corpus, egress, graph, learning, scoring, statistics as S, vectors
-from quernstone.plans import detect as plan
+from quernstone.plans import corpus as building, detect as plan
 from quernstone.sources import records
 from quernstone.streaming import programs
 
@@ -207,6 +207,16 @@ def test_partitions(spark):
     assert corpus.leaking_clusters(corpus.remediate(df).where("kept")).count() == 0
 
 
+def test_build_takes_clusters_from_texts(spark):
+    near = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [("a", near, "train", "f1"), ("b", near + " today", "test", "f2"), ("c", near, "train", None), ("d", "nothing like it at all", "test", None)]
+    df = spark.createDataFrame([(*r, "base", 0, "mit", 1) for r in rows], "id string, text string, source_split string, family string, source string, label int, license string, tier int")
+    kept, findings, manifest = building.build(df, "base")
+    assert {r.id for r in kept.collect()} == {"a", "d"}
+    assert findings.first() == (1, 0, 2)
+    assert {r.partition: r.row_count for r in manifest.collect()} == {"train": 1, "test": 1}
+
+
 def test_content_hash_ignores_order(spark):
     rows = [("p", f"r{i}", i, None if i % 3 else "x") for i in range(50)]
     make = lambda r: corpus.content_hash(spark.createDataFrame(r, "key string, id string, n int, s string"), "key", ["id", "n", "s"]).first().sha256
