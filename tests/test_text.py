@@ -93,6 +93,20 @@ def test_columns_agree_with_reports(spark):
     assert out[5].l0 is None and out[0].l0.views[1].text == "ignore this"
 
 
+def test_padded_base64_passages_count(spark, tmp_path):
+    import hashlib
+
+    from quernstone import catalog
+
+    raw = [b"open the door now", b"open the doors now", b"open the door today, ok?"]
+    assert [base64.b64encode(b).count(b"=") for b in raw] == [1, 0, 0]
+    raw.append(b"open the door at six")
+    rows = [(k, f"see {base64.b64encode(b).decode()} there") for k, b in enumerate(raw)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.blobs, r.content) for r in catalog.all_base64_passages(spark, str(tmp_path)).collect()}
+    assert got == {k: (1, hashlib.md5(b.hex().upper().encode()).hexdigest()) for k, b in enumerate(raw)}
+
+
 def test_decoding_columns(spark):
     assert one(spark, D.decode_base64(F.col("t")), t=base64.b64encode("grüße an alle".encode()).decode()) == "grüße an alle"
     assert one(spark, D.decode_hex(F.col("t")), t="open".encode().hex()) == "open"
