@@ -519,7 +519,7 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return S.bootstrap_tpr(spread(_scored(spark, d)), 0.1, 200)
+    return S.bootstrap_tpr(spread(_scored(spark, d)), 0.1)
 
 
 @query("WITH " + _SCORED + """, x AS (SELECT threshold, count_if(score >= threshold AND label = 1) AS tp, count_if(score >= threshold AND label <> 1) AS fp,

@@ -217,6 +217,14 @@ def test_build_takes_clusters_from_texts(spark):
     assert {r.partition: r.row_count for r in manifest.collect()} == {"train": 1, "test": 1}
 
 
+def test_bootstrap_is_registered_with_all_resamples(spark, tmp_path):
+    from quernstone import catalog
+
+    rows = [(k, "x" * (7 * k), k % 2) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, label int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["bootstrap_interval"](spark, str(tmp_path)).first().resamples == 2000
+
+
 def test_content_hash_ignores_order(spark):
     rows = [("p", f"r{i}", i, None if i % 3 else "x") for i in range(50)]
     make = lambda r: corpus.content_hash(spark.createDataFrame(r, "key string, id string, n int, s string"), "key", ["id", "n", "s"]).first().sha256
