@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,26 +30,51 @@ def session(app: str = "quernstone", cores: str = "*", **conf: str) -> SparkSess
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor; the folder is removed when the
-    application ends.
+    Cuts the lineage with files that outlive any executor. The shuffle files behind the table are removed
+    once it is written, since nothing reads them again; the table itself when it is released, or else
+    when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    _delete(spark, path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_to"] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(jpath) if at_exit else files.delete(jpath, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that materialise wrote; nothing that is still to be computed may read them."""
+    for df in tables:
+        if path := df.__dict__.pop("_written_to", None):
+            _delete(df.sparkSession, path, False)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 400_000) -> Iterator[pa.RecordBatch]:
