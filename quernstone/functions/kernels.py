@@ -91,17 +91,23 @@ def word_spans(codes: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tup
 
 
 def pair_sets(texts: list[str], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed pairs of adjacent words per text, lower-cased: values sorted within each row, and row offsets."""
-    codes, starts = code_points([t.lower() for t in texts])
-    s, e, row = word_spans(codes, starts, inside)
-    words = SpanHash(codes).of(s, e)
-    follows = row[1:] == row[:-1]
-    pairs = mix(words[:-1] * np.uint64(3) + mix(words[1:]))[follows]
-    row = row[:-1][follows]
-    order = np.argsort(pairs, kind="stable")
-    order = order[np.argsort(row[order], kind="stable")]
-    pairs, row = pairs[order], row[order]
-    fresh = np.ones(len(pairs), bool)
-    fresh[1:] = (pairs[1:] != pairs[:-1]) | (row[1:] != row[:-1])
-    pairs, row = pairs[fresh], row[fresh]
-    return pairs, np.searchsorted(row, np.arange(len(texts) + 1))
+    """Distinct pairs of adjacent words per text, lower-cased, as hashes: values sorted within each row, and row offsets.
+
+    A hash has its 48 bits at the upper end, so that one sort of row and hash together orders all rows.
+    """
+    found, sizes = [], [np.zeros(1, np.int64)]
+    for k in range(0, len(texts), 1 << 16):
+        some = texts[k : k + (1 << 16)]
+        codes, starts = code_points([t.lower() for t in some])
+        s, e, row = word_spans(codes, starts, inside)
+        words = SpanHash(codes).of(s, e)
+        follows = row[1:] == row[:-1]
+        keys = mix(words[:-1] * np.uint64(3) + mix(words[1:]))[follows] >> np.uint64(16)
+        keys |= row[:-1][follows].astype(np.uint64) << np.uint64(48)
+        keys.sort()
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        keys = keys[fresh]
+        found.append(keys << np.uint64(16))
+        sizes.append(np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=len(some)))
+    return np.concatenate(found or [np.zeros(0, np.uint64)]), np.cumsum(np.concatenate(sizes))

@@ -77,6 +77,41 @@ def _advance(half_life_s: float):
     return step
 
 
+RECORD = _RECORD
+
+
+def fresh_record() -> Column:
+    """The record of a conversation without turns."""
+    return F.struct(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.array(), F.array(), F.lit(0), F.array()).cast(_RECORD)
+
+
+def folded(turns: Column, start: Column, half_life_s: float = HALF_LIFE_S, ttl_s: float = TTL_S) -> Column:
+    """The record after an array of turns in order; its `out` has a step for each of them.
+
+    A turn that comes the time to live or later after the last one finds a fresh record, so the fold may
+    run over a whole conversation or over what is new of it and gives the same.
+    """
+    advance = _advance(half_life_s)
+
+    def step(acc: Column, t: Column) -> Column:
+        over = (acc["turn"] > 0) & (t["ts"] - acc["last"] >= ttl_s)
+        return advance(F.when(over, fresh_record().withField("out", acc["out"])).otherwise(acc), t)
+
+    return F.aggregate(turns, start, step)
+
+
+def turn_column(ts: Column, order: Column, score: Column, verdict: Column, labels: Column, similarity: Column | None = None) -> Column:
+    """A turn as the fold takes it: null scores count as 0, null verdicts as allow, null labels as none."""
+    return F.struct(
+        ts.cast("double").alias("ts"),
+        order.cast("string").alias("ord"),
+        F.coalesce(score.cast("double"), F.lit(0.0)).alias("score"),
+        F.coalesce(verdict.cast("int"), F.lit(0)).alias("verdict"),
+        F.coalesce(labels, F.array().cast("array<string>")).alias("labels"),
+        (F.lit(None) if similarity is None else similarity).cast("double").alias("similarity"),
+    ).cast(_TURN)
+
+
 def follow(turns: DataFrame, key_col: str, ts_col: str, order_col: str, score_col: str, verdict_col: str, labels_col: str, similarity_col: str | None = None, half_life_s: float = HALF_LIFE_S, ttl_s: float = TTL_S) -> DataFrame:
     """(key, session, ts, ord, turn, risk, state, verdict, floored) of every turn with a key.
 
@@ -84,18 +119,10 @@ def follow(turns: DataFrame, key_col: str, ts_col: str, order_col: str, score_co
     conversation and are left out; `ord` breaks ties of time.
     """
     kept = turns.where(F.col(key_col).isNotNull() & F.col(ts_col).isNotNull())
-    turn = F.struct(
-        F.col(ts_col).cast("double").alias("ts"),
-        F.col(order_col).cast("string").alias("ord"),
-        F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)).alias("score"),
-        F.coalesce(F.col(verdict_col).cast("int"), F.lit(0)).alias("verdict"),
-        F.coalesce(F.col(labels_col), F.array().cast("array<string>")).alias("labels"),
-        (F.col(similarity_col) if similarity_col else F.lit(None)).cast("double").alias("similarity"),
-    ).cast(_TURN)
+    turn = turn_column(F.col(ts_col), F.col(order_col), F.col(score_col), F.col(verdict_col), F.col(labels_col), F.col(similarity_col) if similarity_col else None)
     cut = sessions(kept, key_col, ts_col, order_col, ttl_s)
     grouped = cut.groupBy(F.col(key_col).alias("key"), "session").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    start = F.struct(F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.array(), F.array(), F.lit(0), F.array()).cast(_RECORD)
-    walked = grouped.select("key", "session", F.aggregate("turns", start, _advance(half_life_s), lambda acc: acc["out"]).alias("out"))
+    walked = grouped.select("key", "session", F.aggregate("turns", fresh_record(), _advance(half_life_s), lambda acc: acc["out"]).alias("out"))
     return walked.select("key", "session", F.explode("out").alias("o")).select("key", "session", "o.*")
 
 
@@ -105,6 +132,13 @@ def named(df: DataFrame) -> DataFrame:
     return df.withColumns({"state": pick(STATES, "state"), "verdict": pick(VERDICTS, "verdict"), "floored": pick(VERDICTS, "floored")})
 
 
-def record_json(df: DataFrame, record_col: str = "record") -> Column:
-    """A conversation record as JSON with sorted labels, as the state store keeps it."""
-    return F.to_json(F.col(record_col).withField("labels", F.array_sort(F.col(record_col)["labels"])))
+def record_json(record: Column) -> Column:
+    """A conversation record as JSON with sorted labels and without its steps, as a state store keeps it."""
+    return F.to_json(record.withField("labels", F.array_sort(record["labels"])).dropFields("out"))
+
+
+def record_from_json(text: Column) -> Column:
+    """The record that record_json wrote; a fresh one for null or what is none."""
+    read = F.from_json(text, _RECORD)
+    whole = read["turn"].isNotNull() & read["labels"].isNotNull() & read["scores"].isNotNull()
+    return F.when(whole, read.withField("out", F.array().cast(f"array<{_STEP}>"))).otherwise(fresh_record())

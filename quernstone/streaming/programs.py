@@ -1,67 +1,66 @@
-"""Streams: conversation risk with state per key, output scanned chunk by chunk, recent decisions, counts."""
+"""Streams: conversation risk with a record per key, output scanned chunk by chunk, recent decisions, counts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from quernstone.operators import conversation as C
+from quernstone.plans.runtime import materialise, release
 
-_STATE = "state int, turn int, risk double, last double, labels array<string>, scores array<double>, verdict int"
-_OUT = "key string, ts double, ord string, turn int, risk double, state int, verdict int, floored int"
-
-
-def advance(record: tuple, turn: dict, half_life_s: float = C.HALF_LIFE_S) -> tuple:
-    """One turn folded into a record (state, turn, risk, last, labels, scores, verdict)."""
-    _, n, risk, last, labels, scores, before = record
-    new = list(turn["labels"] or [])
-    risk = risk * 0.5 ** (max(0.0, turn["ts"] - last) / half_life_s) + max(0.0, turn["score"] - C.NOISE)
-    scores = [*scores, turn["score"]][-C.WINDOW :]
-    rising, first, run = False, 0, 1
-    for i in range(1, len(scores)):
-        first, run = (first, run + 1) if scores[i] > scores[i - 1] else (i, 1)
-        rising = rising or (run >= C.RUN and scores[i] - scores[first] >= C.RISE)
-    had = C.PERSONA in labels
-    drift = had and any(x in C.ESCALATION for x in new)
-    similarity = turn.get("similarity")
-    pivot = before >= 3 and similarity is not None and similarity == similarity and similarity < C.PIVOT
-    if drift or pivot or risk >= C.EXPLOITING:
-        state = 3
-    elif had or C.PERSONA in new or rising:
-        state = 2
-    else:
-        state = int(risk >= C.PROBING)
-    return state, n + 1, risk, turn["ts"], [*labels, *(x for x in dict.fromkeys(new) if x not in labels)], scores, turn["verdict"]
-
-
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fresh = (0, 0, 0.0, 0.0, [], [], 0)
-    if state.hasTimedOut:
-        state.remove()
-        return
-    record = tuple(list(x) if hasattr(x, "tolist") else x for x in state.get) if state.exists else fresh
-    turns = pd.concat(list(batches)).sort_values(["ts", "ord"])
-    out = []
-    for t in turns.to_dict("records"):
-        if record[1] and t["ts"] - record[3] >= C.TTL_S:
-            record = fresh
-        t["labels"] = list(t["labels"]) if t["labels"] is not None else []
-        record = advance(record, t)
-        out.append((key[0], t["ts"], t["ord"], record[1], record[2], record[0], t["verdict"], max(t["verdict"], C.FLOORS[record[0]])))
-    state.update(record)
-    state.setTimeoutDuration(int(C.TTL_S * 1000))
-    yield pd.DataFrame(out, columns=["key", "ts", "ord", "turn", "risk", "state", "verdict", "floored"])
+def _fs(spark: SparkSession, path: str) -> tuple:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _before(spark: SparkSession, path: str, epoch: int, schema: StructType) -> DataFrame | None:
+    """The table that the epoch before this one left under `path`; None where there is none yet."""
+    held = f"{path}/{epoch - 1}"
+    files, jpath = _fs(spark, held)
+    return spark.read.schema(schema).parquet(held) if epoch and files.exists(jpath) else None
+
+
+def _forget(spark: SparkSession, path: str, epoch: int) -> None:
+    """Remove what no restart can ask for: epochs before the last but one."""
+    files, jpath = _fs(spark, f"{path}/{epoch - 2}")
+    files.delete(jpath, True)
+
+
+def follow_stream(turns: DataFrame, path: str, checkpoint: str, late_s: float = C.TTL_S, half_life_s: float = C.HALF_LIFE_S, ttl_s: float = C.TTL_S) -> StreamingQuery:
+    """Follow conversations (key, ts, ord, score, verdict, labels and, if it is there, similarity) by the fold of the batch operator.
 
+    Each micro-batch folds its turns, in order of event time, from the records that the last one left, and
+    writes the steps (key, ts, ord, turn, risk, state, verdict, floored) to `path`/steps/epoch and the
+    records to `path`/records/epoch. Expiry goes by event time, so a replay gives what the batch gives. A
+    record is dropped once the newest turn is its time to live and `late_s` ahead. An epoch that runs again
+    overwrites what it wrote.
+    """
+    schema = StructType.fromDDL(f"key {turns.schema['key'].dataType.simpleString()}, record {C.RECORD}")
 
-def follow_stream(turns: DataFrame) -> DataFrame:
-    """The trajectory of every turn (key, ts, ord, score, verdict, labels); state ends with its time to live."""
-    shaped = turns.where("key IS NOT NULL").select("key", F.col("ts").cast("double").alias("ts"), F.col("ord").cast("string").alias("ord"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("verdict").cast("int"), F.lit(0)).alias("verdict"), "labels")
-    return shaped.groupBy("key").applyInPandasWithState(_follow, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def fold(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        similarity = F.col("similarity") if "similarity" in batch.columns else None
+        turn = C.turn_column(F.col("ts"), F.col("ord"), F.col("score"), F.col("verdict"), F.col("labels"), similarity)
+        own = batch.where("key IS NOT NULL AND ts IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+        held = _before(spark, f"{path}/records", epoch, schema)
+        both = own.withColumn("record", F.lit(None).cast(C.RECORD)) if held is None else own.join(held, "key", "full")
+        moved = both.select("key", F.when(F.col("turns").isNull(), F.col("record")).otherwise(C.folded(F.col("turns"), F.coalesce("record", C.fresh_record()), half_life_s, ttl_s)).alias("record"), F.col("turns").isNotNull().alias("new"))
+        moved = materialise(moved, "folded")
+        steps = moved.where("new").select("key", F.explode("record.out").alias("o")).select("key", "o.*")
+        steps.write.mode("overwrite").parquet(f"{path}/steps/{epoch}")
+        newest = moved.agg(F.max("record.last")).first()[0] or 0.0
+        kept = moved.where(F.col("record.last") > newest - ttl_s - late_s).select("key", F.col("record").withField("out", F.array().cast(moved.schema["record"].dataType["out"].dataType)).alias("record"))
+        kept.write.mode("overwrite").parquet(f"{path}/records/{epoch}")
+        release(moved)
+        _forget(spark, f"{path}/records", epoch)
+
+    return turns.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class ChunkScanner:
@@ -140,17 +139,30 @@ def keep_recent(decisions: DataFrame, path: str, checkpoint: str, most: int = 50
     """Keep the newest decisions in a Parquet table under `path`, one folder a batch."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}") if epoch else None
-        except Exception:  # noqa: BLE001 - the first batch after a restart has nothing to merge with
-            held = None
+        held = _before(batch.sparkSession, path, epoch, batch.schema)
         both = batch.unionByName(held) if held is not None else batch
         both.dropDuplicates(["id"]).orderBy(F.desc("ts"), F.desc("id")).limit(most).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        _forget(batch.sparkSession, path, epoch)
 
     return decisions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def live_feed(held: DataFrame, decisions: DataFrame, path: str, checkpoint: str, first: int = 20) -> StreamingQuery:
+    """A feed of decisions under `path`: the newest of those held, oldest first, as epoch=-1, then each batch of new ones as it comes.
+
+    Decisions that were held already do not come again.
+    """
+    recent = held.orderBy(F.desc("ts"), F.desc("id")).limit(first).orderBy("ts", "id")
+    recent.coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch=-1")
+    columns = held.columns
+
+    def tail(batch: DataFrame, epoch: int) -> None:
+        begun = batch.sparkSession.read.schema(held.schema).parquet(f"{path}/epoch=-1")
+        batch.select(columns).dropDuplicates(["id"]).join(begun.select("id"), "id", "left_anti").select(columns).sortWithinPartitions("ts", "id").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return decisions.writeStream.foreachBatch(tail).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def verdict_counts(decisions: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Verdicts by tumbling windows of event time; later rows than `late` are dropped. An extension."""
     at = F.col("ts").cast("timestamp")

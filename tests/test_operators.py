@@ -51,13 +51,21 @@ def run(spark, turns):
     rows = [("c", float(t), f"{i:03}", s, v, labels, sim) for i, (t, s, v, labels, sim) in enumerate(turns)]
     df = spark.createDataFrame(rows, "key string, ts double, ord string, score double, verdict int, labels array<string>, sim double")
     out = conversation.follow(df, "key", "ts", "ord", "score", "verdict", "labels", "sim").orderBy("ord").collect()
-    record, plain = (0, 0, 0.0, 0.0, [], [], 0), []
-    for i, (t, s, v, labels, sim) in enumerate(turns):
-        if record[1] and t - record[3] >= conversation.TTL_S:
-            record = (0, 0, 0.0, 0.0, [], [], 0)
-        record = programs.advance(record, {"ts": float(t), "score": s or 0.0, "verdict": v or 0, "labels": labels, "similarity": sim})
-        plain.append((record[1], record[0], round(record[2], 9)))
-    assert [(r.turn, r.state, round(r.risk, 9)) for r in out] == plain
+    # the risk by its definition: each turn adds what is above the noise, halved every five minutes since
+    begun, expected = 0, []
+    for i, (t, *_) in enumerate(turns):
+        if i and t - turns[i - 1][0] >= conversation.TTL_S:
+            begun = i
+        expected.append(sum(max(0.0, (s or 0.0) - conversation.NOISE) * 0.5 ** ((t - u) / conversation.HALF_LIFE_S) for u, s, *_ in turns[begun : i + 1]))
+    assert [r.risk for r in out] == pytest.approx(expected)
+    # and the fold over all turns at once, or from a record in between, gives the same
+    turn = conversation.turn_column(*[F.col(c) for c in ("ts", "ord", "score", "verdict", "labels", "sim")])
+    whole = df.agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    half = len(turns) // 2
+    first = conversation.folded(F.slice("t", 1, half), conversation.fresh_record()) if half else conversation.fresh_record()
+    kept = whole.select("t", conversation.record_from_json(conversation.record_json(first)).alias("r"))
+    steps = kept.select(F.explode(conversation.folded(F.slice("t", half + 1, len(turns)), F.col("r"))["out"]).alias("o")).select("o.*").orderBy("ord").collect()
+    assert [(r.ord, r.turn, r.state, round(r.risk, 9)) for r in steps] == [(r.ord, r.turn, r.state, round(r.risk, 9)) for r in out[half:]]
     return out
 
 
@@ -365,9 +373,13 @@ def test_streams(spark, tmp_path):
     schema = "key string, ts double, ord string, score double, verdict int, labels array<string>"
     source = str(tmp_path / "turns")
     spark.createDataFrame(turns, schema).write.parquet(source)
-    q = programs.follow_stream(spark.readStream.schema(schema).parquet(source)).writeStream.format("memory").queryName("risk").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.ord: (r.state, round(r.risk, 9)) for r in spark.table("risk").collect()}
+    stream = lambda: programs.follow_stream(spark.readStream.schema(schema).parquet(source), str(tmp_path / "risk"), str(tmp_path / "c1")).awaitTermination(120)
+    stream()
+    turns.append(("k", 60.0, "5", 0.1, 0, None))
+    turns.append(("k", 1860.0, "6", 0.2, 0, None))
+    spark.createDataFrame(turns[5:], schema).write.mode("append").parquet(source)
+    stream()
+    got = {r.ord: (r.state, round(r.risk, 9)) for r in spark.read.parquet(str(tmp_path / "risk/steps/*")).collect()}
     batch = conversation.follow(spark.createDataFrame(turns, schema), "key", "ts", "ord", "score", "verdict", "labels")
     assert got == {r.ord: (r.state, round(r.risk, 9)) for r in batch.collect()} and got["3"][0] == 3
 
@@ -386,4 +398,8 @@ def test_streams(spark, tmp_path):
     q = programs.keep_recent(spark.readStream.schema(schema).parquet(source), str(tmp_path / "recent"), str(tmp_path / "c3"), 10)
     q.awaitTermination(120)
     assert {r.id for r in spark.read.parquet(str(tmp_path / "recent/0")).collect()} == {f"d{i}" for i in range(20, 30)}
+    held = spark.read.schema(schema).parquet(str(tmp_path / "recent/0"))
+    programs.live_feed(held, spark.readStream.schema(schema).parquet(source), str(tmp_path / "feed"), str(tmp_path / "c4"), 3).awaitTermination(120)
+    feed = spark.read.parquet(str(tmp_path / "feed")).collect()
+    assert sorted(r.id for r in feed if r.epoch < 0) == ["d27", "d28", "d29"] and sorted(r.id for r in feed) == sorted(f"d{i}" for i in range(30))
     assert programs.verdict_counts(spark.createDataFrame([("a", 10.0, "Allow"), ("b", 20.0, "allow")], schema)).first()["count"] == 2
