@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.kernels import alnum_table, gap_table, pair_sets
-from quernstone.llm.sketch import id_filter, id_slot
-from quernstone.plans.runtime import materialise, text_slices
+from quernstone.llm.sketch import id_bits, id_filter, id_slot, received, shipped
+from quernstone.plans.runtime import materialise, release, text_slices
 
 #: What makes up a word: letters and digits, or anything but space, tab, line feed and carriage return.
 WORDS = {"alnum": alnum_table, "spaced": gap_table}
@@ -27,11 +27,20 @@ def enough(overlap: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarr
     return overlap * (1 + threshold) >= threshold * sizes - 1e-9
 
 
-def _sets(words: str, sieve: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sieved(sieve: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = received(sieve)
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            hit = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
+            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
+
+    return run
+
+
+def _sets(words: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sieve).view(bool)
         for whole in batches:
-            whole = whole.filter(pa.array(bits[whole.column("slot").to_numpy()]))
             for batch in text_slices(whole, "text"):
                 values, offsets = sets_of(batch.column("text").to_pylist(), words)
                 sets = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
@@ -60,17 +69,25 @@ def _check(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def verified(candidates: DataFrame, texts: DataFrame, words: str, threshold: float) -> DataFrame:
-    """The candidate pairs (a, b) whose texts (id, text) have at least the similarity, with it.
+def verified(candidates: DataFrame, texts: DataFrame, words: str, threshold: float, label: str) -> DataFrame:
+    """A table of the candidate pairs (a, b) whose texts (id, text) have at least the similarity, with it.
 
-    Only texts that occur in a pair are turned into sets and shuffled: a bit table of fixed size sieves
-    the scan, and an exact semi-join follows.
+    Only texts that occur in a pair are shuffled, as they are, and turned into sets then. While the ids fit
+    a bit table of bounded size it sieves the scan; an exact semi-join follows in any case.
     """
+    spark = texts.sparkSession
     candidates = candidates.select("a", "b")
     ids = materialise(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")
     kind = texts.schema["id"].dataType.simpleString()
-    sets = texts.select("id", "text", id_slot("id")).mapInArrow(_sets(words, id_filter(ids)), f"id {kind}, pairs binary")
-    sets = materialise(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    texts, bits = texts.select("id", "text"), id_bits(ids.count())
+    if bits:
+        sieve = shipped(spark, id_filter(ids, bits))
+        texts = texts.select("id", "text", id_slot("id", bits)).mapInArrow(_sieved(sieve), f"id {kind}, text string")
+    own = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    sets = materialise(own.mapInArrow(_sets(words), f"id {kind}, pairs binary"), "sets")
     x = sets.select(F.col("id").alias("a"), F.col("pairs").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("pairs").alias("y"))
-    return candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_check(threshold), f"a {kind}, b {kind}, similarity double")
+    checked = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_check(threshold), f"a {kind}, b {kind}, similarity double")
+    checked = materialise(checked, label)
+    release(ids, sets)
+    return checked

@@ -1,7 +1,7 @@
 """Problem 4: groups of records that share most of their content.
 
 Adaptive multi-match prefixes. The word pairs of a document are put in one global order, rarest
-first, by a count table of fixed size over the whole corpus. If two sets overlap enough, their
+first, by a count table over the whole corpus whose size follows the corpus up to 64 MB. If two sets overlap enough, their
 prefixes of length n - ceil(t n) + l share at least l members, for every l. Each document picks its own
 l where the estimated cost of scanning the posting lists of the longer prefix plus checking the
 candidates left is least; two documents become a candidate once they share as many prefix members
@@ -10,12 +10,15 @@ n - ceil(2t/(1+t) n) + l.
 
 Postings meet in tasks by member, each document with those of its prefix members that belong to the
 task and a bit map of its whole set. The map bounds the overlap from above without loss, so that
-hopeless pairs end where they arise instead of being shuffled. Members in very many documents are cut
-into a grid of document blocks.
+hopeless pairs end where they arise instead of being shuffled. A member of very many documents is cut
+into a grid of document blocks of its own, as fine as the member is frequent: documents of one block meet
+in a cell of the diagonal, those of two blocks in one cell beside it, so a pair meets once and no cell
+holds more than about HOT documents on either side.
 
 Groups of copies cannot flood a list: documents with equal sets are one representative from the
-start, and a first pass links near copies to a leader by banded minima of hashes. The exhaustive pass
-then only pairs documents of different groups, which loses no link between groups.
+start, and a first pass links documents to a leader that shares three of the first members of its
+prefix. The exhaustive pass then only pairs documents of different groups, which loses no link between
+groups.
 
 Null, empty and one-word texts are in no group. Any id type that orders is accepted; a repeated id
 counts once. Other columns are ignored.
@@ -34,27 +37,39 @@ from pyspark.sql import functions as F
 from quernstone.functions.kernels import mix
 from quernstone.llm.components import connected_groups
 from quernstone.llm.jaccard import enough, sets_of, verified
-from quernstone.llm.sketch import code_values, log_codes, slot_counts
-from quernstone.plans.runtime import materialise, text_slices
-
-#: Slots of the table that orders word pairs (16 MB as bytes), the largest l, and what checking a
-#: candidate costs in scanned postings; each further match is taken to leave a quarter of the candidates.
-COUNT_BITS = 24
+from quernstone.llm.sketch import code_values, received, shipped, slot_codes, table_bits
+from quernstone.plans.runtime import materialise, release, text_slices
+
+#: Bounds of the table that orders word pairs (log2 of its bytes) and the characters a word pair takes up,
+#: the largest l, and what checking a candidate costs in scanned postings; each further match is taken to
+#: leave a quarter of the candidates.
+LEAST_BITS, MOST_BITS = 18, 26
+PAIR_CHARS = 6
 MOST_MATCHES = 8
 CHECK_COST = 40.0
 SURVIVING = 0.25
-#: Postings of a task, and the occurrences from which a member is cut into blocks of documents.
+#: Postings of a task, and the documents of a member from which they are cut into blocks of so many.
 TASK_POSTINGS = 800_000
-HOT = 200_000
-BANDS, ROWS = 6, 3
+HOT = 20_000
+#: Places in the prefix whose members lead to a leader.
+LEADING = ((0, 1, 2), (1, 2, 3), (2, 3, 4), (0, 1, 3), (0, 2, 3), (3, 4, 5))
+#: Pairs made at once, and candidates a task holds before it sends them.
 CHUNK = 1_500_000
+HELD_PAIRS = 6_000_000
+#: Low bits of a posting: inside the short prefix, second block of a cell, cell of two blocks.
+NEAR, SIDE, CROSS = 1, 2, 4
+
+
+def slot_of(values: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of a word pair: its high bits, which a posting keeps."""
+    return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _slots(words: str) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+def _slots(words: str, bits: int) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
     def run(whole: pa.RecordBatch) -> Iterator[np.ndarray]:
         for batch in text_slices(whole, "text"):
             values, _ = sets_of(batch.column("text").to_pylist(), words)
-            yield (values & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
+            yield slot_of(values, bits)
 
     return run
 
@@ -93,18 +108,26 @@ def _bitmaps(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [packed[a:b] for a, b in zip(offsets[:-1] // 8, offsets[1:] // 8)]
 
 
-def _bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashes of BANDS bands of ROWS minima for each (not empty) set."""
-    out = np.zeros((BANDS, len(starts) - 1), np.uint64)
-    for k in range(BANDS * ROWS):
-        least = np.minimum.reduceat(mix(values ^ np.uint64(0x51ED270B * (k + 1))), starts[:-1])
-        out[k // ROWS] = mix(out[k // ROWS] * np.uint64(31) + least + np.uint64(k))
-    return out.T
-
-
-def _profiles(words: str, threshold: float, codes: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _leading(members: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """For each document the hashes of three members each from the start of its prefix."""
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    most = max(max(places) for places in LEADING) + 1
+    first = np.zeros((len(counts), most), np.uint64)
+    for j in range(most):
+        have = counts > j
+        first[have, j] = members[starts[:-1][have] + j]
+    keys, known = np.zeros((len(counts), len(LEADING)), np.uint64), np.zeros((len(counts), len(LEADING)), bool)
+    for k, places in enumerate(LEADING):
+        known[:, k] = counts > max(places)
+        for j in places:
+            keys[:, k] = mix(keys[:, k] * np.uint64(31) + first[:, j])
+    ends = np.concatenate([[0], np.cumsum(known.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[known].view(np.int64)))
+
+
+def _profiles(words: str, threshold: float, codes: object, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, amounts = np.frombuffer(codes.value, np.uint8), code_values()
+        table, amounts = received(codes), code_values()
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 values, offsets = sets_of(batch.column("text").to_pylist(), words)
@@ -115,8 +138,8 @@ def _profiles(words: str, threshold: float, codes: object) -> Callable[[Iterator
                 starts = np.concatenate([[0], np.cumsum(n)])
                 row = np.repeat(np.arange(len(kept)), n)
                 prints = [np.add.reduceat(mix(values + np.uint64(s)), starts[:-1]).view(np.int64) for s in (17, 71)]
-                bitmaps, bands = _bitmaps(values, starts), _bands(values, starts)
-                code = table[(values & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
+                bitmaps = _bitmaps(values, starts)
+                code = table[slot_of(values, bits)]
                 order = np.argsort((row << 8) | code, kind="stable")
                 values, code = values[order], code[order]
                 position = np.arange(len(row)) - starts[row]
@@ -124,10 +147,10 @@ def _profiles(words: str, threshold: float, codes: object) -> Callable[[Iterator
                 long, short = prefix_lengths(n, threshold)
                 inside = (position < (long + matches - 1)[row]) & (code > 1)
                 near = position < (short + matches - 1)[row]
-                member = ((values >> np.uint64(32)).astype(np.int64) & ~1) | near
+                plain = (values & ~np.uint64(NEAR | SIDE | CROSS))[inside]
+                member = plain | np.where(near[inside], np.uint64(NEAR), np.uint64(0))
                 counts = np.bincount(row[inside], minlength=len(kept))
                 lists = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                heavy = amounts[code[inside]] > HOT
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").take(pa.array(kept)),
@@ -135,40 +158,46 @@ def _profiles(words: str, threshold: float, codes: object) -> Callable[[Iterator
                         *map(pa.array, prints),
                         pa.array(matches.astype(np.int32)),
                         pa.array(bitmaps, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(lists), pa.array(member[inside].astype(np.uint32).view(np.int32))),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[inside][heavy], minlength=len(kept)))]).astype(np.int32)), pa.array((member[inside][heavy] | 1).astype(np.uint32).view(np.int32))),
-                        pa.ListArray.from_arrays(pa.array((np.arange(len(kept) + 1) * BANDS).astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(lists), pa.array(member.view(np.int64))),
+                        _leading(plain, counts),
                     ],
-                    ["id", "n", "f1", "f2", "matches", "bitmap", "members", "hot", "bands"],
+                    ["id", "n", "f1", "f2", "matches", "bitmap", "members", "leading"],
                 )
 
     return run
 
 
-def _routes(tasks: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def cells_of(member: np.ndarray, spread: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells in which hot postings meet, as (which posting, member of the cell): the block's own and one with each other block."""
+    own = (mix(spread) % blocks.astype(np.uint64)).astype(np.int64)
+    which = np.repeat(np.arange(len(member)), blocks)
+    other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = own[which]
+    cell = (np.minimum(own, other) * blocks[which] + np.maximum(own, other) + 1).astype(np.uint64)
+    base = member[which] & ~np.uint64(NEAR | SIDE | CROSS)
+    fresh = mix(base + mix(cell)) & ~np.uint64(NEAR | SIDE | CROSS)
+    flags = (member[which] & np.uint64(NEAR)) | np.where(own > other, np.uint64(SIDE), np.uint64(0)) | np.where(own != other, np.uint64(CROSS), np.uint64(0))
+    return which, fresh | flags
+
+
+def _routes(tasks: int, codes: object, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row per document and task, with the document's members that meet there; hot members go to a row and column of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks_of = np.ceil(code_values() / HOT).astype(np.int64)
+        table = received(codes)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 lists = batch.column("members")
                 row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy())
-                flat = lists.flatten().to_numpy().view(np.uint32)
-                key = (flat | 1).astype(np.uint64)
-                if blocks > 1:
-                    hot = batch.column("hot")
-                    hot_row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(hot).to_numpy())
-                    hot_key = (hot_row.astype(np.uint64) << np.uint64(32)) | hot.flatten().to_numpy().view(np.uint32)
-                    is_hot = np.isin((row.astype(np.uint64) << np.uint64(32)) | key, hot_key)
-                    own = (mix(batch.column("spread").to_numpy().view(np.uint64)) % np.uint64(blocks)).astype(np.int64)[row[is_hot]]
-                    parts = [(row[~is_hot], flat[~is_hot], key[~is_hot])]
-                    for other in range(blocks):
-                        cell = np.minimum(own, other) * blocks + np.maximum(own, other) + 1
-                        fresh = mix(key[is_hot] + (cell.astype(np.uint64) << np.uint64(32))) & np.uint64(0xFFFFFFFE)
-                        parts.append((row[is_hot], (fresh.astype(np.uint32) | (flat[is_hot] & 1)), fresh | np.uint64(1)))
-                    row, flat, key = (np.concatenate([p[i] for p in parts]) for i in range(3))
-                task = (mix(key) % np.uint64(tasks)).astype(np.int64)
+                flat = lists.flatten().to_numpy().view(np.uint64)
+                blocks = blocks_of[table[slot_of(flat, bits)]]
+                hot = blocks > 1
+                if hot.any():
+                    which, cells = cells_of(flat[hot], batch.column("spread").to_numpy().view(np.uint64)[row[hot]], blocks[hot])
+                    row, flat = np.concatenate([row[~hot], row[hot][which]]), np.concatenate([flat[~hot], cells])
+                task = (mix(flat & ~np.uint64(NEAR | SIDE)) % np.uint64(tasks)).astype(np.int64)
                 order = np.lexsort((task, row))
                 row, flat, task = row[order], flat[order], task[order]
                 first = np.ones(len(row), bool)
@@ -182,7 +211,7 @@ def _routes(tasks: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     [
                         pa.array(task[first].astype(np.int32)),
                         *(batch.column(c).take(take) for c in ("id", "part", "shape", "bitmap")),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                     ],
                     ["task", "id", "part", "shape", "bitmap", "members"],
                 )
@@ -240,22 +269,34 @@ def _meet(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], I
         order_id[pa.compute.sort_indices(ids).to_numpy()] = np.arange(len(ids))
         lists = t.column("members").combine_chunks()
         row = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(lists).to_numpy())
-        flat = lists.flatten().to_numpy().view(np.uint32)
+        flat = lists.flatten().to_numpy().view(np.uint64)
         maps = _Maps(t.column("bitmap").to_pylist(), n)
         del t, held
-        order = np.lexsort((part[row], flat | np.uint32(1)))
-        row, flat = row[order], flat[order]
-        member, near, part = flat | np.uint32(1), (flat & 1).astype(bool), part[row]
+        # beside the diagonal only documents of different blocks meet, elsewhere those of different groups
+        side = np.where(flat & np.uint64(CROSS) > 0, (flat & np.uint64(SIDE)).astype(np.int64), part[row])
+        order = np.lexsort((side, flat & ~np.uint64(NEAR | SIDE)))
+        row, flat, side = row[order], flat[order], side[order]
+        member, near = flat & ~np.uint64(NEAR | SIDE), (flat & np.uint64(NEAR)).astype(bool)
         index = np.arange(len(row))
         new_member = np.ones(len(row), bool)
         new_member[1:] = member[1:] != member[:-1]
-        new_part = new_member.copy()
-        new_part[1:] |= part[1:] != part[:-1]
+        new_side = new_member.copy()
+        new_side[1:] |= side[1:] != side[:-1]
         list_start = np.maximum.accumulate(np.where(new_member, index, 0))
-        part_start = np.maximum.accumulate(np.where(new_part, index, 0))
-        partners = part_start - list_start
+        partners = np.maximum.accumulate(np.where(new_side, index, 0)) - list_start
         sums = np.concatenate([[0], np.cumsum(partners)])
-        keys, hits = [], []
+
+        def sent(keys: list[np.ndarray], hits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+            hits = np.bincount(where, np.concatenate(hits)).astype(np.int32)
+            a, b = keys // len(n), keys % len(n)
+            for k in range(0, len(keys), 50_000):
+                s = slice(k, k + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(a[s])), ids.take(pa.array(b[s])), pa.array(hits[s]), pa.array(np.minimum(matches[a[s]], matches[b[s]]).astype(np.int32))], ["a", "b", "hits", "need"]
+                )
+
+        keys, hits, many = [], [], 0
         at = 0
         while at < len(row):
             end = max(at + 1, int(np.searchsorted(sums, sums[at] + CHUNK, "right")) - 1)
@@ -267,7 +308,7 @@ def _meet(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], I
                 x, y = row[i], row[j]
                 nx, ny = n[x], n[y]
                 small_x = (nx < ny) | ((nx == ny) & (order_id[x] < order_id[y]))
-                fits = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & np.where(small_x, near[i], near[j])
+                fits = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & np.where(small_x, near[i], near[j]) & (part[x] != part[y])
                 x, y = x[fits], y[fits]
                 close = enough(maps.bound(x, y), n[x] + n[y], threshold)
                 x, y = x[close], y[close]
@@ -275,17 +316,13 @@ def _meet(threshold: float, kind: str) -> Callable[[Iterator[pa.RecordBatch]], I
                 pair, count = np.unique(low * len(n) + (x + y - low), return_counts=True)
                 keys.append(pair)
                 hits.append(count)
+                many += len(pair)
+                if many > HELD_PAIRS:
+                    yield from sent(keys, hits)
+                    keys, hits, many = [], [], 0
             at = end
-        if not keys:
-            return
-        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
-        hits = np.bincount(where, np.concatenate(hits)).astype(np.int32)
-        a, b = keys // len(n), keys % len(n)
-        for k in range(0, len(keys), 50_000):
-            s = slice(k, k + 50_000)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(a[s])), ids.take(pa.array(b[s])), pa.array(hits[s]), pa.array(np.minimum(matches[a[s]], matches[b[s]]).astype(np.int32))], ["a", "b", "hits", "need"]
-            )
+        if keys:
+            yield from sent(keys, hits)
 
     return run
 
@@ -295,32 +332,38 @@ def similar_groups(rows: DataFrame, id_col: str = "id", text_col: str = "text",
     spark = rows.sparkSession
     texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = texts.schema["id"].dataType.simpleString()
-    codes = spark.sparkContext.broadcast(log_codes(slot_counts(texts.select("text"), _slots(words), COUNT_BITS)).tobytes())
-    schema = f"id {kind}, n int, f1 bigint, f2 bigint, matches int, bitmap binary, members array<int>, hot array<int>, bands array<bigint>"
-    profiles = materialise(texts.mapInArrow(_profiles(words, threshold, codes), schema), "profiles")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = table_bits(chars / PAIR_CHARS, LEAST_BITS, MOST_BITS)
+    codes = shipped(spark, slot_codes(texts.select("text"), _slots(words, bits), bits))
+    schema = f"id {kind}, n int, f1 bigint, f2 bigint, matches int, bitmap binary, members array<bigint>, leading array<bigint>"
+    profiles = materialise(texts.mapInArrow(_profiles(words, threshold, codes, bits), schema), "profiles")
 
     same = profiles.groupBy("n", "f1", "f2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = profiles.select("id", "n", "f1", "f2").join(same, ["n", "f1", "f2"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     copies = materialise(copies, "copies")
     heads = profiles.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
 
-    banded = heads.select("id", F.posexplode("bands").alias("k", "band"))
-    leaders = banded.groupBy("k", "band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("k", "band", "a")
-    led = materialise(banded.join(leaders, ["k", "band"]).where("id > a").select("a", F.col("id").alias("b")).distinct(), "led")
-    led = materialise(verified(led, texts, words, threshold).select("a", "b"), "led")
+    starts = heads.select("id", F.posexplode("leading").alias("k", "key"))
+    leaders = starts.groupBy("k", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("k", "key", "a")
+    likely = materialise(starts.join(leaders, ["k", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct(), "likely")
+    led = verified(likely, texts, words, threshold, "led").select("a", "b")
+    release(likely)
     parts = connected_groups(led, "a", "b")
 
     work = heads.join(parts.select("id", F.col("group_id").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
     # size and matches travel as one number
-    work = work.select("id", "part", (F.col("n") * (MOST_MATCHES + 1) + F.col("matches")).alias("shape"), "bitmap", "members", "hot", F.xxhash64("id").alias("spread"))
-    size = profiles.agg(F.sum(F.size("members")), F.count("*")).first()
-    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil((size[0] or 0) / TASK_POSTINGS))
-    most = float(code_values()[np.frombuffer(codes.value, np.uint8).max()])
-    routed = work.mapInArrow(_routes(tasks, math.ceil(most / HOT)), f"task int, id {kind}, part {kind}, shape int, bitmap binary, members array<int>")
+    work = work.select("id", "part", (F.col("n") * (MOST_MATCHES + 1) + F.col("matches")).alias("shape"), "bitmap", "members", F.xxhash64("id").alias("spread"))
+    work = materialise(work, "work")
+    release(profiles)
+    postings = work.agg(F.sum(F.size("members"))).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, math.ceil(postings / TASK_POSTINGS))
+    routed = work.mapInArrow(_routes(tasks, codes, bits), f"task int, id {kind}, part {kind}, shape int, bitmap binary, members array<bigint>")
     met = routed.repartitionById(tasks, F.col("task")).drop("task").mapInArrow(_meet(threshold, kind), f"a {kind}, b {kind}, hits int, need int")
     candidates = met.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
     candidates = materialise(candidates.select("a", "b"), "candidates")
-    close = verified(candidates, texts, words, threshold).select("a", "b")
+    release(work)
+    close = verified(candidates, texts, words, threshold, "close").select("a", "b")
+    release(candidates)
     return connected_groups(copies.union(led).union(close), "a", "b")
 
 

@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.overlap_report(p3_found(spark, sf_dir), table(spark, sf_dir, "corpus_rows"))
+    return overlap.overlap_report(table(spark, sf_dir, "corpus_rows"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,34 @@ def test_split_overlaps(spark):
     want = {(i, j) for i in sets for j in sets if i < j and similar(sets[i], sets[j]) and "train" in (side[i], side[j]) and {side[i], side[j]} & {"test", "validation"}}
     got = {tuple(r) for r in found.collect()}
     assert got <= want and len(got) >= 0.99 * len(want) and want
-    report = overlap.overlap_report(found, df).toPandas()
+    report = overlap.overlap_report(df).toPandas()
     assert report["pairs"].sum() == len(got) and set(report["split"]) <= {"test", "validation"}
-    assert overlap.split_overlaps(df.limit(0)).count() == 0
+    assert overlap.split_overlaps(df.limit(0)).count() == 0 and overlap.overlap_report(df.limit(0)).count() == 0
+
+
+def test_hot_buckets_leave_in_chunks(spark, monkeypatch):
+    rng = random.Random(2)
+    hot = sentence(rng, 40)
+    rows = [(f"r{i:03}", edited(rng, hot, 2), rng.choice(["train", "test"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, text string, source_split string")
+    want = {tuple(r) for r in overlap.split_overlaps(df).collect()}
+    for name, value in (("HOT_PAIRS", 40), ("CHUNK_ENTRIES", 7), ("PAIRS_AT_ONCE", 100), ("REMEMBERED", 10)):
+        monkeypatch.setattr(overlap, name, value)
+    assert {tuple(r) for r in overlap.split_overlaps(df).collect()} == want and len(want) > 1000
+    monkeypatch.setattr(overlap, "STRETCH_ENTRIES", 50)
+    assert {tuple(r) for r in overlap.split_overlaps(df).collect()} == want
+
+
+def test_recall_of_buckets():
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    import numpy as np
+
+    missed = 0
+    for _ in range(300):
+        kept = sorted(rng.sample(base, 40))
+        a = np.array(sorted([*kept, *(rng.getrandbits(64) for _ in range(20))]), np.uint64)
+        b = np.array(sorted([*kept, *(rng.getrandbits(64) for _ in range(20))]), np.uint64)
+        x, y = overlap.minwise_bands(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        missed += not (x == y).any()
+    assert missed <= 3
