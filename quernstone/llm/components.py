@@ -8,7 +8,8 @@ shrink geometrically whatever the order of their ids. When no edge is left, the
 from the last level back to the first.
 
 A vertex with a third of all edges is spread over the cells of its row and meets at most one
-representative per cell (or per flush of a cell), so no task ever holds its edges.
+representative per cell (or per flush of a cell), so no task ever holds its edges. A task takes its cells
+one after the other, so that their number grows with the edges over TASK_EDGES, not with the grid.
 
 Nulls and edges of a vertex with itself link nothing. Repeated and reversed edges change nothing. An
 empty edge table gives an empty result.
@@ -24,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.plans.runtime import materialise
+from quernstone.plans.runtime import materialise, release
 
-#: Edges a cell should hold, and the edges a task keeps at once.
+#: Edges a cell should hold, the edges a task keeps at once, and those of a task, which takes many cells in turn.
 CELL_EDGES = 50_000
 FLUSH_EDGES = 400_000
+TASK_EDGES = 4_000_000
 
 
 def union_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -88,16 +90,18 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", cell_
     edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     kind = edges.schema["a"].dataType.simpleString()
     edges = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "edges")
-    left, levels = edges.count(), []
+    left, levels, written = edges.count(), [], [edges]
     while left:
         blocks = math.ceil(math.sqrt(2 * left / cell_edges)) if left > cell_edges else 1
         seed = len(levels)
         block = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(f"block{seed}")), F.lit(blocks))  # noqa: B023, E731
         rank = lambda c: F.xxhash64(F.col(c), F.lit(f"rank{seed}"))  # noqa: B023, E731
         cell = F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))
+        tasks = min(blocks * (blocks + 1) // 2, max(4 * edges.sparkSession.sparkContext.defaultParallelism, math.ceil(left / TASK_EDGES)))
         met = (
             edges.select("a", "b", rank("a").alias("pa"), rank("b").alias("pb"), cell.alias("cell"))
-            .repartition(blocks * (blocks + 1) // 2, "cell")
+            .repartition(tasks, "cell")
+            .sortWithinPartitions("cell")
             .drop("cell")
             .mapInArrow(_cells, f"v {kind}, r {kind}, p bigint")
         )
@@ -105,11 +109,13 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", cell_
         level = level.select("v", F.array_min("reps").alias("m"), "reps")
         level = level.select("v", F.col("m.r").alias("m"), F.expr("transform(filter(reps, x -> x <> m), x -> x.r)").alias("others"))
         level = materialise(level, f"level{seed}")
+        written.append(level)
         levels.append(level.select("v", "m"))
         edges = level.where(F.size("others") > 0).select(F.explode("others").alias("a"), F.col("m").alias("b"))
         left = level.agg(F.sum(F.size("others"))).first()[0] or 0
         if left and left > cell_edges:
             edges = materialise(edges.distinct(), "edges")
+            written.append(edges)
             left = edges.count()
     if not levels:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
@@ -118,6 +124,7 @@ def connected_groups(edges: DataFrame, src: str = "src", dst: str = "dst", cell_
         upper = labels.select(F.col("v").alias("m"), "root")
         labels = levels.pop().join(upper, "m", "left").select("v", F.coalesce("root", "m").alias("root"))
     labels = materialise(labels, "labels")
+    release(*written)
     least = labels.groupBy("root").agg(F.min("v").alias("group_id"))
     return labels.join(least, "root").select(F.col("v").alias("id"), "group_id")
 
