@@ -3,12 +3,15 @@
 For every pair of a true and a wrong encoding the garbled form of each plausible character (multi-byte
 encodings) or pair of letters (single-byte encodings) is computed beforehand, and one automaton finds
 all of them in a single pass over the text. Only matched spans are replaced; correct text around them
-stays as it is. Passes repeat while they find anything, so that text garbled twice is restored too.
+stays as it is. Passes repeat until they find nothing, so that text garbled several times is restored too.
 Japanese that was Shift-JIS or EUC-JP is looked for first, stretch by stretch, since its bytes form
 sequences of UTF-8 by chance.
 
 A match counts only where it is no ordinary text: forms that consist of letters of one alphabet need a
-neighbour that matches as well, single-byte forms need whole words of them in a consistent letter case.
+neighbour that matches as well or a place where such letters cannot stand (a capital after a small letter,
+an opening quotation mark inside a word); single-byte forms need whole words of them in a consistent letter
+case. Which single-byte pair a word was garbled by is settled stretch by stretch: Viterbi over the words,
+by the frequency of the letters that each pair gives, at a price for every change of pair.
 Lost characters (U+FFFD) mark a text as damaged; they cannot be restored.
 
 Null and empty texts are intact. Texts of any length are read whole. Other columns are ignored.
@@ -16,6 +19,7 @@ Null and empty texts are intact. Texts of any length are read whole. Other colum
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -30,8 +34,10 @@ WRONG = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp850", "cp437", "cp1250",
 #: Of them, those in which ideographs are looked for.
 WIDE = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437")
 #: Single-byte pairs whose true text is Cyrillic or Greek, read as Latin.
-LETTERWISE = (("cp1251", "cp1252"), ("cp1253", "cp1252"), ("koi8-r", "cp1252"), ("iso8859-5", "cp1252"), ("cp866", "cp1252"), ("mac_cyrillic", "cp1252"), ("cp1251", "mac_roman"), ("cp1253", "mac_roman"), ("cp1251", "cp850"), ("cp866", "cp850"), ("koi8-r", "cp850"), ("cp1251", "cp437"), ("cp866", "cp437"))
-CYRILLIC_PAIRS = (("koi8-r", "cp1251"), ("cp1251", "koi8-r"))
+#: Hebrew, Arabic and Thai, too; and Cyrillic encodings taken for each other, which turns the letter case round.
+LETTERWISE = (("cp1255", "cp1252"), ("cp1256", "cp1252"), ("cp874", "cp1252"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp1252"), ("cp1253", "cp1252"), ("koi8-r", "cp1252"), ("iso8859-5", "cp1252"), ("cp866", "cp1252"), ("mac_cyrillic", "cp1252"), ("cp1251", "mac_roman"), ("cp1253", "mac_roman"), ("cp1251", "cp850"), ("cp866", "cp850"), ("koi8-r", "cp850"), ("cp1251", "cp437"), ("cp866", "cp437"))
+#: Alphabets by their encodings, Cyrillic where none is named.
+ALPHABET_OF = {"cp1253": "GREEK", "cp1255": "HEBREW", "cp1256": "ARABIC", "cp874": "THAI"}
 #: Single-byte pairs of Latin alphabets: true, wrong.
 LATIN_PAIRS = (("iso8859-2", "latin-1"), ("cp1250", "cp1252"), ("cp1250", "latin-1"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp437"))
 #: Encodings of Japanese that are read as latin-1 or cp1252, each with the shape of a character.
@@ -39,8 +45,21 @@ JAPANESE = {"cp932": r"[\x81-\x9f\xe0-\xfc][@-~\x80-\xfc]|[\xa1-\xdf]", "euc_jp"
 #: Letters of the languages in question beyond ASCII.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœąćęłńóśźżčďěňřšťůž"
 PUNCTUATION = "‘’“”–—…€™‚„•«»°£¥§©®±½¼¾·¿¡\xa0"
-#: How frequent the letters of both alphabets are, most frequent first.
-FREQUENT = {"CYRILLIC": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", "GREEK": "αοιετσνηυρπκμλςίόάγέδήωχθύφβξζώψ"}
+#: How frequent the letters of the alphabets are, most frequent first.
+FREQUENT = {
+    "CYRILLIC": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё",
+    "GREEK": "αοιετσνηυρπκμλςίόάγέδήωχθύφβξζώψϊϋΐΰ",
+    "HEBREW": "יוהלאתשרבמנדחקפעטכסגזצםןךףץ",
+    "ARABIC": "اليمنرتوبةعدسفهكقأحجشطصخإذىضءثزغئظؤآ",
+    "THAI": "านรกอเงมยลวดทสตะปบคหแจพชขใไโผณซถฟศธภษฉฐญฝิ่้ีั็์ุูืึำๆ",
+}
+#: Letters of cp1252 that no language writes after a capital with an accent; they are the second bytes of UTF-8.
+NEVER_SECOND = "ƒˆŠŒŽšœžŸªµº"
+OPENING, CLOSING = "“‘«‚„", "”’»–—"
+#: What a change of the pair costs, and each letter that a pair does not explain, against ln(2 + rank) of a letter.
+CHANGE, UNEXPLAINED = 6.0, 6.0
+#: What a capital after the first letter costs, and a word in a letter case that words do not have.
+CAPITAL, ODD_CASE = 0.7, 3.0
 
 
 def read_as(data: bytes, encoding: str) -> str:
@@ -90,15 +109,18 @@ def _ordinary(garbled: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def byte_forms() -> dict[str, tuple[str, bool]]:
-    """Garbled forms of single characters that were UTF-8: the character, and whether the form is conclusive alone."""
+def byte_forms() -> dict[str, tuple[str, bool, str]]:
+    """Garbled forms of single characters that were UTF-8: the character, whether the form is conclusive alone, the encoding."""
     narrow = [chr(c) for a, b in ((0xA0, 0x180), (0x386, 0x3CF), (0x400, 0x460), (0x2010, 0x2040)) for c in range(a, b)] + list("€™•−≤≥′″№")
     wide = [chr(c) for a, b in ((0x3000, 0x3011), (0x3041, 0x3100), (0x4E00, 0x9FA1), (0xFF01, 0xFF5F)) for c in range(a, b)]
-    far = frozenset(wide)
-    forms: dict[str, tuple[str, bool]] = {}
+    # scripts that are looked for in the two most frequent encodings only
+    near = [chr(c) for a, b in ((0x531, 0x588), (0x5D0, 0x5EB), (0x60C, 0x6D5)) for c in range(a, b)]
+    near += [chr(c) for a, b in ((0x904, 0x970), (0xE01, 0xE5C), (0x10D0, 0x1100), (0x1E00, 0x1F00), (0x2190, 0x2800), (0xAC00, 0xD7A4), (0x1F1E6, 0x1FB00)) for c in range(a, b)] + ["\u200d", "\ufe0f"]
+    far = frozenset(wide + near)
+    forms: dict[str, tuple[str, bool, str]] = {}
     for wrong in WRONG:
-        for c in narrow + (wide if wrong in WIDE else []):
-            if not c.isprintable() and c != "\xa0":
+        for c in narrow + (wide if wrong in WIDE else []) + (near if wrong in WIDE[:2] else []):
+            if not c.isprintable() and c not in "\xa0\u200d\ufe0f":
                 continue
             try:
                 garbled = read_as(c.encode(), wrong)
@@ -108,9 +130,11 @@ def byte_forms() -> dict[str, tuple[str, bool]]:
                 sure = c in PUNCTUATION and len(garbled) > 2 or not _ordinary(garbled)
                 if c in far and garbled.isalpha():
                     sure = False
+                if wrong in ("cp1252", "iso8859-15") and len(garbled) == 2 and garbled[1] in NEVER_SECOND and garbled[0].isupper():
+                    sure = True
                 if wrong in ("cp866", "mac_cyrillic", "iso8859-5", "koi8-r", "iso8859-7", "cp1254", "cp1257", "cp852") and len(garbled) < 3:
                     sure = False
-                forms[garbled] = c, sure
+                forms[garbled] = c, sure, wrong
     return forms
 
 
@@ -120,29 +144,34 @@ def automaton() -> object:
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for garbled, (c, sure) in byte_forms().items():
-        machine.add_word(garbled, (len(garbled), c, sure))
+    for garbled, (c, sure, wrong) in byte_forms().items():
+        machine.add_word(garbled, (len(garbled), c, sure, wrong))
     machine.make_automaton()
     return machine
 
 
+@lru_cache(maxsize=1)
+def alphabets() -> dict[str, frozenset[str]]:
+    """All letters of each alphabet, in both cases."""
+    return {name: frozenset(order + order.upper() + ("ЁΆΈΉΊΌΎΏ" if name in ("CYRILLIC", "GREEK") else "")) for name, order in FREQUENT.items()}
+
+
 @lru_cache(maxsize=1)
 def letter_automaton() -> object:
-    """Pairs of Cyrillic or Greek letters read as Latin characters."""
+    """Pairs of letters of a single-byte encoding as another one shows them."""
     import ahocorasick
 
-    letters = {"CYRILLIC": [chr(c) for c in range(0x410, 0x450)] + ["Ё", "ё"], "GREEK": [chr(c) for c in range(0x386, 0x3CF) if chr(c).isalpha()]}
     pairs: dict[str, set[int]] = {}
     for k, (true, wrong) in enumerate(LETTERWISE):
         own = {}
-        for c in letters["GREEK" if true in ("cp1253",) else "CYRILLIC"]:
+        for c in sorted(alphabets()[ALPHABET_OF.get(true, "CYRILLIC")]):
             try:
                 own[c] = read_as(c.encode(true), wrong)
             except UnicodeError:
                 continue
         for a, x in own.items():
             for b, y in own.items():
-                if b.islower() or a.isupper():
+                if b.upper() == b.lower() or b.islower() or a.isupper():
                     pairs.setdefault(x + y, set()).add(k)
     machine = ahocorasick.Automaton()
     for garbled, which in pairs.items():
@@ -152,42 +181,94 @@ def letter_automaton() -> object:
     return machine
 
 
-def _plain(word: str, alphabet: str) -> float | None:
-    """How frequent the letters of a word are; None if it isn't a word of this alphabet in one letter case."""
-    if not all(script(c) == alphabet for c in word):
+def _rarity(word: str, alphabet: str) -> float:
+    """How rare the letters of a word are; capitals count a little more."""
+    order = FREQUENT[alphabet]
+    return sum(math.log(2 + (order.index(c) if c in order else len(order))) for c in word.lower()) + CAPITAL * sum(c != d for c, d in zip(word[1:], word[1:].lower()))
+
+
+def _cost(word: str, alphabet: str) -> float | None:
+    """The rarity of a word; None if it isn't a word of this alphabet in one letter case."""
+    if not alphabets()[alphabet].issuperset(word) or len(set(word)) < 3:
         return None
-    if not (word[1:].islower() or word.isupper()):
+    if word.upper() != word.lower() and not (word[1:].islower() or word.isupper()):
         return None
-    order = FREQUENT[alphabet]
-    return sum(order.index(c) if c in order else len(order) for c in word.lower()) / len(word)
+    return _rarity(word, alphabet)
 
 
 Span = tuple[int, int, str]
 
 
+def _misplaced(text: str, a: int, b: int) -> bool:
+    """Whether a form of two characters stands where they cannot stand in ordinary text."""
+    if b - a != 2:
+        return False
+    x, y = text[a], text[b - 1]
+    before, after = text[a - 1 : a], text[b : b + 1]
+    if not x.isupper() or script(x) != "LATIN":
+        return False
+    if y == "\xa0":
+        if before.isalpha():
+            return before.islower()
+        return x in "ÃÂ" or x == "Å" and after.isalpha() and not text[:a].rstrip()[-1:].isdigit()
+    if y in OPENING or y in CLOSING:
+        return before.islower() or after.isalpha() and (y in OPENING or not before.isalpha())
+    return y.isalpha() and (before.islower() or y.isupper() and after.islower() and not before.isalpha())
+
+
+def _was(stretch: str, encodings: tuple[str, ...]) -> str | None:
+    """What a stretch was if all of it was UTF-8 and read in one of the encodings."""
+    for wrong in encodings:
+        data = stored_in(stretch, wrong)
+        try:
+            original = data.decode() if data else None
+        except UnicodeDecodeError:
+            continue
+        if original:
+            return original
+    return None
+
+
 def byte_spans(text: str) -> list[Span]:
-    """Spans that were UTF-8, with their original."""
-    hits = [(end - n + 1, end + 1, c, sure) for end, (n, c, sure) in automaton().iter_long(text)]
-    out, left, at = [], [], 0
-    known = any(h[3] for h in hits)
+    """Spans that were UTF-8, with their original: where one encoding explains a whole stretch, all of it; else form by form."""
+    hits = [(end - n + 1, end + 1, c, sure or (wrong in WRONG[:2] and _misplaced(text, end - n + 1, end + 1)), wrong) for end, (n, c, sure, wrong) in automaton().iter_long(text)]
+    out: list[Span] = []
+    left, at = [], 0
+    known = tuple(dict.fromkeys(h[4] for h in hits if h[3]))
     while at < len(hits):
         end = at + 1
         while end < len(hits) and hits[end][0] == hits[end - 1][1]:
             end += 1
-        run, whole = hits[at:end], text[hits[at][0] : hits[end - 1][1]]
+        run, at = hits[at:end], end
+        a, b = run[0][0], run[-1][1]
+        if out and a < out[-1][1]:
+            continue
+        whole = text[a:b]
         letters = whole.isalpha() and (whole.isupper() or whole.islower() or whole[1:].islower())
-        if any(h[3] for h in run) or (len(run) > 2 and not letters) or (known and (len(run) > 1 or not letters)):
-            out += [(a, b, c) for a, b, c, _ in run]
+        sure = any(h[3] for h in run)
+        if sure or (len(run) > 2 and not letters) or (known and (len(run) > 1 or not letters or "ƒ" in whole) and _was(whole, known)):
+            x, y = a, b
+            while x and text[x - 1] > "\x7f" and not (out and x <= out[-1][1]):
+                x -= 1
+            while y < len(text) and text[y] > "\x7f":
+                y += 1
+            encodings = tuple(dict.fromkeys([h[4] for h in run if h[3] or not sure] + [w for w in WRONG[:2]]))
+            if original := _was(text[x:y], encodings):
+                out.append((x, y, original))
+            elif original := _was(whole, encodings):
+                out.append((a, b, original))
+            else:
+                out += [(i, j, c) for i, j, c, *_ in run]
         else:
             left.append(run)
-        at = end
     if out:
         # short words between garbled ones were garbled with them
         begin, end = out[0][0], out[-1][1]
+        taken = {i for a, b, _ in out for i in range(a, b)}
         for run in left:
             a, b = run[0][0], run[-1][1]
-            if begin < a and b < end and not text[a - 1].isalnum() and not text[b].isalnum():
-                out += [(a, b, c) for a, b, c, _ in run]
+            if begin < a and b < end and a not in taken and not text[a - 1].isalnum() and not text[b].isalnum():
+                out += [(i, j, c) for i, j, c, *_ in run]
         out.sort()
     return out
 
@@ -294,13 +375,65 @@ def japanese_spans(text: str) -> list[Span]:
     return [(a, b, original) for a, b, original, _ in taken]
 
 
-_WORD = re.compile(r"[^\W\d_]+")
-_INVERTED = re.compile(r"(?<![^\W\d_])[а-яё][А-ЯЁ]{2,}(?![^\W\d_])")
-_CYRILLIC_WORD = re.compile(r"(?<![^\W\d_])[А-яЁёЈі╦╗]+(?![^\W\d_])")
+_INVERTED = re.compile(r"[а-яё][А-ЯЁ]{2,}")
+
+
+def _readings(word: str, which: frozenset[int]) -> dict[int, tuple[str, float]]:
+    """What the word was, and how rare its letters are, by each pair that explains it."""
+    out = {}
+    for k in which:
+        true, wrong = LETTERWISE[k]
+        data = stored_in(word, wrong)
+        try:
+            original = data.decode(true) if data else ""
+        except UnicodeDecodeError:
+            continue
+        cost = _cost(original, ALPHABET_OF.get(true, "CYRILLIC")) if original else None
+        if cost is not None:
+            out[k] = original, cost
+    return out
+
+
+_TOKEN = re.compile(r"[^\s.,;:!?()\"]+")
+_BEFORE = re.compile(r"([^\s.,;:!?()\"]+)[ .,;:!?()\"]{1,3}\Z")
+_AFTER = re.compile(r"[ .,;:!?()\"]{1,3}([^\s.,;:!?()\"]+)")
 
 
-def letter_spans(text: str) -> list[Span]:
-    """Whole words of Cyrillic or Greek letters that were read as Latin characters."""
+def _same_pair(word: str, k: int, alphabet: frozenset[str]) -> str | None:
+    """What a word was by a pair that is settled; None if it does not hold."""
+    true, wrong = LETTERWISE[k]
+    data = None if word.isascii() else stored_in(word, wrong)
+    try:
+        original = data.decode(true) if data else ""
+    except UnicodeDecodeError:
+        return None
+    return original if original and alphabet.issuperset(original) else None
+
+
+def _settled(words: list[tuple[int, int, dict[int, tuple[str, float]], float]]) -> list[int | None]:
+    """The pair each word was garbled by, or None for a word that stays, at the least cost over all words."""
+    states = sorted({k for *_, readings, _ in words for k in readings})
+    costs: dict[int | None, float] = dict.fromkeys([None, *states], 0.0)
+    steps = []
+    for a, b, readings, plain in words:
+        best = min(costs, key=lambda s: costs[s])
+        after, came = {}, {}
+        for state in [None, *states]:
+            own = plain if state is None else readings[state][1] if state in readings else UNEXPLAINED * (b - a)
+            stay, move = costs.get(state, math.inf), costs[best] + CHANGE
+            after[state], came[state] = min(stay, move) + own, state if stay <= move else best
+        costs = after
+        steps.append(came)
+    at = min(costs, key=lambda s: costs[s])
+    out = []
+    for came in reversed(steps):
+        out.append(at)
+        at = came[at]
+    return out[::-1]
+
+
+def letter_spans(text: str, fixed: bytes = b"") -> list[Span]:
+    """Whole words of Cyrillic, Greek, Hebrew, Arabic or Thai letters that another single-byte encoding shows as others; what is fixed stays."""
     runs: list[list] = []
     for end, which in letter_automaton().iter(text):
         a, b = end - 1, end + 1
@@ -308,72 +441,52 @@ def letter_spans(text: str) -> list[Span]:
             runs[-1][1], runs[-1][2] = b, both
         else:
             runs.append([a, b, which])
-    found: dict[tuple[str, str], list[Span]] = {}
+    words = []
     for a, b, which in runs:
-        if b - a < 4 or (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()):
+        if b - a < 4 or (a and text[a - 1].isalpha()) or (b < len(text) and text[b].isalpha()) or 1 in fixed[a:b]:
             continue
-        for k in which:
-            true, wrong = LETTERWISE[k]
-            data = stored_in(text[a:b], wrong)
-            if data is None:
-                continue
-            try:
-                word = data.decode(true)
-            except UnicodeDecodeError:
-                continue
-            rank = _plain(word, "GREEK" if true == "cp1253" else "CYRILLIC")
-            if rank is not None:
-                found.setdefault((true, wrong), []).append((a, b, word))
-    if not found:
-        return []
-    score = lambda kind: (sum(b - a for a, b, _ in found[kind]), -sum(_plain(w, "GREEK" if kind[0] == "cp1253" else "CYRILLIC") for _, _, w in found[kind]))
-    true, wrong = max(found, key=score)
-    spans = found[true, wrong]
-    if max(b - a for a, b, _ in spans) < 5 and len(spans) < 2:
+        word = text[a:b]
+        readings = _readings(word, which)
+        if readings:
+            # a word of the alphabet may well stay as it is, less so in a letter case that words do not have
+            plain = UNEXPLAINED * (b - a)
+            if alphabets()["CYRILLIC"].issuperset(word):
+                plain = _rarity(word, "CYRILLIC") + (0.0 if word[1:].islower() or word.isupper() else ODD_CASE)
+            words.append((a, b, readings, plain))
+    if not words:
         return []
-    # the pair is settled: shorter words in the same stretch were garbled with the others
-    alphabet = "GREEK" if true == "cp1253" else "CYRILLIC"
-    first, last = min(s[0] for s in spans), max(s[1] for s in spans)
-    known = {s[0] for s in spans}
-    for m in re.finditer(r"\S+", text[first:last]):
-        a, b = m.start() + first, m.end() + first
-        while b > a and text[b - 1] in ".,;:!?)\"":
-            b -= 1
-        if a in known or b == a or text[a:b].isascii():
+    spans: list[Span] = []
+    chosen = _settled(words)
+    at = 0
+    while at < len(words):
+        end = at + 1
+        while end < len(words) and chosen[end] == chosen[at]:
+            end += 1
+        k, own = chosen[at], words[at:end]
+        at = end
+        if k is None:
             continue
-        data = stored_in(text[a:b], wrong)
-        try:
-            word = data.decode(true) if data else ""
-        except UnicodeDecodeError:
+        true, wrong = LETTERWISE[k]
+        found = [(a, b, readings[k][0]) for a, b, readings, _ in own if k in readings]
+        if not found or (max(b - a for a, b, _ in found) < 5 and len(found) < 2):
             continue
-        if word and all(script(c) == alphabet for c in word):
-            spans.append((a, b, word))
-    return sorted(spans)
-
-
-def cyrillic_spans(text: str) -> list[Span]:
-    """Words of KOI8-R and CP1251 taken for each other: their letter case is turned round."""
-    inverted = _INVERTED.findall(text)
-    if not inverted:
-        return []
-    every = list(_CYRILLIC_WORD.finditer(text))
-    found = [m for m in every if m.group()[1:].isupper()]
-    rank = lambda words: sum(order.index(c) if c in order else len(order) for w in words for c in w.lower())
-    order, written = FREQUENT["CYRILLIC"], [m.group() for m in found]
-    readings = []
-    for true, wrong in CYRILLIC_PAIRS:
-        words = [(stored_in(w, wrong) or b"").decode(true, "replace") for w in written]
-        if sum(_plain(w, "CYRILLIC") is not None for w in words if w) > len(words) / 2:
-            readings.append((rank(words), words, (true, wrong)))
-    if not readings or min(readings)[0] >= rank(written):
-        return []
-    words, (true, wrong) = min(readings)[1], min(readings)[2]
-    spans = [(m.start(), m.end(), w) for m, w in zip(found, words) if w and _plain(w, "CYRILLIC") is not None]
-    ends, begins = {b for _, b, _ in spans}, {a for a, _, _ in spans}
-    for m in every:
-        a, b = m.span()
-        if b - a == 1 and m.group().isupper() and a - 1 in ends and b + 1 in begins and (data := stored_in(m.group(), wrong)):
-            spans.append((a, b, data.decode(true, "replace")))
+        within = script(text[found[0][0]]) == "CYRILLIC"
+        if within and not any(_INVERTED.fullmatch(text[a:b]) for a, b, _ in found):
+            continue
+        # the pair is settled: shorter words in the same stretch were garbled with the others
+        alphabet, known = alphabets()[ALPHABET_OF.get(true, "CYRILLIC")], {a for a, _, _ in found}
+        first, last = found[0][0], found[-1][1]
+        for m in _TOKEN.finditer(text[first:last]):
+            if m.start() + first not in known and 1 not in fixed[m.start() + first : m.end() + first] and (word := _same_pair(m.group(), k, alphabet)):
+                found.append((m.start() + first, m.end() + first, word))
+        # and so were those right beside the stretch, unless they may be ordinary words of the same alphabet
+        while not within and (m := _BEFORE.search(text[:first])) and (word := _same_pair(m.group(1), k, alphabet)):
+            first = m.start(1)
+            found.append((first, m.end(1), word))
+        while not within and (m := _AFTER.match(text, last)) and (word := _same_pair(m.group(1), k, alphabet)):
+            last = m.end(1)
+            found.append((m.start(1), last, word))
+        spans += found
     return sorted(spans)
 
 
@@ -394,62 +507,111 @@ def latin_maps() -> list[tuple[dict[str, str], frozenset[str]]]:
     return maps
 
 
+@lru_cache(maxsize=1)
+def latin_automaton() -> object:
+    """A letter, or what stands for one, followed by a character that is odd inside a word, with the pairs that give it."""
+    import ahocorasick
+
+    forms: dict[str, set[int]] = {}
+    plain = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    for k, (own, odd) in enumerate(latin_maps()):
+        for g in odd:
+            for first in {*plain, *own, *ACCENTED, *ACCENTED.upper()}:
+                forms.setdefault(first + g, set()).add(k)
+    machine = ahocorasick.Automaton()
+    for garbled, which in forms.items():
+        machine.add_word(garbled, frozenset(which))
+    machine.make_automaton()
+    return machine
+
+
 _LATIN_WORD = re.compile(r"[A-Za-z\x80-\x9fÀ-ɏ¡-¿ŒœŠšŽžŸƒˆ˜‚„…†‡‰‹›•™√-≥◊∂∑∏∫ΩΑ-ωА-яЁё░-▓═-╬╒-╫]+")
 
 
-def latin_spans(text: str) -> list[Span]:
-    """Words of Latin letters in which characters of another Latin encoding stand for accented letters."""
-    words = []
+def latin_spans(text: str, fixed: bytes = b"") -> list[Span]:
+    """Words of Latin letters in which characters of another Latin encoding stand for accented letters; what is fixed stays."""
+    hits = [end for end, _ in latin_automaton().iter(text)]
+    if not hits:
+        return []
+    maps, at = latin_maps(), 0
+    # words with a hit inside, with the weight each pair gives them
+    words: list[tuple[int, int, dict[int, int]]] = []
     for m in _LATIN_WORD.finditer(text):
+        while at < len(hits) and hits[at] < m.start():
+            at += 1
         w = m.group()
-        if len(w) > 2 and not w.isascii() and any(not c.isalpha() or script(c) not in ("LATIN", "") or c in "ŸŽžŒœƒŠ" for c in w):
-            if any("a" <= c <= "z" for c in w):
-                words.append((m.start(), w))
-    best: list[Span] = []
-    if not words:
-        return best
-    for own, odd in latin_maps():
-        spans, weight = [], 0
-        for a, w in words:
-            inner = [c for c in w[1:-1] if c in odd]
-            if not inner or any(c not in own and not (c.isalpha() and script(c) == "LATIN") for c in w):
-                continue
-            spans.append((a, a + len(w), w))
-            weight += len(inner)
-        if weight >= 2 and len(spans) >= 2 and len(spans) > len(best):
-            # the pair is settled: in this stretch characters that are ordinary letters were garbled as well
-            begin, end = spans[0][0], spans[-1][1]
-            best = [(m.start() + begin, m.end() + begin, "".join(own.get(c, c) for c in m.group())) for m in _LATIN_WORD.finditer(text[begin:end]) if any(c in own for c in m.group())]
-    return best
+        if at == len(hits):
+            break
+        if hits[at] >= m.end() - 1 or len(w) < 3 or 1 in fixed[m.start() : m.end()] or not any("a" <= c <= "z" for c in w):
+            continue
+        weights = {}
+        for k, (own, odd) in enumerate(maps):
+            inner = sum(c in odd for c in w[1:-1])
+            if inner and all(c in own or (c.isalpha() and script(c) == "LATIN") for c in w):
+                weights[k] = inner
+        if weights:
+            words.append((m.start(), m.end(), weights))
+    out: list[Span] = []
+    begin = 0
+    while begin < len(words):
+        # a stretch goes on while one pair explains all its words
+        shared, end = set(words[begin][2]), begin + 1
+        while end < len(words) and shared & set(words[end][2]):
+            shared &= set(words[end][2])
+            end += 1
+        own = words[begin:end]
+        begin = end
+        k = min(shared, key=lambda k: (-sum(w[k] for *_, w in own), k))
+        if len(own) < 2 or sum(w[k] for *_, w in own) < 2:
+            continue
+        # the pair is settled: in this stretch characters that are ordinary letters were garbled as well
+        table, first, last = maps[k][0], own[0][0], own[-1][1]
+        out += [(m.start() + first, m.end() + first, "".join(table.get(c, c) for c in m.group())) for m in _LATIN_WORD.finditer(text[first:last]) if any(c in table for c in m.group()) and 1 not in fixed[m.start() + first : m.end() + first]]
+    return out
 
 
 def repair(text: str | None) -> tuple[str | None, int, bool]:
     """The text with garbled spans replaced, how many there were, and whether characters are lost for good."""
     if not text or text.isascii():
         return text, 0, False
-    count = 0
-    for _ in range(3):
+    count, fixed = 0, bytes(len(text))
+    while True:
         before = count
         for find in (japanese_spans, byte_spans):
             spans = find(text)
+            if spans and find is byte_spans:
+                # forms by chance inside a word that a single-byte pair explains as a whole
+                spans = _without_chance(spans, letter_spans(text, fixed))
             count += len(spans)
-            text = _replaced(text, spans)
+            text, fixed = _replaced(text, fixed, spans)
         if count == before:
             break
-    if not count:
-        spans = letter_spans(text) or cyrillic_spans(text) or latin_spans(text)
-        count = len(spans)
-        text = _replaced(text, spans)
-    return text, count, "�" in text
+    for find in (letter_spans, latin_spans):
+        spans = find(text, fixed)
+        count += len(spans)
+        text, fixed = _replaced(text, fixed, spans)
+    return text, count, "\ufffd" in text
+
+
+def _without_chance(spans: list[Span], words: list[Span]) -> list[Span]:
+    """The spans but those that make up less than two thirds of a word which a single-byte pair explains as a whole."""
+    out = spans
+    for a, b, _ in words:
+        inside = [s for s in spans if a <= s[0] and s[1] <= b]
+        if inside and 3 * sum(s[1] - s[0] for s in inside) < 2 * (b - a):
+            out = [s for s in out if s not in inside]
+    return out
 
 
-def _replaced(text: str, spans: list[Span]) -> str:
-    parts, at = [], 0
+def _replaced(text: str, fixed: bytes, spans: list[Span]) -> tuple[str, bytes]:
+    """The text with the spans replaced, and a mark for each character that is restored already."""
+    parts, marks, at = [], [], 0
     for a, b, original in spans:
         if a >= at:
             parts += [text[at:a], original]
+            marks += [fixed[at:a], b"\1" * len(original)]
             at = b
-    return "".join([*parts, text[at:]])
+    return "".join([*parts, text[at:]]), b"".join([*marks, fixed[at:]])
 
 
 def _run(only_found: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
