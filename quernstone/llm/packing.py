@@ -5,7 +5,8 @@ population of packings whose genes are whole bins. Crossover takes well-filled b
 removes the bins of the other that hold any of the same items, and puts the displaced items back by
 best fit, longest first. After an epoch the best bins of an island, as lists of sizes, migrate to the
 next island, which builds them of its own items and goes on. What then still lies in badly filled bins
-leaves its island for a coarser one, until a single island is left.
+moves to fewer islands of the same size, as long as that makes them fewer by a quarter; the rest stays as
+it is packed. So no island ever holds more than its share, whatever the sizes of the items.
 
 A text longer than the capacity is cut into pieces of the capacity, which are containers of their own,
 and a rest that is packed like any other item. No other text is cut. Null and empty texts take no
@@ -34,6 +35,8 @@ CROSSOVERS = 6
 ELITES = 200
 #: Bins filled less than this leave their island.
 WELL_FILLED = 0.99
+#: The share of the islands of a level that the next one may have at most.
+FEWER = 0.75
 
 Bins = list[list[int]]
 
@@ -184,14 +187,19 @@ def _epoch(items: DataFrame, islands: int, epoch: int) -> DataFrame:
 
 
 def _elites(items: DataFrame, islands: int) -> DataFrame:
-    """The size lists of full bins, most frequent first, on their way to the next island."""
-    bins = items.where("fill = capacity").groupBy("profile", "capacity", "island", "bin").agg(F.sort_array(F.collect_list("size"), asc=False).alias("pattern"))
-    counted = bins.groupBy("profile", "capacity", "island", "pattern").agg(F.count("*").alias("times"))
-    best = counted.groupBy("profile", "capacity", "island").agg(F.sort_array(F.collect_list(F.struct("times", "pattern")), asc=False).alias("all"))
+    """The size lists of the best filled bins, most frequent first among equals, on their way to the next island."""
+    bins = items.groupBy("profile", "capacity", "island", "bin").agg(F.sort_array(F.collect_list("size"), asc=False).alias("pattern"), F.max("fill").alias("fill"))
+    counted = bins.where(F.size("pattern") > 1).groupBy("profile", "capacity", "island", "fill", "pattern").agg(F.count("*").alias("times"))
+    best = counted.groupBy("profile", "capacity", "island").agg(F.sort_array(F.collect_list(F.struct("fill", "times", "pattern")), asc=False).alias("all"))
     best = best.select("profile", "capacity", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.explode(F.slice("all", 1, ELITES)).alias("x"))
     return best.select("profile", "capacity", "island", F.col("x.pattern").alias("pattern"))
 
 
+def _islands(items: DataFrame) -> int:
+    most = items.groupBy("profile").count().agg(F.max("count")).first()[0] or 0
+    return max(1, math.ceil(most / ISLAND_ITEMS))
+
+
 def pack(sizes: DataFrame) -> DataFrame:
     """Pack (profile, capacity, doc_id, n_tokens) rows; see pack_documents for the result."""
     pieces = sizes.where("doc_id IS NOT NULL AND n_tokens > 0 AND capacity > 0").select(
@@ -202,8 +210,7 @@ def pack(sizes: DataFrame) -> DataFrame:
     name = lambda *c: F.concat_ws("-", "profile", *c)
     whole = pieces.where("size = capacity").select("profile", name(F.lit("full"), "doc_id", "piece", F.monotonically_increasing_id()).alias("container_id"), "doc_id", "piece", "size")
     items = pieces.where("size < capacity")
-    most = items.groupBy("profile").count().agg(F.max("count")).first()[0] or 0
-    islands = max(1, math.ceil(most / ISLAND_ITEMS))
+    islands = _islands(items)
     empty = F.lit(None).cast("int")
     items = items.withColumns({"island": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(islands)).cast("int"), "bin": empty, "fill": empty, "pattern": F.lit(None).cast("array<int>")})
     done, level = [whole], 0
@@ -213,16 +220,15 @@ def pack(sizes: DataFrame) -> DataFrame:
             migrants = _elites(packed, islands)
             columns = [F.col(c) if c in migrants.columns else F.lit(None).cast(packed.schema[c].dataType).alias(c) for c in packed.columns]
             packed = materialise(_epoch(packed.unionByName(migrants.select(*columns)), islands, 1), f"epoch1-{level}")
-        last = islands == 1
+        badly = packed.where(F.col("fill") < F.col("capacity") * WELL_FILLED)
+        fewer = _islands(badly) if islands > 1 else islands
+        last = fewer > islands * FEWER
         well = packed if last else packed.where(F.col("fill") >= F.col("capacity") * WELL_FILLED)
         done.append(well.select("profile", name(F.lit(str(level)), "island", "bin").alias("container_id"), "doc_id", "piece", "size"))
         if last:
             break
-        items = packed.where(F.col("fill") < F.col("capacity") * WELL_FILLED)
-        level += 1
-        most = items.groupBy("profile").count().agg(F.max("count")).first()[0] or 0
-        islands = max(1, min(islands // 2, math.ceil(most / ISLAND_ITEMS)))
-        items = items.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(islands)).cast("int"))
+        level, islands = level + 1, fewer
+        items = badly.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(islands)).cast("int"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
