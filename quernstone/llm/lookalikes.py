@@ -2,9 +2,10 @@
 
 A text is brought to compatibility form, ignorable characters are deleted, and each run of letters
 becomes a lattice: every letter that has look-alikes in other alphabets stands for all of them. Viterbi
-picks the path with the fewest changes of script and, among those, the best score of a model of adjacent
-letters per script, counted over all texts. The lattice does not depend on which of the look-alikes was
-written, so all disguises of a word come out the same. Accents stay on the letter they belong to.
+picks the path with the best score of a model of adjacent letters per script, counted over all texts, at a
+price for each change of script and a bonus for the script of the text, which is that of most of its
+letters without look-alikes. Neither lattice nor bonus depend on which of the look-alikes was written, so
+all disguises of a word come out the same. Accents stay on the letter they belong to.
 
 Letter case, missing accents, punctuation and ordinary white space are kept. Null stays null, an empty
 text stays empty; texts of any length are processed whole. A blank text matches nothing.
@@ -26,49 +27,62 @@ from pyspark.sql import functions as F
 from quernstone.functions.kernels import code_points
 from quernstone.plans.runtime import materialise, text_slices
 
-#: Letters that look the same, as Latin, Cyrillic, Greek ("-": none), then others.
+#: Fixed values, from the public list of confusable characters: letters that look the same, as Latin,
+#: Cyrillic, Greek ("-": none), then those of Armenian, Cherokee, Coptic and Lisu, small capitals and letters
+#: with another dot or hook.
 LOOKALIKES = """
 a а - ɑ
-c с - ϲ
-d ԁ -
-e е -
-g - - ɡ
-h һ - հ
-i і -
-j ј - ϳ
+b - - Ꮟ
+c с - ϲ ᴄ ⲥ
+d ԁ - ꓒ
+e е - ҽ
+g - - ɡ ց
+h һ - հ Ꮒ
+i і - ı ɩ ɪ Ꭵ
+j ј - ϳ ȷ
 l ӏ - ⅼ
 n - - ո
-o о ο օ
-p р ρ
+o о ο օ ᴏ ⲟ
+p р ρ ⲣ
 q ԛ - զ
-s ѕ -
-v ѵ ν
-w ԝ -
-x х -
-y у -
-A А Α
-B В Β
-C С - Ϲ
-E Е Ε
-H Н Η
-I І Ι Ӏ
-J Ј - Ϳ
-K К Κ
-M М Μ
-N - Ν
-O О Ο Օ
-P Р Ρ
+r г - ʀ
+s ѕ - ꜱ
+u - υ ս ᴜ ʋ
+v ѵ ν ᴠ
+w ԝ - ᴡ
+x х - ⲭ
+y у - ყ
+z - - ᴢ
+A А Α Ꭺ ꓮ Ⲁ
+B В Β Ᏼ ꓐ Ⲃ
+C С - Ϲ Ꮯ ꓚ Ⲥ
+D - - Ꭰ ꓓ
+E Е Ε Ꭼ ꓰ Ⲉ
+F - - Ϝ ꓝ
+G Ԍ - Ꮐ ꓖ
+H Н Η Ꮋ ꓧ Ⲏ
+I І Ι Ӏ ꓲ Ⲓ
+J Ј - Ϳ Ꭻ ꓙ
+K К Κ Ꮶ ꓗ Ⲕ
+L - - Ꮮ ꓡ Լ
+M М Μ Ꮇ ꓟ Ⲙ
+N - Ν ꓠ Ⲛ
+O О Ο Օ ꓳ Ⲟ
+P Р Ρ Ꮲ ꓑ Ⲣ
 Q Ԛ -
-S Ѕ - Տ
-T Т Τ
-W Ԝ -
-X Х Χ
-Y Ү Υ
-Z - Ζ
+R - - Ꭱ Ꮢ ꓣ
+S Ѕ - Տ Ꮪ Ꮥ ꓢ
+T Т Τ Ꭲ ꓔ Ⲧ
+U - - Ս ꓴ
+V Ѵ - Ꮩ ꓦ
+W Ԝ - Ꮤ Ꮃ ꓪ
+X Х Χ ꓫ Ⲭ
+Y Ү Υ Ꭹ ꓬ
+Z - Ζ Ꮓ ꓜ
 """
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
-#: A change of script costs more than any difference between letters.
-SWITCH = 1000.0
+#: What a change of script within a word costs, and what the script of the text saves, in units of ln of a letter's share.
+SWITCH, OWN_SCRIPT = 20.0, 8.0
 IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ])*")
 _ALPHABET = 0x600
@@ -119,8 +133,8 @@ class LetterModel:
         x, y = ord(a) if a else 0, ord(b) if b else 0
         return float(np.log((self.counts.get((x, y), 0) + 0.5) / (self.totals.get(x, 0) + 500)))
 
-    def best(self, choices: list[tuple[str | None, ...]]) -> list[str]:
-        """Viterbi over letters with a choice in each script."""
+    def best(self, choices: list[tuple[str | None, ...]], own: int = -1) -> list[str]:
+        """Viterbi over letters with a choice in each script; `own` is the script of the text."""
         paths: dict[int, tuple[float, list[str], str | None]] = {-1: (0.0, [], None)}
         for options in choices:
             after = {}
@@ -129,7 +143,7 @@ class LetterModel:
                     continue
                 best = None
                 for before, (cost, path, last) in paths.items():
-                    step = cost - (self.score(last, c) if before in (-1, s) else -SWITCH)
+                    step = cost - self.score(last, c) if before == s else cost - self.score(None, c) + (SWITCH if before >= 0 else -OWN_SCRIPT if s == own else 0.0)
                     if best is None or step < best[0]:
                         best = step, path, c
                 after[s] = best[0], [*best[1], c], c
@@ -142,9 +156,9 @@ class Canonical:
 
     def __init__(self, model: LetterModel):
         self.model = model
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, int], str] = {}
 
-    def word(self, token: str) -> str:
+    def word(self, token: str, own: int = -1) -> str:
         table = lattice()
         parts = unicodedata.normalize("NFD", token)
         if not any(c in table for c in parts):
@@ -162,25 +176,46 @@ class Canonical:
         if only is not None and all(options[only] is not None for options in choices):
             path = [options[only] for options in choices]
         else:
-            path = self.model.best(choices)
+            path = self.model.best(choices, own)
         out = list(parts)
         for i, c in zip(where, path):
             out[i] = c
         return unicodedata.normalize("NFC", "".join(out))
 
-    def _replace(self, match: re.Match) -> str:
-        token = match.group()
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[token] = self.word(token)
-        return found
-
     def text(self, text: str) -> str:
         if not text.isascii():
             text = IGNORABLE.sub("", unicodedata.normalize("NFKC", IGNORABLE.sub("", text)))
-        return _TOKEN.sub(self._replace, text)
+        own = text_script(text)
+
+        def replace(match: re.Match) -> str:
+            key = match.group(), own
+            found = self.known.get(key)
+            if found is None:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                found = self.known[key] = self.word(*key)
+            return found
+
+        return _TOKEN.sub(replace, text)
+
+
+def text_script(text: str) -> int:
+    """The script of most letters that have no look-alikes, -1 without any."""
+    if text.isascii():
+        return 0 if _PLAIN.search(text) else -1
+    counts = [len(p.findall(text)) for p in _own_letters()]
+    return counts.index(max(counts)) if any(counts) else -1
+
+
+@lru_cache(maxsize=1)
+def _own_letters() -> list[re.Pattern[str]]:
+    """For each script, a pattern of its letters that have no look-alikes."""
+    table = lattice()
+    letters = [[chr(c) for c in range(0x41, 0x530) if chr(c).isalpha() and script_of(chr(c)) == k and unicodedata.normalize("NFD", chr(c))[0] not in table] for k in range(len(SCRIPTS))]
+    return [re.compile("[" + "".join(own) + "]") for own in letters]
+
+
+_PLAIN = re.compile("[" + "".join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in lattice()) + "]")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
