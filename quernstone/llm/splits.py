@@ -7,8 +7,9 @@ nothing changes. The clusters are rows of a relation, so even one that holds a t
 spread over tasks.
 
 Components get splits by weighted rendezvous hashing: the split with the best -ln(u)/weight of a hash
-u of component and split. Components above a thousandth of all rows (at most a thousand of them) are
-placed first, largest first, where most rows are missing; the weights are what is then still missing.
+u of component and split, where the weights are the rows that the splits still miss. Components above a
+thousandth of all rows, at most a thousand of them, draw one after the other, largest first, among the
+splits that have room for them; all others then draw at once.
 
 Null sources and families link nothing; rows without both are groups of their own. Rows with a null
 id are in no group. Groups of rows that stand in no split are torn by none. Other columns are ignored.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quernstone.plans.runtime import materialise
 
-#: A component with more than this share of the rows is placed by itself.
+#: A component with more than this share of the rows draws by itself, and joins it by a broadcast.
 LARGE = 0.001
 SPLITS = ("train", "validation", "test")
 
@@ -31,6 +32,13 @@ def source_key(source: Column) -> Column:
     return F.regexp_replace(F.lower(source), "(?U)[\\s_\\-‐‑]", "")
 
 
+def with_looked_up(rows: DataFrame, lookup: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined (left) with a lookup of one row a key; keys of more than LARGE of the rows by a broadcast of at most 1 / LARGE rows."""
+    large = F.broadcast(materialise(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > total * LARGE).select(key).join(lookup, key, "left"), "large"))
+    usual = rows.join(large.select(key), key, "left_anti").join(lookup, key, "left")
+    return usual.unionByName(rows.join(large, key))
+
+
 def hash_to_min(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of the edges (a, b): root is the smallest node of the component."""
     clusters = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
@@ -55,8 +63,8 @@ def related_rows(rows: DataFrame, id_col: str = "id", source_col: str = "source"
     keyed = rows.select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), source.alias("s"), family.alias("f")).where("id IS NOT NULL")
     edges = keyed.where("s IS NOT NULL AND f IS NOT NULL").select(F.col("s").alias("a"), F.col("f").alias("b")).distinct()
     roots = hash_to_min(edges)
-    node = F.coalesce("s", "f")
-    return keyed.select("id", "split", node.alias("node")).join(roots, "node", "left").select("id", "split", F.coalesce("root", "node", F.concat(F.lit("r:"), F.col("id").cast("string"))).alias("part"))
+    nodes = keyed.select("id", "split", F.coalesce("s", "f").alias("node"))
+    return with_looked_up(nodes, roots, "node", keyed.count()).select("id", "split", F.coalesce("root", "node", F.concat(F.lit("r:"), F.col("id").cast("string"))).alias("part"))
 
 
 def related_groups(related: DataFrame) -> DataFrame:
@@ -85,16 +93,18 @@ def assign_splits(rows: DataFrame, targets: DataFrame) -> DataFrame:
     total = groups.agg(F.sum("rows")).first()[0] or 0
     whole = sum(shares.values())
     missing = {s: total * w / whole for s, w in sorted(shares.items())}
-    placed = {}
-    for g in groups.where(F.col("rows") > total * LARGE).orderBy(F.desc("rows"), "group_id").collect():
-        best = max(missing, key=missing.get)
-        placed[g.part] = best
+    drawn = lambda s: -F.log((F.shiftrightunsigned(F.xxhash64("part", F.lit(s)), 11) + 1) / float(1 << 53))
+    placed = []
+    alone = groups.where(F.col("rows") > total * LARGE).select("part", "group_id", "rows", *[drawn(s).alias(f"draw {s}") for s in missing])
+    for g in alone.orderBy(F.desc("rows"), "group_id").collect():
+        fits = [s for s, left in missing.items() if left >= g.rows] or [max(missing, key=missing.get)]
+        best = min(fits, key=lambda s: g[f"draw {s}"] / max(missing[s], 1e-9))
+        placed.append((g.part, str(g.group_id), best))
         missing[best] -= g.rows
     weights = {s: w for s, w in missing.items() if w > 0} or {s: 1.0 for s in missing}
-    uniform = lambda s: (F.shiftrightunsigned(F.xxhash64("part", F.lit(s)), 11) + 1) / float(1 << 53)
-    draw = F.least(*[F.struct((-F.log(uniform(s)) / w).alias("cost"), F.lit(s).alias("split")) for s, w in weights.items()]) if len(weights) > 1 else F.struct(F.lit(0.0).alias("cost"), F.lit(next(iter(weights))).alias("split"))
-    chosen = groups.select("part", "group_id", draw["split"].alias("drawn"))
-    spark = rows.sparkSession
-    large = spark.createDataFrame([(p, s) for p, s in placed.items()], "part string, fixed string")
-    chosen = chosen.join(F.broadcast(large), "part", "left").select("part", "group_id", F.coalesce("fixed", "drawn").alias("split_name"))
-    return related.join(chosen, "part").select("id", "group_id", "split_name")
+    draws = [F.struct((drawn(s) / w).alias("cost"), F.lit(s).alias("split")) for s, w in weights.items()]
+    draw = F.least(*draws) if len(draws) > 1 else draws[0]
+    large = F.broadcast(rows.sparkSession.createDataFrame(placed, "part string, group_id string, split_name string").withColumn("group_id", F.col("group_id").cast(groups.schema["group_id"].dataType)))
+    usual = groups.join(large.select("part"), "part", "left_anti").select("part", "group_id", draw["split"].alias("split_name"))
+    rest = related.join(large.select("part"), "part", "left_anti").join(usual, "part")
+    return rest.unionByName(related.join(large, "part")).select("id", "group_id", "split_name")
