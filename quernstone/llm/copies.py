@@ -4,7 +4,8 @@ Every text streams through one table that skips a character (value 0) or folds i
 letter or digit. Two polynomial hashes roll over the folded codes: a skipped character adds nothing
 and does not move the exponent, so the canonical string is never built. Rows whose 128-bit hashes
 collide are then compared with the smallest row of the group by two pointers that skip alike; rows
-that fail (a true collision) are regrouped by their exact canonical form.
+that fail (a true collision) are regrouped by their exact canonical form. The text of the smallest row of
+a large group is repeated so that its members are compared in many tasks.
 
 JSON payloads hash as trees: objects as sums over their fields, so that their order does not matter.
 
@@ -28,6 +29,10 @@ from quernstone.functions.kernels import BASES, code_points, mix, powers
 from quernstone.plans.runtime import materialise, text_slices
 
 
+#: Members that are compared with one copy of the first row's text.
+MEMBERS = 20_000
+
+
 @lru_cache(maxsize=1)
 def fold_table() -> np.ndarray:
     """Folded code of every code point; 0 where it is skipped."""
@@ -210,14 +215,16 @@ def formatting_copies(rows: DataFrame, id_col: str = "id", text_col: str = "text
     kind = source.schema["id"].dataType.simpleString()
     hashed = source.mapInArrow(_hashed(_json_keys if json_rows else _text_keys, "text"), f"id {kind}, split string, h1 bigint, h2 bigint")
     hashed = materialise(hashed, "folds")
-    sets = hashed.groupBy("split", "h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    sets = hashed.groupBy("split", "h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")).where("first_id < last_id")
     same = F.col("s.split").eqNullSafe(F.col("m.split")) & (F.col("s.h1") == F.col("m.h1")) & (F.col("s.h2") == F.col("m.h2"))
-    members = hashed.alias("m").join(sets.alias("s"), same).where("m.id > s.first_id").select("m.id", "m.split", "s.first_id").distinct()
+    members = hashed.alias("m").join(sets.alias("s"), same).where("m.id > s.first_id").select("m.id", "m.split", "s.first_id", "s.salts").distinct()
     members = materialise(members, "members")
     texts = source.select("id", "text").dropDuplicates(["id"]) if rows.isStreaming else source.select("id", "text")
     wanted = members.select("id").union(members.select("first_id")).distinct()
     texts = materialise(texts.join(wanted, "id", "left_semi"), "texts")
-    both = members.join(texts, "id").join(texts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
+    firsts = members.groupBy("first_id").agg(F.max("salts").alias("salts")).join(texts.select(F.col("id").alias("first_id"), F.col("text").alias("first_text")), "first_id")
+    firsts = firsts.select("first_id", "first_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).join(texts, "id").join(firsts, ["first_id", "salt"])
     checked = both.select("id", "split", "first_id", "text", "first_text").mapInArrow(_compared(json_rows), f"id {kind}, split string, first_id {kind}, form string")
     checked = materialise(checked, "checked")
     good = checked.where("form IS NULL").select("first_id", F.col("id").alias("copy_id"))
