@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import decoding as D, normalise as N
 from quernstone.operators import adaptive, conversation, corpus, egress, learning, rules as R, scoring, statistics as S, vectors
-from quernstone.operators.ranking import numbered
-from quernstone.plans import corpus as building, detect as plan
-from quernstone.plans.runtime import spread, table
+from quernstone.operators.embedding import Models
+from quernstone.operators.ranking import before_in_key, numbered
+from quernstone.plans import corpus as building, detect as plan, evaluate as evaluation
+from quernstone.plans.runtime import materialise, spread, table
 from quernstone.sources import records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +209,44 @@ def rule_counts(spark: SparkSession, d: str) -> DataFrame:
     return _matches(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+# Every rule with a text that it matches and one that just misses it, as they are, in leet letters and as base64.
+
+_LEET = ("oieast", "013457")
+
+
+def _salted() -> list[tuple[str, str, str]]:
+    """(id, scope, text) of all shipped rules' own examples."""
+    out = []
+    for r in _RULES:
+        for kind, text in (("hit", r.positive[0]), ("miss", r.negative[0])):
+            leet = text.translate(str.maketrans(*_LEET))
+            packed = base64.b64encode(text.encode()).decode()
+            out += [(f"{r.id} {kind} {form}", r.scope[0], t) for form, t in (("plain", text), ("leet", leet), ("base64", packed)) if text.isascii()]
+    return out
+
+
+_UNLEET = f"translate(text, '{N.LEET_FROM}', '{N.LEET_TO}')"
+_SALTED_SQL = "WITH given AS (SELECT * FROM (VALUES " + ", ".join(f"({_sql_text(i)}, {_sql_text(s)}, {_sql_text(t)})" for i, s, t in _salted()) + f""") v(id, scope, text)),
+    plain AS MATERIALIZED (SELECT id, scope, text AS t, 'canonical' AS view, 0 AS ord FROM given
+        UNION ALL SELECT id, scope, {_UNLEET}, 'folded', 1 FROM given WHERE {_UNLEET} <> text
+        UNION ALL SELECT id, scope, decode(from_base64(text)), 'decoded', 2 FROM given WHERE id LIKE '%base64' AND length(text) >= 16 AND text SIMILAR TO '[A-Za-z0-9+/]{{16,}}={{0,2}}'),
+    f AS (""" + " UNION ALL ".join(f"SELECT id, '{r.id}' AS rule, view, ord FROM plain WHERE view IN ({', '.join(map(_sql_text, r.views))}) AND {_SCOPE_OK(r)} AND {R.sql_condition('t', r.match)}" for r in _RULES) + """)
+    SELECT id, rule, arg_min(view, ord) AS view FROM f GROUP BY 1, 2"""
+
+
+@query(_SALTED_SQL)
+def salted_matches(spark: SparkSession, d: str) -> DataFrame:
+    """What the whole plan finds in the rules' own examples: the rule and the first view it fires in."""
+    given = spark.createDataFrame(_salted(), "id string, scope string, text string")
+    found = plan.matched(given, "text", "scope").select("id", F.explode("matches").alias("m"))
+    return found.select("id", "m.rule", "m.view")
+
+
+@query("SELECT unnest(" + str(R.rule_ids()) + ") AS rule")
+def rule_ids(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in R.rule_ids()], "rule string")
+
+
 # -- fusion and policy ---------------------------------------------------------------------------
 
 _W = plan.WEIGHTS
@@ -351,7 +391,8 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[]), 6) AS similarity FROM embeddings""")
 def turn_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.consecutive_similarity("embedding", "label", "vec_id"), 6).alias("similarity"))
+    e = before_in_key(table(spark, d, "embeddings"), "label", "vec_id", "vec_id", "embedding", "before")
+    return e.select("vec_id", F.round(F.when(F.col("before").isNotNull(), vectors.dot(F.col("embedding"), F.col("before"))), 6).alias("similarity"))
 
 
 # -- corpus --------------------------------------------------------------------------------------
@@ -377,12 +418,14 @@ _DRAW = "('0x' || substr(md5(c || ':' || d || ':{k}'), 1, 8))::UBIGINT::BIGINT"
     g AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
     walk(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, w.root FROM walk w JOIN g ON g.a = w.node WHERE w.root < g.b),
     k AS (SELECT node AS id, min(root) AS c FROM walk GROUP BY node),
-    m AS (SELECT id, c, row_number() OVER (PARTITION BY c ORDER BY id) AS pos, count(*) OVER (PARTITION BY c) AS n FROM k),
+    q AS (SELECT id, c, count(*) OVER (PARTITION BY c) AS n FROM k),
+    m AS (SELECT id, c, n, row_number() OVER (PARTITION BY c ORDER BY id) AS pos, count(*) OVER (PARTITION BY c) AS s FROM q
+          WHERE n <= 12 OR ('0x' || substr(md5(id), 1, 8))::UBIGINT::DOUBLE / 4294967296 * n < 160),
     drawn AS (
         SELECT a.c, a.id AS a, b.id AS b FROM m a JOIN m b ON a.c = b.c AND a.pos < b.pos WHERE a.n <= 12
         UNION ALL
-        SELECT x.c, a.id, b.id FROM (SELECT c, n, d, {_DRAW.format(k=0)} % n AS i, {_DRAW.format(k=1)} AS r FROM (SELECT c, n FROM m WHERE pos = 1 AND n > 12), range(1, 41) t(d)) x
-        JOIN m a ON a.c = x.c AND a.pos = x.i + 1 JOIN m b ON b.c = x.c AND b.pos = (x.i + 1 + x.r % (x.n - 1)) % x.n + 1),
+        SELECT x.c, a.id, b.id FROM (SELECT c, s, d, {_DRAW.format(k=0)} % s AS i, {_DRAW.format(k=1)} AS r FROM (SELECT c, s FROM m WHERE pos = 1 AND n > 12 AND s > 1), range(1, 41) t(d)) x
+        JOIN m a ON a.c = x.c AND a.pos = x.i + 1 JOIN m b ON b.c = x.c AND b.pos = (x.i + 1 + x.r % (x.s - 1)) % x.s + 1),
     ok AS (SELECT c FROM (SELECT d.c, len(list_intersect(x.s, y.s)) AS o, len(x.s) + len(y.s) AS t FROM drawn d JOIN sh x ON x.id = d.a JOIN sh y ON y.id = d.b) GROUP BY c HAVING avg(o / (t - o)) >= 0.5),
     f AS (SELECT r.id, coalesce(k.c, r.id) AS first FROM corpus_rows r LEFT JOIN (SELECT * FROM k SEMI JOIN ok USING (c)) k USING (id))
     SELECT id, (dense_rank() OVER (ORDER BY first) - 1)::INT AS cluster FROM f""")
@@ -437,8 +480,7 @@ _LINE = "concat_ws(chr(31), " + ", ".join(f"coalesce({c}::VARCHAR, chr(0))" for
 
 @query("WITH " + _ASSIGNED + f""",
     h AS (SELECT partition, sha256({_LINE}) AS h FROM r WHERE kept),
-    b AS (SELECT partition, ('0x' || substr(h, 1, 8))::UBIGINT % 64 AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY 1, 2),
-    s AS (SELECT partition, sha256(string_agg(h, chr(10) ORDER BY h)) AS sha256 FROM b GROUP BY 1)
+    s AS (SELECT partition, sha256(concat_ws(':', {', '.join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::UBIGINT::HUGEINT)::VARCHAR" for k in range(4))}, count(*)::VARCHAR)) AS sha256 FROM h GROUP BY 1)
     SELECT partition, count(*) AS row_count, list_sort(list(DISTINCT license) FILTER (license IS NOT NULL)) AS licenses, list_sort(list(DISTINCT tier) FILTER (tier IS NOT NULL)) AS tiers, any_value(sha256) AS sha256
     FROM r JOIN s USING (partition) WHERE kept GROUP BY partition""")
 def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -631,7 +673,14 @@ def paraphrase_evasion(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def attack_climb(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "index_entries").select("id", "text")
-    return adaptive.hill_climb(seeds, _rule_score, 0.5, 8).select("id", "first_score", "score", "queries", "evaded")
+    return adaptive.hill_climb(seeds, _rule_score, 0.8, 100).select("id", "first_score", "score", "queries", "evaded")
+
+
+@query()
+def climb_report(spark: SparkSession, d: str) -> DataFrame:
+    """The share of seeds that evade, and the queries it took them."""
+    seeds = table(spark, d, "index_entries").select("id", "text")
+    return evaluation.evaded(adaptive.hill_climb(seeds, _rule_score, 0.8, 100))
 
 
 _TARGET = ", ".join(f"list_contains(taxonomy_labels, '{t}')::INT" if t != "benign" else "0" for t in learning.TAXONOMY)
@@ -771,6 +820,51 @@ def calibration_fit(spark: SparkSession, d: str) -> DataFrame:
     return fixed.agg(F.lit(slope).alias("slope"), F.lit(offset).alias("offset"), S.brier(F.col("label"), F.col("score")).alias("before"), S.brier(F.col("label"), F.col("fixed")).alias("after"))
 
 
+# The learned layers on the engine's own scores.
+
+
+def _models(spark: SparkSession, d: str) -> Models:
+    return evaluation.train(table(spark, d, "corpus_rows").select("id", "text", "label", "source_split"), table(spark, d, "index_entries"))
+
+
+@query()
+def layer_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All four layers of every corpus row."""
+    rows = table(spark, d, "corpus_rows").select("id", "text", "label", "source_split")
+    return evaluation.layers(rows, _models(spark, d)).select("id", *[F.round(c, 9).alias(c) for c in scoring.LAYERS])
+
+
+@query()
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision and the rates at 0.1 % and 1 % false positives, with intervals, of the refitted fusions, the strongest layer and the rules."""
+    rows = table(spark, d, "corpus_rows").select("id", "text", "label", "source_split")
+    scored = materialise(evaluation.layers(rows, _models(spark, d), ("label", "source_split")), "scored")
+    return evaluation.headline(scored, evaluation.fusions(scored))
+
+
+@query()
+def conversation_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Every request decided by all four layers and raised to what its conversation asks for."""
+    once = table(spark, d, "detect_requests").groupBy("request_id").agg(F.min_by(F.struct("text", "scope", "shadow", "conversation_id", "received_at"), "logged_at").alias("r")).select("request_id", "r.*")
+    return plan.screen_conversations(once, _models(spark, d), shadow_col="shadow").drop("rationale")
+
+
+@query("""
+    SELECT q.vec_id AS id, round(greatest(0, max(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score
+    FROM embeddings q JOIN embeddings e ON e.vec_id % 50 <> 0 AND e.label = 0 WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id""")
+def knn_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How near the asked vectors are to an index of the vectors of one label, as the layer scores it."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = e.where("vec_id % 50 <> 0 AND label = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.nearest_score(vectors.neighbours(asked, index, 1)).select(F.col("query_id").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT id, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) < 1 THEN 'empty text' ELSE 'text too long' END AS reason FROM (SELECT request_id AS id, text FROM detect_requests) WHERE NOT coalesce(length(text) BETWEEN 1 AND 100000, false)")
+def rejected_requests(spark: SparkSession, d: str) -> DataFrame:
+    return plan.rejected(table(spark, d, "detect_requests"))
+
+
 @query()
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
     """Linear heads on hashed words, fitted on a sample of at most 5,000 labelled rows, applied to all rows."""

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quernstone.functions.columns import let
 from quernstone.operators.graph import components
 from quernstone.operators.ranking import numbered
-from quernstone.plans.runtime import materialise, spread
+from quernstone.operators.similarity import shingle_sets, similar_pairs, verified
+from quernstone.plans.runtime import materialise
 
 PARTITIONS = ("train", "validation", "test", "cross_source_eval", "hard_negatives_eval")
 SIMILARITY = 0.5
-SMALL_CLUSTER, SAMPLED_PAIRS = 12, 40
+SMALL_CLUSTER, SAMPLED_PAIRS, SAMPLED_MEMBERS = 12, 40, 160
 
 
 def shingle_text(text: Column) -> Column:
@@ -33,57 +34,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared))
 
 
-def similar_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = SIMILARITY) -> DataFrame:
-    """(a, b): pairs of different shingle sets with at least the similarity, each set by its least id; and copies with it.
-
-    Prefix filter over shingles in order of their frequency. Rows with the same set are one head, so a
-    large group of copies is linked to it in a star. Null texts are left out.
-    """
-    base = spread(rows.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col)).select(F.col(id_col).alias("id"), F.array_sort(F.transform(shingles(F.col(text_col)), lambda s: F.xxhash64(s))).alias("set"))
-    base = materialise(base, "shingles")
-    heads = base.groupBy("set").agg(F.min("id").alias("head"))
-    copies = base.join(heads, "set").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    heads = materialise(heads, "heads")
-    each = heads.select("head", F.size("set").alias("n"), F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(often, "s").groupBy("head", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
-    # shingles of one row only come first in the order: they take up the prefix but need no posting
-    alone = F.col("n") - F.size("order")
-    length = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1 - alone
-    postings = ranked.where(length > 0).select("head", "n", F.explode(F.slice("order", F.lit(1), length)).alias("x")).select("head", "n", F.col("x.s").alias("s"))
-    x, y = postings.alias("x"), postings.alias("y")
-    fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold
-    pairs = x.join(y, "s").where((F.col("x.head") < F.col("y.head")) & fits).select(F.col("x.head").alias("a"), F.col("y.head").alias("b")).distinct()
-    sets = heads.select("head", "set")
-    both = pairs.join(sets.select(F.col("head").alias("a"), F.col("set").alias("p")), "a").join(sets.select(F.col("head").alias("b"), F.col("set").alias("q")), "b")
-    return both.where(jaccard(F.col("p"), F.col("q")) >= threshold).select("a", "b").unionByName(copies)
-
-
 def clusters(rows: DataFrame, id_col: str, text_col: str, threshold: float = SIMILARITY) -> DataFrame:
     """(id, cluster) of every row: similar rows chained together, dissolved where they do not cohere.
 
-    Cohesion is the mean similarity of all pairs of a cluster of at most twelve, of forty drawn pairs of
-    a larger one. Numbers rank the clusters by their least id.
+    Cohesion is the mean similarity of all pairs of a cluster of at most twelve, of forty drawn pairs of a
+    larger one. The pairs are drawn from the members whose hash is below SAMPLED_MEMBERS / n, so no task
+    ranks a whole cluster. Numbers rank the clusters by their least id.
     """
     linked = materialise(components(similar_pairs(rows, id_col, text_col, threshold), "a", "b"), "linked")
     sized = linked.join(linked.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = sized.withColumn("pos", F.row_number().over(Window.partitionBy("component").orderBy("id")))
+    share = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawable = sized.where((F.col("n") <= SMALL_CLUSTER) | (share * F.col("n") < SAMPLED_MEMBERS))
+    members = materialise(drawable.withColumn("pos", F.row_number().over(Window.partitionBy("component").orderBy("id"))), "drawable")
     draw = lambda c, j, k: F.conv(F.substring(F.md5(F.concat_ws(":", c, j, F.lit(k))), 1, 8), 16, 10).cast("long")
-    shapes = members.where("pos = 1").select("component", "n")
-    small = shapes.where(F.col("n") <= SMALL_CLUSTER).select("component", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i"), "n").select("component", "i", F.explode(F.sequence(F.col("i") + 1, F.col("n"))).alias("j"))
-    large = shapes.where(F.col("n") > SMALL_CLUSTER).select("component", "n", F.explode(F.sequence(F.lit(1), F.lit(SAMPLED_PAIRS))).alias("d"))
-    first = draw(F.col("component"), F.col("d"), 0) % F.col("n")
-    second = (first + 1 + draw(F.col("component"), F.col("d"), 1) % (F.col("n") - 1)) % F.col("n")
+    shapes = members.groupBy("component").agg(F.max("n").alias("n"), F.count("*").alias("s"))
+    small = shapes.where(F.col("n") <= SMALL_CLUSTER).select("component", F.explode(F.sequence(F.lit(1), F.col("s") - 1)).alias("i"), "s").select("component", "i", F.explode(F.sequence(F.col("i") + 1, F.col("s"))).alias("j"))
+    large = shapes.where((F.col("n") > SMALL_CLUSTER) & (F.col("s") > 1)).select("component", "s", F.explode(F.sequence(F.lit(1), F.lit(SAMPLED_PAIRS))).alias("d"))
+    first = draw(F.col("component"), F.col("d"), 0) % F.col("s")
+    second = (first + 1 + draw(F.col("component"), F.col("d"), 1) % (F.col("s") - 1)) % F.col("s")
     large = large.select("component", (first + 1).cast("long").alias("i"), (second + 1).cast("long").alias("j"))
     pairs = small.select("component", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).unionByName(large)
     named = members.select("component", F.col("pos").cast("long").alias("pos"), "id")
     a = pairs.join(named.select("component", F.col("pos").alias("i"), F.col("id").alias("a")), ["component", "i"])
-    ab = a.join(named.select("component", F.col("pos").alias("j"), F.col("id").alias("b")), ["component", "j"])
-    needed = ab.select(F.col("a").alias("id")).union(ab.select("b")).distinct()
-    texts = spread(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")).select("id", shingles(F.col("text")).alias("s"))
-    scored = ab.join(texts.select(F.col("id").alias("a"), F.col("s").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("q")), "b")
-    cohesive = scored.groupBy("component").agg(F.avg(jaccard(F.col("p"), F.col("q"))).alias("mean")).where(F.col("mean") >= threshold).select("component")
-    kept = linked.join(cohesive, "component", "left_semi")
+    ab = materialise(a.join(named.select("component", F.col("pos").alias("j"), F.col("id").alias("b")), ["component", "j"]).select("component", "a", "b"), "drawn")
+    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    scored = verified(ab.select("a", "b").distinct(), texts, shingle_sets, 0.0, "scored")
+    means = ab.join(scored, ["a", "b"], "left").groupBy("component").agg(F.avg(F.coalesce("similarity", F.lit(0.0))).alias("mean"))
+    kept = linked.join(means.where(F.col("mean") >= threshold).select("component"), "component", "left_semi")
     every = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).join(kept, "id", "left").select("id", F.coalesce("component", "id").alias("first"))
     firsts = numbered(every.select("first").distinct(), [F.col("first")], "cluster")
     return every.join(firsts, "first").select("id", F.col("cluster").cast("int").alias("cluster"))
@@ -96,10 +73,15 @@ def target_partition(source: Column, split: Column, backbone: str, hard: str = "
 
 
 def remediate(assigned: DataFrame) -> DataFrame:
-    """assigned (id, partition, cluster, ...) with `kept`: one row per cluster, in the partition that comes first."""
+    """assigned (id, partition, cluster, ...) with `kept`: one row per cluster, in the partition that comes first.
+
+    Rows without a cluster are kept and take no part in the join; a cluster sends one row to it.
+    """
     priority = F.array_position(F.array(*[F.lit(p) for p in PARTITIONS]), F.col("partition"))
-    w = Window.partitionBy("cluster").orderBy(priority, "id")
-    return assigned.withColumn("kept", F.col("cluster").isNull() | (F.row_number().over(w) == 1))
+    place = F.struct(priority.alias("at"), F.col("id").alias("id"))
+    best = assigned.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min(place).alias("_best"))
+    within = assigned.where("cluster IS NOT NULL").join(best, "cluster").withColumn("kept", place == F.col("_best")).drop("_best")
+    return within.select(*assigned.columns, "kept").unionByName(assigned.where("cluster IS NULL").withColumn("kept", F.lit(True)))
 
 
 def findings(assigned: DataFrame) -> DataFrame:
@@ -131,21 +113,16 @@ def naive_leakage(clustered: DataFrame, seed: int = 0) -> DataFrame:
     return test.join(train, "cluster", "left").agg(F.coalesce(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6), F.lit(0.0)).alias("leakage"))
 
 
-def canonical_line(*columns: str) -> Column:
-    """One row as a JSON array of strings, nulls kept."""
-    return F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
-
-
-def content_hash(rows: DataFrame, key_col: str, columns: list[str], buckets: int = 64) -> DataFrame:
+def content_hash(rows: DataFrame, key_col: str, columns: list[str]) -> DataFrame:
     """(key, sha256): a hash of all rows of a key whatever their order.
 
-    Rows hash into buckets; each bucket hashes its sorted row hashes, and the key hashes its sorted
-    bucket hashes, so no task holds the rows of a key.
+    The row hashes are added up in four parts of 60 bits, so the hash of a key is one partial aggregate and
+    no task holds its rows.
     """
     line = rows.select(F.col(key_col).alias("key"), F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256).alias("h"))
-    bucket = line.withColumn("bucket", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    inner = bucket.groupBy("key", "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
-    return inner.groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("sha256"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
+    sums = line.groupBy("key").agg(*parts, F.count("*").alias("n"))
+    return sums.select("key", F.sha2(F.concat_ws(":", *[F.col(f"s{k}").cast("string") for k in range(4)], F.col("n").cast("string")), 256).alias("sha256"))
 
 
 def manifest(rows: DataFrame, key_col: str = "partition") -> DataFrame:

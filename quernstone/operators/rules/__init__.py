@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
@@ -27,6 +28,7 @@ SCOPES = ("user", "system", "retrieved", "tool_result", "file")
 VIEW_CONFIDENCE = {"canonical": 1.0, "decoded": 0.9, "folded": 0.6}
 OTHER_CONFIDENCE = 0.5
 OPERATORS = ("regex", "all", "any", "not", "near")
+# The longest pattern, and the shape of nested quantifiers.
 LONGEST_PATTERN = 400
 _NESTED = re.compile(r"\([^)]*[+*]\)[+*{]")
 SHIPPED = Path(__file__).parent / "signatures.yaml"
@@ -139,8 +141,18 @@ def _unique(rules: list[Rule]) -> None:
             raise RuleError(f"{x}: the id occurs twice")
 
 
+@lru_cache(maxsize=1)
+def _shipped() -> tuple[Rule, ...]:
+    return tuple(rules_from_text(SHIPPED.read_text(), True))
+
+
 def shipped_rules() -> list[Rule]:
-    return rules_from_text(SHIPPED.read_text())
+    return list(_shipped())
+
+
+def rule_ids(rules: list[Rule] | None = None) -> list[str]:
+    """The ids of a rule set, in its order; of the shipped one by default."""
+    return [r.id for r in (shipped_rules() if rules is None else rules)]
 
 
 def subset(rules: list[Rule], ids: set[str]) -> list[Rule]:

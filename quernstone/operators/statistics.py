@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.operators.ranking import numbered, running
+from quernstone.plans.runtime import materialise
 
 
 def curve(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -40,29 +45,72 @@ def average_precision(scores: DataFrame, by: list[str] | None = None) -> DataFra
     return part.groupBy(*by).agg(out) if by else part.agg(out)
 
 
-def bootstrap_tpr(scores: DataFrame, target: float, resamples: int = 2000, seed: int = 0) -> DataFrame:
-    """(tpr, low, high, resamples) with the 95 % interval of resampled rates.
+def _poisson(times: np.ndarray, resamples: int, seeds: np.ndarray) -> np.ndarray:
+    """For each group of equal rows how often they occur in each resample: one draw of a Poisson law for all of them."""
+    return np.stack([np.random.Generator(np.random.PCG64(int(s) & 0xFFFFFFFFFFFFFFFF)).poisson(t, resamples) for t, s in zip(times, seeds)]) if len(times) else np.zeros((0, resamples), np.int64)
+
 
-    Every row draws how often it occurs in each resample from a hash of row, resample and seed by the
-    Poisson law, so a resample needs neither a join nor ranks and scores are grouped before the window.
+def bootstrap_tpr(scores: DataFrame, target: float, resamples: int = 2000, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """(by..., tpr, low, high, resamples) with the 95 % interval of resampled rates.
+
+    Rows of one label and score are one group, whose number of occurrences in a resample is a single draw
+    from the Poisson law, seeded by the group. A resample is then one running sum over the scores, which each
+    task keeps for all resamples at once: groups are range-partitioned by score, a first pass sends the
+    totals of each partition, a second one starts from them.
     """
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += p
-        cuts.append(total)
-        p /= k
-    slot = F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep")
-    drawn = scores.where("label IS NOT NULL AND score IS NOT NULL").select("id", "label", "score", slot)
-    u = (F.shiftrightunsigned(F.xxhash64("id", "rep", F.lit(seed)), 11)) / float(1 << 53)
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
-    weighed = drawn.withColumn("w", times).where("w > 0").groupBy("rep", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("w"))).alias("n"))
-    run = Window.partitionBy("rep").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("rep")
-    c = weighed.select("rep", F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
-    ok = F.coalesce(F.try_divide(F.col("fp"), F.col("neg")), F.lit(0.0)) <= target
-    rates = c.groupBy("rep").agg(F.coalesce(F.max(F.when(ok, F.try_divide(F.col("tp"), F.col("pos")))), F.lit(0.0)).alias("tpr"))
-    ends = rates.agg(F.percentile("tpr", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("resamples"))
-    return tpr_at_fpr(scores, target).join(ends).select("tpr", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "resamples")
+    by = by or []
+    counted = scores.where("label IS NOT NULL AND score IS NOT NULL").groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
+    counted = counted.withColumn("key", F.to_json(F.struct(*by)) if by else F.lit("")).withColumn("seed", F.xxhash64("key", "score", F.lit(seed)))
+    spark = scores.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = materialise(counted.select("key", "score", "p", "n", "seed").repartitionByRange(parts, "key", F.desc("score")).sortWithinPartitions("key", F.desc("score")).withColumn("part", F.spark_partition_id()), "bootstrap")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+        """Draws of runs of rows of one key: (key, part, positives, negatives), rows by resamples."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                keys = np.array(b.column("key").to_pylist(), object)
+                seeds = b.column("seed").to_numpy()
+                p, n = (_poisson(b.column(c).to_numpy(), resamples, seeds ^ k) for c, k in (("p", 0), ("n", 0x5DEECE66D)))
+                cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+                for x, y in zip(cuts[:-1], cuts[1:]):
+                    yield keys[x], b.column("part")[0].as_py(), p[x:y], n[x:y]
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for key, part, p, n in blocks(batches):
+            sums[key, part] = sums.get((key, part), 0) + np.stack([p.sum(axis=0), n.sum(axis=0)])
+        for (key, part), s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([part], pa.int32()), pa.array([s[0].astype(np.int64).tobytes()], pa.binary()), pa.array([s[1].astype(np.int64).tobytes()], pa.binary())], ["key", "part", "p", "n"])
+
+    # one row of fixed width a key and partition
+    before: dict[tuple[str, int], np.ndarray] = {}
+    whole: dict[str, np.ndarray] = {}
+    for r in sorted(placed.mapInArrow(totals, "key string, part int, p binary, n binary").collect(), key=lambda r: (r.key, r.part)):
+        before[r.key, r.part] = whole.get(r.key, np.zeros((2, resamples), np.int64))
+        whole[r.key] = before[r.key, r.part] + np.stack([np.frombuffer(r.p, np.int64), np.frombuffer(r.n, np.int64)])
+    known = spark.sparkContext.broadcast((before, whole))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far: dict[str, np.ndarray] = {}
+        rates: dict[str, np.ndarray] = {}
+        for key, part, p, n in blocks(batches):
+            start = so_far.get(key, known.value[0][key, part])
+            tp, fp = start[0] + np.cumsum(p, axis=0), start[1] + np.cumsum(n, axis=0)
+            so_far[key] = np.stack([tp[-1], fp[-1]])
+            pos, neg = known.value[1][key]
+            ok = fp <= target * neg
+            tpr = np.where(ok, tp, 0) / np.maximum(pos, 1)
+            rates[key] = np.maximum(rates.get(key, np.zeros(resamples)), tpr.max(axis=0))
+        for key, r in rates.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(resamples, key, object), pa.string()), pa.array(np.arange(resamples)), pa.array(r)], ["key", "rep", "tpr"])
+
+    each = placed.mapInArrow(best, "key string, rep bigint, tpr double").groupBy("key", "rep").agg(F.max("tpr").alias("tpr"))
+    ends = each.groupBy("key").agg(F.percentile("tpr", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("resamples"))
+    point = tpr_at_fpr(scores, target, by)
+    point = point.withColumn("key", F.to_json(F.struct(*by)) if by else F.lit(""))
+    return point.join(ends, "key").select(*by, "tpr", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "resamples")
 
 
 def confusion(scores: DataFrame, threshold: Column | float, by: list[str] | None = None) -> DataFrame:

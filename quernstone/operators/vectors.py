@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 
+#: Entries and queries of a cell: about 100 MB of similarities at most.
+CELL_ENTRIES, CELL_QUERIES = 4_000, 4_000
+
+
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors as the rows of a matrix; they must have one length."""
+    lengths = pa.compute.list_value_length(vectors).to_numpy()
+    if lengths.min() != lengths.max():
+        raise ValueError("vectors differ in length")
+    return vectors.flatten().to_numpy().astype(np.float64).reshape(len(vectors), lengths[0])
+
+
 def neighbours(queries: DataFrame, index: DataFrame, k: int = 5, partitions: int | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar vectors of the index, equals by id.
 
@@ -25,10 +38,11 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int = 5, partitions: int
     """
     spark = index.sparkSession
     columns = [index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()]
-    parts = partitions or max(1, spark.sparkContext.defaultParallelism)
     stated = materialise(queries.select("query_id", "vector").where("vector IS NOT NULL"), "queries")
-    blocks = max(1, -(-stated.count() // 2000))
-    cells = index.where("vector IS NOT NULL").select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    held = materialise(index.where("vector IS NOT NULL").select("id", "vector"), "index")
+    parts = partitions or max(spark.sparkContext.defaultParallelism, -(-held.count() // CELL_ENTRIES))
+    blocks = max(1, -(-stated.count() // CELL_QUERIES))
+    cells = held.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
     left = cells.select(F.lit(True).alias("entry"), "part", F.col("id").alias("id"), F.lit(None).cast(columns[1]).alias("query_id"), "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     right = stated.select(F.lit(False).alias("entry"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast(columns[0]).alias("id"), "query_id", "vector", block.alias("block"))
@@ -40,7 +54,9 @@ def neighbours(queries: DataFrame, index: DataFrame, k: int = 5, partitions: int
         if not own.num_rows or not asked.num_rows:
             return schema.empty_table()
         own = own.sort_by("id")
-        m, q = (np.array(x.column("vector").to_pylist(), np.float64) for x in (own, asked))
+        m, q = (_matrix(x.column("vector").combine_chunks()) for x in (own, asked))
+        if m.shape[1] != q.shape[1]:
+            raise ValueError("vectors differ in length")
         sims = q @ m.T
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(q)), top.shape[1])

@@ -183,3 +183,32 @@ def test_shipped_rules(spark):
 def test_noisy_or(spark):
     assert spark.range(1).select(R.noisy_or(F.array(F.lit(0.2), F.lit(0.9))).alias("x")).first().x == pytest.approx(0.92)
     assert spark.range(1).select(R.noisy_or(F.array().cast("array<double>")).alias("x")).first().x == 0
+
+
+def test_every_rule_fires_on_its_own_examples(spark):
+    from quernstone.operators import rules as R
+    from quernstone.operators.rules import examples
+
+    shipped = R.shipped_rules()
+    assert len(R.rule_ids()) == len(shipped) == 52 and all(r.positive and r.negative for r in shipped)
+    rows = [(f"{r.id} {k}", t) for r in shipped for k, t in (("+", r.positive[0]), ("-", r.negative[0]))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    spans = df.select("id", *[R.span(F.col("text"), r.match).alias(r.id) for r in shipped]).collect()
+    texts = dict(rows)
+    for row in spans:
+        rule, kind = row.id.split(" ")
+        assert (row[rule] is not None) == (kind == "+"), row.id
+        if kind == "+" and "regex" in next(r.match for r in shipped if r.id == rule):
+            m = __import__("re").search(next(r.match for r in shipped if r.id == rule)["regex"], texts[row.id])
+            assert (row[rule].s, row[rule].e) == m.span()
+    assert all(examples.found(r.match, examples.fitting(r)) and not examples.found(r.match, examples.near_miss(r)) for r in shipped)
+
+
+def test_combined_nodes_and_their_spans(spark):
+    from quernstone.operators import rules as R
+
+    df = spark.createDataFrame([("red then blue",), ("blue only",), ("green",), ("",)], "t string")
+    both, none = {"all": [{"regex": "red"}, {"regex": "blue"}]}, {"not": {"regex": "blue"}}
+    got = df.select(R.span(F.col("t"), both).alias("a"), R.span(F.col("t"), none).alias("n")).collect()
+    assert [None if r.a is None else (r.a.s, r.a.e) for r in got] == [(0, 13), None, None, None]
+    assert [r.n is not None for r in got] == [False, False, True, True]
