@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quernstone.functions.kernels import alnum_table, gap_table, pair_sets
-from quernstone.llm.sketch import id_bits, id_filter, id_slot, received, shipped
-from quernstone.plans.runtime import materialise, release, text_slices
+from quernstone.operators import similarity
 
 #: What makes up a word: letters and digits, or anything but space, tab, line feed and carriage return.
 WORDS = {"alnum": alnum_table, "spaced": gap_table}
@@ -22,72 +19,6 @@ def sets_of(texts: list[str | None], words: str) -> tuple[np.ndarray, np.ndarray
     return pair_sets([t or "" for t in texts], WORDS[words]())
 
 
-def enough(overlap: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether sets of these sizes together, with this overlap, have the similarity."""
-    return overlap * (1 + threshold) >= threshold * sizes - 1e-9
-
-
-def _sieved(sieve: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = received(sieve)
-        for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            hit = (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
-            yield batch.select(["id", "text"]).filter(pa.array(hit.astype(bool)))
-
-    return run
-
-
-def _sets(words: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, "text"):
-                values, offsets = sets_of(batch.column("text").to_pylist(), words)
-                sets = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "pairs"])
-
-    return run
-
-
-def _check(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            overlap, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                overlap[i] = np.count_nonzero(y[at] == x) if len(y) else 0
-                sizes[i] = len(x) + len(y)
-            good = enough(overlap, sizes, threshold) & (overlap > 0)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(overlap / np.maximum(sizes - overlap, 1))], ["a", "b", "similarity"])
-            yield out.filter(pa.array(good))
-
-    return run
-
-
 def verified(candidates: DataFrame, texts: DataFrame, words: str, threshold: float, label: str) -> DataFrame:
-    """A table of the candidate pairs (a, b) whose texts (id, text) have at least the similarity, with it.
-
-    Only texts that occur in a pair are shuffled, as they are, and turned into sets then. While the ids fit
-    a bit table of bounded size it sieves the scan; an exact semi-join follows in any case.
-    """
-    spark = texts.sparkSession
-    candidates = candidates.select("a", "b")
-    ids = materialise(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ids")
-    kind = texts.schema["id"].dataType.simpleString()
-    texts, bits = texts.select("id", "text"), id_bits(ids.count())
-    if bits:
-        sieve = shipped(spark, id_filter(ids, bits))
-        texts = texts.select("id", "text", id_slot("id", bits)).mapInArrow(_sieved(sieve), f"id {kind}, text string")
-    own = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = materialise(own.mapInArrow(_sets(words), f"id {kind}, pairs binary"), "sets")
-    x = sets.select(F.col("id").alias("a"), F.col("pairs").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("pairs").alias("y"))
-    checked = candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_check(threshold), f"a {kind}, b {kind}, similarity double")
-    checked = materialise(checked, label)
-    release(ids, sets)
-    return checked
+    """A table of the candidate pairs (a, b) whose texts (id, text) have at least the similarity, with it."""
+    return similarity.verified(candidates, texts, partial(sets_of, words=words), threshold, label)

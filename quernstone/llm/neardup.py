@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.kernels import mix
+from quernstone.functions.sketch import code_values, received, shipped, slot_codes, table_bits
 from quernstone.llm.components import connected_groups
-from quernstone.llm.jaccard import enough, sets_of, verified
-from quernstone.llm.sketch import code_values, received, shipped, slot_codes, table_bits
+from quernstone.llm.jaccard import sets_of, verified
+from quernstone.operators.similarity import enough
 from quernstone.plans.runtime import materialise, release, text_slices
 
 #: Bounds of the table that orders word pairs (log2 of its bytes) and the characters a word pair takes up,

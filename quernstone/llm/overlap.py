@@ -27,17 +27,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.kernels import mix
 from quernstone.llm.jaccard import sets_of, verified
+from quernstone.operators.similarity import MAP_COLUMNS, MAP_WORDS, bit_maps, may_overlap
 from quernstone.plans.runtime import materialise, release, text_slices
 
 BANDS, ROWS, ROUNDS = 112, 4, 4
-#: 64-bit words of a set's bit map.
-MAP_WORDS = 4
-MAP_COLUMNS = [f"m{k}" for k in range(MAP_WORDS)]
 #: Entries of a stretch of buckets, and tasks of a round; more entries make more stretches a task.
 STRETCH_ENTRIES = 2_000_000
 MOST_TASKS = 20_000
@@ -60,21 +58,6 @@ def minwise_bands(values: np.ndarray, starts: np.ndarray, which: range = range(B
     return out.T
 
 
-def bit_maps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MAP_WORDS words with one bit set for each member of each set."""
-    n = len(starts) - 1
-    marks = np.zeros((n, MAP_WORDS * 64), np.uint8)
-    marks[np.repeat(np.arange(n), np.diff(starts)), ((values >> np.uint64(40)) % np.uint64(MAP_WORDS * 64)).astype(np.int64)] = 1
-    return np.packbits(marks, axis=1, bitorder="little").view(np.int64)
-
-
-def may_overlap(threshold: float) -> Column:
-    """Whether the bit maps of the sets x and y leave room for the overlap that the similarity asks for."""
-    shared = sum((F.bit_count(F.col(f"x.m{k}").bitwiseAND(F.col(f"y.m{k}"))) for k in range(1, MAP_WORDS)), F.bit_count(F.col("x.m0").bitwiseAND(F.col("y.m0"))))
-    most = shared + F.least("x.spare", "y.spare")
-    return most * (1 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold - 1e-9
-
-
 def _prints(words: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

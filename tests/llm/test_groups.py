@@ -127,6 +127,16 @@ def test_torn_groups(spark):
     assert len(got) == 300 and got.groupby("group_id").split_name.nunique().max() == 1
 
 
+def test_large_groups_draw_where_there_is_room(spark):
+    sizes = [300, 250, 90, 60, 40, *([2] * 130)]
+    rows = [(f"r{g:03}{i:03}", f"s{g}", None, None, "x", 1) for g, n in enumerate(sizes) for i in range(n)]
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, share double")
+    got = splits.assign_splits(corpus(spark, rows), targets).toPandas()
+    assert len(got) == len(rows) and got.groupby("group_id").split_name.nunique().max() == 1
+    shares = got.split_name.value_counts(normalize=True)
+    assert abs(shares["train"] - 0.8) < 0.04 and abs(shares["test"] - 0.1) < 0.03 and abs(shares["validation"] - 0.1) < 0.03
+
+
 def test_shares_are_met(spark):
     rows = [(f"r{i:05}", f"s{i // 3}", None, None, "x", 1) for i in range(6000)]
     targets = spark.createDataFrame([("train", 8.0), ("validation", 1.0), ("test", 1.0), (None, 3.0), ("none", 0.0)], "split_name string, share double")
@@ -174,9 +184,30 @@ def test_hot_members_are_cut_into_blocks(spark, monkeypatch):
     want = {tuple(r) for r in neardup.similar_groups(df).collect()}
     monkeypatch.setattr(neardup, "HOT", 12)
     monkeypatch.setattr(neardup, "CHUNK", 50)
+    monkeypatch.setattr(neardup, "HELD_PAIRS", 10)
+    monkeypatch.setattr(neardup, "MOST_BITS", 10)
+    monkeypatch.setattr(neardup, "LEAST_BITS", 10)
     assert {tuple(r) for r in neardup.similar_groups(df).collect()} == want and want
 
 
+def test_a_pair_meets_once_in_the_cells_of_a_member():
+    import numpy as np
+
+    docs, blocks = 200, 5
+    member = np.full(docs, 8 << 3, np.uint64)
+    which, cells = neardup.cells_of(member, np.arange(docs).astype(np.uint64), np.full(docs, blocks))
+    lists = defaultdict(list)
+    for d, c in zip(which.tolist(), cells.tolist()):
+        lists[c & ~3].append((d, bool(c & neardup.SIDE)))
+    met = []
+    for c, held in lists.items():
+        if c & neardup.CROSS:
+            met += [(min(x, y), max(x, y)) for x, s in held if s for y, t in held if not t]
+        else:
+            met += [(x, y) for i, (x, _) in enumerate(held) for y, _ in held[:i]]
+    assert len(met) == docs * (docs - 1) // 2 == len({tuple(sorted(p)) for p in met}) and max(map(len, lists.values())) < docs
+
+
 def test_no_similar_groups(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (None, "a b c")], "id long, text string")
     assert neardup.similar_groups(df).count() == 0

@@ -96,6 +96,23 @@ def test_packing_documents(spark):
     assert packing.pack_documents(docs.limit(0), profiles).count() == 0
 
 
+def test_islands_stay_bounded_where_nothing_fits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ISLAND_ITEMS", 100)
+    held = []
+    real = packing._islands
+    monkeypatch.setattr(packing, "_islands", lambda items: held.append(real(items)) or held[-1])
+    out = packed(spark, [60 + i % 30 for i in range(1000)], 100)
+    assert out.container_id.nunique() == 1000 and held == [10, 10]
+    assert packed(spark, [60] * 700 + [30] * 700, 100).groupby("container_id")["size"].sum().max() <= 100
+
+
+def test_best_bins_migrate_even_if_none_is_full(spark):
+    rows = [("p", 100, 0, 0, 90, [60, 30]), ("p", 100, 0, 1, 70, [70]), ("p", 100, 1, 0, 95, [50, 45])]
+    items = spark.createDataFrame([(p, c, i, b, f, s) for p, c, i, b, f, sizes in rows for s in sizes], "profile string, capacity int, island int, bin int, fill int, size int")
+    got = {(r.island, tuple(r.pattern)) for r in packing._elites(items, 2).collect()}
+    assert got == {(1, (60, 30)), (0, (50, 45))}
+
+
 def test_crossover_loses_nothing():
     import numpy as np
 
@@ -116,6 +133,20 @@ LIKE = [
 ]
 
 
+@pytest.mark.parametrize(("written", "shown"), [("սոіt", "unit"), ("ᎠᎪТА", "DATA"), ("ᴢооm", "zoom"), ("dıal", "dial"), ("fυnd", "fund"), ("ՏТOР", "STOP"), ("ꓐOⲞK", "BOOK"), ("ｆｉｎｅ", "fine")])
+def test_letters_of_other_alphabets_fold(written, shown):
+    canonical = lookalikes.Canonical(lookalikes.LetterModel())
+    assert canonical.text(f"make {written} talk") == f"make {shown} talk"
+
+
+def test_letter_scores_choose_the_script(spark):
+    text = "сор и роза и сор дома. cop and make cop talk"
+    model = lookalikes.letter_model(spark.createDataFrame([(text,)] * 3, "text string"))
+    canonical = lookalikes.Canonical(model)
+    assert canonical.text("сop и роза") == canonical.text("cop и роза") == "сор и роза"
+    assert canonical.text("сор and make") == "cop and make"
+
+
 def test_lookalike_pairs(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in LIKE], "id string, text string, form string, own string")
     model = lookalikes.letter_model(df)
@@ -165,6 +196,35 @@ def test_garbled_text_is_found(text, true, wrong):
         assert fixed == f"Before all. {text} 12 after"
 
 
+@pytest.mark.parametrize("text", ["Straße", "Fuß", "Übung macht den Meister", "voilà", "à la carte", "ŒUVRE", "Šimon", "Größe über Straße", "Český", "ESPAÑA", "MÓNICA", "être Être", "número Único", "15 µm", "Świeży Łódź", "שלום עולם", "مرحبا بالعالم", "สวัสดีชาวโลก", "안녕하세요 세계", "გამარჯობა", "Բարեւ աշխարհ", "नमस्ते", "Tiếng Việt rất đẹp", "😀 yes 👍🏽", "→ ✓"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+def test_utf8_read_as_western_is_restored(text, wrong):
+    garbled = mojibake.read_as(text.encode(), wrong)
+    for before, after in (("", ""), ("Before all. ", " 12 after.")):
+        assert mojibake.repair(before + garbled + after)[:2] == (before + text + after, pytest.approx(1, abs=30))
+
+
+@pytest.mark.parametrize(("text", "true"), [("שלום לכולם, זה מבחן של קידוד", "cp1255"), ("هذا اختبار للترميز في النص العربي", "cp1256"), ("นี่คือการทดสอบการเข้ารหัสข้อความ", "cp874")])
+def test_other_single_byte_alphabets(text, true):
+    assert mojibake.repair(f"Here: {mojibake.read_as(text.encode(true), 'cp1252')} ok")[0] == f"Here: {text} ok"
+
+
+def test_each_run_has_its_own_pair():
+    r = mojibake.read_as
+    mixed = f"First. {r(RUSSIAN.encode('cp1251'), 'cp1252')} and then. {r(GREEK.encode('cp1253'), 'cp1252')} end"
+    assert mojibake.repair(mixed)[0] == f"First. {RUSSIAN} and then. {GREEK} end"
+    both = f"{r(RUSSIAN.encode('cp1251'), 'cp1252')} and {r('für später'.encode(), 'cp1252')}"
+    assert mojibake.repair(both)[0] == f"{RUSSIAN} and für später"
+    assert mojibake.repair(f"Да. {r(RUSSIAN.encode('koi8-r'), 'cp1251')} Всё.")[0] == f"Да. {RUSSIAN} Всё."
+
+
+def test_text_garbled_many_times():
+    text = "für später Straße"
+    for _ in range(5):
+        text = mojibake.read_as(text.encode(), "cp1252")
+    assert mojibake.repair(text)[0] == "für später Straße"
+
+
 JAPANESE = "図書館の質問が確認された。つつの設定は古い、カタカナとも「会議」"
 
 
@@ -192,7 +252,7 @@ def test_twice_garbled_and_lost():
     assert mojibake.repair("gar�on")[2]
 
 
-@pytest.mark.parametrize("text", [RUSSIAN, RUSSIAN.upper(), GREEK, POLISH, "São 5°C, ATENÇÃO: NÃO! «Île» © 2025 £40", "¿Qué tal? ¡Sí!", "│ a │ b │\n├───┼───┤\n└───┴───┘", "théâtre, THÉÂTRE, Schlüöße", "Тhе rеpоrt ɑոd ԁаtа", "m² and x³", "質問が確認された", "", None, "plain", "🙂 👩‍💻"])
+@pytest.mark.parametrize("text", [RUSSIAN, RUSSIAN.upper(), GREEK, POLISH, "São 5°C, ATENÇÃO: NÃO! «Île» © 2025 £40", "¿Qué tal? ¡Sí!", "│ a │ b │\n├───┼───┤\n└───┴───┘", "théâtre, THÉÂTRE, Schlüöße", "Тhе rеpоrt ɑոd ԁаtа", "m² and x³", "質問が確認された", "", None, "plain", "🙂 👩‍💻", "MAÇÃ” verde, MAÇÃ’", "5 Å\xa0apart", "L’ÎLE “Été” É", "····················", "©©©©©© °°°°°", "££££ ¥¥¥¥", "éèêë créée", "ПРОВЕРКА СИСТЕМЫ", "Žižka Œuvre", "שלום", "สวัสดี", "안녕", "\xad\xa0\xa0\xa0"])
 def test_correct_text_stays(text):
     assert mojibake.repair(text) == (text, 0, False)
 
