@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -218,11 +218,18 @@ def similar_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float
     heads = profiles.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
     heads = materialise(heads, "heads")
     release(profiles)
-    each = heads.select("id", "n", F.explode("members").alias("m")).select("id", "n", F.col("m").bitwiseAND(F.lit(~SIDE)).alias("key"), F.col("m").bitwiseAND(F.lit(SIDE)).alias("side"), F.col("m").bitwiseAND(F.lit(CROSS)).alias("cross"))
+    # a posting carries the map of its set folded to half, which ends most pairs where they arise
+    half = MAP_WORDS // 2
+    folded = [F.col(f"m{k}").bitwiseOR(F.col(f"m{k + half}")).alias(f"w{k}") for k in range(half)]
+    each = heads.select("id", "n", *folded, F.explode("members").alias("m")).select("id", "n", *[f"w{k}" for k in range(half)], F.col("m").bitwiseAND(F.lit(~SIDE)).alias("key"), F.col("m").bitwiseAND(F.lit(SIDE)).cast("tinyint").alias("side"))
     x, y = each.alias("x"), each.alias("y")
-    apart = F.when(F.col("x.cross") > 0, F.col("x.side") < F.col("y.side")).otherwise(F.col("x.id") < F.col("y.id"))
+    total = lambda columns: reduce(lambda u, v: u + v, [F.bit_count(c) for c in columns])
+    spare = lambda side: F.col(f"{side}.n") - total([F.col(f"{side}.w{k}") for k in range(half)])
+    most = total([F.col(f"x.w{k}").bitwiseAND(F.col(f"y.w{k}")) for k in range(half)]) + F.least(spare("x"), spare("y"))
+    room = most * (1 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold - 1e-9
+    apart = F.when(F.col("x.key").bitwiseAND(F.lit(CROSS)) > 0, F.col("x.side") < F.col("y.side")).otherwise(F.col("x.id") < F.col("y.id"))
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold
-    met = x.join(y, F.col("x.key") == F.col("y.key")).where(apart & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    met = x.join(y, F.col("x.key") == F.col("y.key")).where(apart & fits & room).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     met = materialise(met, "met")
     maps = heads.select("id", "n", "spare", *MAP_COLUMNS)
     hopeful = met.join(maps.alias("x"), F.col("a") == F.col("x.id")).join(maps.alias("y"), F.col("b") == F.col("y.id")).where(may_overlap(threshold)).select("a", "b")
