@@ -190,12 +190,12 @@ def _folded(text: str, origins: list[int] | None) -> tuple[str, list[int] | None
     return out, [origins[i] for i in kept] if origins else kept
 
 
-def report(text: str | None, decode: bool = True, fold: bool = True) -> dict | None:
+def report(text: str | None, decode: bool = True, fold: bool = True, max_chars: int = MAX_CHARS, max_depth: int = decoding.MAX_DEPTH) -> dict | None:
     """The normalisation report of one text; origins of a view are null where they are its own positions."""
     if text is None:
         return None
-    long = len(text) > MAX_CHARS
-    text = text[:MAX_CHARS]
+    long = len(text) > max_chars
+    text = text[:max_chars]
     if text.isascii():
         canonical, origins, counts = text, None, {"zero_width": 0, "bidi": 0, "nfkc": 0, "confusable": 0}
     else:
@@ -205,7 +205,7 @@ def report(text: str | None, decode: bool = True, fold: bool = True) -> dict | N
         views.append({"kind": "folded", "text": view[0], "depth": 0, "provenance": "leet+spaced", "origins": view[1]})
     depth, capped = 0, False
     if decode:
-        found, capped = decoding.layered(canonical)
+        found, capped = decoding.layered(canonical, max_depth)
         place = origins if origins is not None else range(len(canonical))
         for d in found:
             low = place[d.start] if d.start < len(place) else 0
@@ -220,12 +220,12 @@ def report(text: str | None, decode: bool = True, fold: bool = True) -> dict | N
     return {"length": length, "truncated": long, "max_depth": depth, "capped": capped, **counts, "score": max(0.0, min(1.0, score)), "views": views}
 
 
-def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True, fold: bool = True, gate: Callable[[], Callable[[str], list[int]]] | None = None) -> DataFrame:
+def normalise(df: DataFrame, text_col: str, out: str = "l0", decode: bool = True, fold: bool = True, max_chars: int = MAX_CHARS, max_depth: int = decoding.MAX_DEPTH, gate: Callable[[], Callable[[str], list[int]]] | None = None) -> DataFrame:
     """df with the report as a struct column; with a gate (made once a batch) each view says which rules it may match."""
 
     @F.pandas_udf(REPORT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [report(t or "", decode, fold) for t in texts]
+        rows = [report(t or "", decode, fold, max_chars, max_depth) for t in texts]
         may = gate() if gate else None
         for r in rows:
             for v in r["views"]:
@@ -242,3 +242,22 @@ def views(df: DataFrame, id_col: str, report_col: str = "l0") -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.posexplode(F.col(f"{report_col}.views")).alias("ord", "v")).select("id", "ord", "v.*").drop("gate")
 
 
+def views_of(report_col: Column, kind: str) -> Column:
+    """The views of one kind, in their order."""
+    return F.filter(report_col["views"], lambda v: v["kind"] == kind)
+
+
+def view_of(report_col: Column, kind: str) -> Column:
+    """The first view of a kind, null without one."""
+    return F.try_element_at(views_of(report_col, kind), F.lit(1))
+
+
+def canonical_text(report_col: Column) -> Column:
+    return view_of(report_col, "canonical")["text"]
+
+
+def without_quotations(text: Column) -> Column:
+    """Prose without code blocks, code spans and quotations of up to 400 characters, each replaced by a blank."""
+    for pattern in (r"(?s)```.*?```", r"`[^`]*`", r'"[^"]{0,400}"'):
+        text = F.regexp_replace(text, pattern, " ")
+    return text

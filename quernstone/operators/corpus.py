@@ -100,6 +100,11 @@ def leaking_clusters(assigned: DataFrame) -> DataFrame:
     return per.where("partitions > 1")
 
 
+def leaking_rows(assigned: DataFrame) -> DataFrame:
+    """The rows of clusters in more than one partition."""
+    return assigned.join(leaking_clusters(assigned).select("cluster"), "cluster", "left_semi")
+
+
 def naive_leakage(clustered: DataFrame, seed: int = 0) -> DataFrame:
     """(leakage): the share of test rows of a random 80/10/10 split whose cluster is in its training part.
 

@@ -51,6 +51,11 @@ def batch_loss(rows: DataFrame, by: str) -> DataFrame:
     return rows.select(by, loss.alias("l"), weight.alias("w")).groupBy(by).agg((F.sum("l") / F.greatest(F.sum("w"), F.lit(1.0))).alias("loss"))
 
 
+def mean_loss(rows: DataFrame, by: str) -> DataFrame:
+    """(loss): the mean of the losses of the batches, as an evaluation reports it."""
+    return batch_loss(rows, by).agg(F.avg("loss").alias("loss"))
+
+
 def text_features(features: int = 1 << 14) -> Pipeline:
     """Hashed words and word pairs."""
     return Pipeline(stages=[

@@ -341,6 +341,21 @@ def report_matches(rules: list[Rule], views: str, scope: str) -> Column:
     return F.expr(f"transform(array_sort(transform({first}, x -> named_struct('w', -x.weight, 'rule', x.rule, 'x', x))), x -> x.x)")
 
 
+def explained(matches: Column, text: Column, rules: list[Rule] | None = None) -> Column:
+    """Matches of a report with the name of the rule, the matched text (up to 200 characters) and why it counts."""
+    names = {r.id: r.name for r in (shipped_rules() if rules is None else rules)}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map(F.lit(""), F.lit(""))
+
+    def one(m: Column) -> Column:
+        name = F.try_element_at(table, m["rule"])
+        source = F.when(m["provenance"].isNotNull(), F.concat(F.lit(": "), m["provenance"])).otherwise(F.lit(""))
+        where = F.when(m["view"] == "canonical", F.lit("")).otherwise(F.concat(F.lit(" in the "), m["view"], F.lit(" view"), source))
+        held = F.substring(text, m["at"]["s"] + 1, F.least(m["at"]["e"] - m["at"]["s"], F.lit(200)))
+        return m.withField("name", name).withField("text", held).withField("rationale", F.concat(m["rule"], F.lit(", "), F.coalesce(name, F.lit("?")), F.lit(", fires"), where))
+
+    return F.transform(matches, one)
+
+
 # -- the same in SQL, for the check of ASCII texts -----------------------------------------------
 
 

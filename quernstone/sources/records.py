@@ -44,13 +44,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = ROW) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_source(spark: SparkSession, source: Source, key: str = "key") -> DataFrame:
+def location(source: Source, mirror: str | None = None) -> str:
+    """The folder of a source: its own path, or the folder of its name in a mirror of remote sources."""
+    if source.path is not None:
+        return source.path
+    if mirror is None:
+        raise ValueError(f"{source.name} is remote and no mirror is given")
+    return f"{mirror.rstrip('/')}/{source.name}"
+
+
+def read_sources(spark: SparkSession, sources: list[Source], mirror: str | None = None, key: str = "key") -> DataFrame:
+    """Rows of all sources of tier 1, local and remote; the others are never read."""
+    return reduce(DataFrame.unionByName, [read_source(spark, s, key, mirror) for s in sources if s.tier == 1])
+
+
+def read_source(spark: SparkSession, source: Source, key: str = "key", mirror: str | None = None) -> DataFrame:
     """Rows of one source, one pass per split; ids are source:split:key of a stable key column."""
     if source.tier != 1:
         raise ValueError(f"{source.name} is gated and is not read")
     parts = []
     for split in source.splits:
-        raw = spark.read.format(source.format).load(f"{source.path}/{split}")
+        raw = spark.read.format(source.format).load(f"{location(source, mirror)}/{split}")
         made_id = F.concat_ws(":", F.lit(source.name), F.lit(split), F.col(key).cast("string"))
         parts.append(raw.select(made_id.alias("id"), F.col(source.text).alias("text"), decoded_label(F.col(source.label), source.labels).alias("label"), F.lit(source.name).alias("source"), F.lit(split).alias("source_split"), F.lit(source.license).alias("license"), F.lit(source.tier).alias("tier")))
     return reduce(DataFrame.unionByName, parts)
@@ -77,10 +91,32 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def audit_report(findings: dict[str, int], leaking: int, naive: float) -> str:
-    """The audit as Markdown."""
+def audit_report(findings: dict[str, int], leaking: int, naive: float, clusters: list[tuple[int, int, int]] = ()) -> str:
+    """The audit as Markdown; `clusters` are (cluster, partitions, rows) of those that leak."""
     lines = ["# Leakage audit", "", f"Leaking clusters after remediation: {leaking}", f"Leakage of a random split: {naive:.1%}", "", "| finding | count |", "|-|-:|"]
-    return "\n".join([*lines, *(f"| {k} | {v} |" for k, v in findings.items())]) + "\n"
+    lines += [f"| {k} | {v} |" for k, v in findings.items()]
+    if clusters:
+        lines += ["", "| cluster | partitions | rows |", "|-:|-:|-:|", *(f"| {c} | {p} | {n} |" for c, p, n in clusters)]
+    return "\n".join(lines) + "\n"
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One document as a single file in a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_audit(findings: DataFrame, leaking: DataFrame, naive: float, path: str, listed: int = 100) -> None:
+    """The audit report of `corpus.findings` and `corpus.leaking_clusters`, which lists the largest of those that leak."""
+    worst = [tuple(r) for r in leaking.select("cluster", "partitions", "rows").orderBy(F.desc("rows"), "cluster").limit(listed).collect()]
+    write_text(findings.sparkSession, audit_report(findings.first().asDict(), leaking.count(), naive, worst), path)
+
+
+def write_weak_labels(rows: DataFrame, coverage: DataFrame, path: str, partition: str = "partition") -> None:
+    """Rows (id, target, partition) with a target as JSON lines, a folder a partition, and the coverage report beside them."""
+    rows.where("target IS NOT NULL").select("id", "target", partition).write.mode("overwrite").partitionBy(partition).json(f"{path}/labels")
+    lines = ["# Weak labels", "", "| " + " | ".join(coverage.columns) + " |", "|" + "-|" * len(coverage.columns)]
+    lines += ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in coverage.orderBy(coverage.columns[0]).collect()]
+    write_text(rows.sparkSession, "\n".join(lines) + "\n", f"{path}/coverage")
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
