@@ -3,10 +3,10 @@
 Minwise hashes of the word pairs of each record are cut into bands; records meet in a bucket when a
 whole band agrees, and only pairs of a training with an evaluation record become candidates. A bit map
 of 256 bits per set bounds their overlap from above, which ends most candidates that share no more than
-an opening; the exact similarity of the others is computed over whole texts. With 112 bands of 4 rows a
-pair at similarity 0.5 is missed with a chance of (1 - 1/16)**112 = 0.07 %, less above.
+an opening; the exact similarity of the others is computed over whole texts. With 114 bands of 4 rows a
+pair at similarity 0.5 is missed with a chance of (1 - 1/16)**114 = 0.06 %, less above.
 
-The bands are dealt in rounds, each with its own pass over the texts, so that only a quarter of the
+The bands are dealt in rounds, each with its own pass over the texts, so that only a third of the
 bucket entries is on disk at once. An entry is ten bytes: the bucket and the print of a set, packed by
 the task and stretch of buckets it belongs to. A task reads its stretches in order and holds one at a
 time. A bucket that would give very many pairs leaves its task in chunks, which then meet chunk by chunk
@@ -35,7 +35,7 @@ from quernstone.llm.jaccard import sets_of, verified
 from quernstone.operators.similarity import MAP_COLUMNS, MAP_WORDS, bit_maps, may_overlap
 from quernstone.plans.runtime import materialise, release, text_slices
 
-BANDS, ROWS, ROUNDS = 112, 4, 4
+BANDS, ROWS, ROUNDS = 114, 4, 3
 #: Entries of a stretch of buckets, and tasks of a round; more entries make more stretches a task.
 STRETCH_ENTRIES = 2_000_000
 MOST_TASKS = 20_000
