@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -394,6 +395,8 @@ def _readings(word: str, which: frozenset[int]) -> dict[int, tuple[str, float]]:
     return out
 
 
+#: How far back the word before a stretch may begin.
+LONGEST_WORD = 400
 _TOKEN = re.compile(r"[^\s.,;:!?()\"]+")
 _BEFORE = re.compile(r"([^\s.,;:!?()\"]+)[ .,;:!?()\"]{1,3}\Z")
 _AFTER = re.compile(r"[ .,;:!?()\"]{1,3}([^\s.,;:!?()\"]+)")
@@ -480,7 +483,7 @@ def letter_spans(text: str, fixed: bytes = b"") -> list[Span]:
             if m.start() + first not in known and 1 not in fixed[m.start() + first : m.end() + first] and (word := _same_pair(m.group(), k, alphabet)):
                 found.append((m.start() + first, m.end() + first, word))
         # and so were those right beside the stretch, unless they may be ordinary words of the same alphabet
-        while not within and (m := _BEFORE.search(text[:first])) and (word := _same_pair(m.group(1), k, alphabet)):
+        while not within and (m := _BEFORE.search(text, max(0, first - LONGEST_WORD), first)) and (word := _same_pair(m.group(1), k, alphabet)):
             first = m.start(1)
             found.append((first, m.end(1), word))
         while not within and (m := _AFTER.match(text, last)) and (word := _same_pair(m.group(1), k, alphabet)):
@@ -595,12 +598,16 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
 
 def _without_chance(spans: list[Span], words: list[Span]) -> list[Span]:
     """The spans but those that make up less than two thirds of a word which a single-byte pair explains as a whole."""
-    out = spans
+    starts, dropped = [s[0] for s in spans], set()
     for a, b, _ in words:
-        inside = [s for s in spans if a <= s[0] and s[1] <= b]
-        if inside and 3 * sum(s[1] - s[0] for s in inside) < 2 * (b - a):
-            out = [s for s in out if s not in inside]
-    return out
+        first = at = bisect_left(starts, a)
+        held = 0
+        while at < len(spans) and spans[at][1] <= b:
+            held += spans[at][1] - spans[at][0]
+            at += 1
+        if 3 * held < 2 * (b - a):
+            dropped.update(range(first, at))
+    return [s for i, s in enumerate(spans) if i not in dropped]
 
 
 def _replaced(text: str, fixed: bytes, spans: list[Span]) -> tuple[str, bytes]:
