@@ -398,7 +398,7 @@ _LEAK_KINDS = [(rule, p, "true") for rule, p in egress.SECRETS] + [
 def salted_findings(spark: SparkSession, d: str) -> DataFrame:
     """What is found in outgoing texts made for every pattern, with its span."""
     given = spark.createDataFrame(_LEAK_ROWS, "id string, t string")
-    return egress.inspect(given, "t").select("id", F.explode("findings").alias("f")).select("id", "f.rule", "f.s", "f.e")
+    return egress.inspect(given, "t").select("id", F.explode_outer("findings").alias("f")).where("f IS NOT NULL").select("id", "f.rule", "f.s", "f.e")
 
 
 @query()

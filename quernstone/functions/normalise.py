@@ -258,6 +258,7 @@ def canonical_text(report_col: Column) -> Column:
 
 def without_quotations(text: Column) -> Column:
     """Prose without code blocks, code spans and quotations of up to 400 characters, each replaced by a blank."""
+    # fixed values: the shapes of all three
     for pattern in (r"(?s)```.*?```", r"`[^`]*`", r'"[^"]{0,400}"'):
         text = F.regexp_replace(text, pattern, " ")
     return text
