@@ -16,9 +16,8 @@ in a cell of the diagonal, those of two blocks in one cell beside it, so a pair
 holds more than about HOT documents on either side.
 
 Groups of copies cannot flood a list: documents with equal sets are one representative from the
-start, and a first pass links documents to a leader that shares three of the first members of its
-prefix. The exhaustive pass then only pairs documents of different groups, which loses no link between
-groups.
+start, and a first pass links documents to a leader that shares three drawn members of its prefix. The
+exhaustive pass then only pairs documents of different groups, which loses no link between groups.
 
 Null, empty and one-word texts are in no group. Any id type that orders is accepted; a repeated id
 counts once. Other columns are ignored.
@@ -52,8 +51,8 @@ SURVIVING = 0.25
 #: Postings of a task, and the documents of a member from which they are cut into blocks of so many.
 TASK_POSTINGS = 800_000
 HOT = 20_000
-#: Places in the prefix whose members lead to a leader.
-LEADING = ((0, 1, 2), (1, 2, 3), (2, 3, 4), (0, 1, 3), (0, 2, 3), (3, 4, 5))
+#: Keys that lead to a leader, and the members of the prefix that each of them is made of.
+KEYS, KEY_MEMBERS = 6, 3
 #: Pairs made at once, and candidates a task holds before it sends them.
 CHUNK = 1_500_000
 HELD_PAIRS = 6_000_000
@@ -110,20 +109,16 @@ def _bitmaps(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 
 def _leading(members: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """For each document the hashes of three members each from the start of its prefix."""
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    most = max(max(places) for places in LEADING) + 1
-    first = np.zeros((len(counts), most), np.uint64)
-    for j in range(most):
-        have = counts > j
-        first[have, j] = members[starts[:-1][have] + j]
-    keys, known = np.zeros((len(counts), len(LEADING)), np.uint64), np.zeros((len(counts), len(LEADING)), bool)
-    for k, places in enumerate(LEADING):
-        known[:, k] = counts > max(places)
-        for j in places:
-            keys[:, k] = mix(keys[:, k] * np.uint64(31) + first[:, j])
-    ends = np.concatenate([[0], np.cumsum(known.sum(axis=1))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[known].view(np.int64)))
+    """For each document with a prefix KEYS hashes of KEY_MEMBERS of its members, each the least under a hash function of its own."""
+    some = counts > 0
+    starts = (np.cumsum(counts) - counts)[some]
+    keys = np.zeros((KEYS, int(some.sum())), np.uint64)
+    if len(members):
+        for k in range(KEYS * KEY_MEMBERS):
+            salted = mix(members ^ np.uint64(0x51ED270B * (k + 1)))
+            keys[k // KEY_MEMBERS] = mix(keys[k // KEY_MEMBERS] * np.uint64(31) + np.minimum.reduceat(salted, starts) + np.uint64(k))
+    ends = np.concatenate([[0], np.cumsum(some * KEYS)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.T.reshape(-1).view(np.int64)))
 
 
 def _profiles(words: str, threshold: float, codes: object, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -344,9 +339,9 @@ def similar_groups(rows: DataFrame, id_col: str = "id", text_col: str = "text",
     copies = materialise(copies, "copies")
     heads = profiles.join(copies.select(F.col("b").alias("id")), "id", "left_anti")
 
-    starts = heads.select("id", F.posexplode("leading").alias("k", "key"))
-    leaders = starts.groupBy("k", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("k", "key", "a")
-    likely = materialise(starts.join(leaders, ["k", "key"]).where("id > a").select("a", F.col("id").alias("b")).distinct(), "likely")
+    starts = heads.select("id", F.explode("leading").alias("key")).distinct()
+    leaders = starts.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    likely = materialise(starts.join(leaders, "key").where("id > a").select("a", F.col("id").alias("b")).distinct(), "likely")
     led = verified(likely, texts, words, threshold, "led").select("a", "b")
     release(likely)
     parts = connected_groups(led, "a", "b")

@@ -208,6 +208,22 @@ def test_a_pair_meets_once_in_the_cells_of_a_member():
     assert len(met) == docs * (docs - 1) // 2 == len({tuple(sorted(p)) for p in met}) and max(map(len, lists.values())) < docs
 
 
+def test_near_copies_share_a_leader():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    docs = [np.concatenate([rng.permutation(base)[:54], rng.integers(0, 1 << 63, 6).astype(np.uint64)]) for _ in range(300)]
+    keys = neardup._leading(np.concatenate(docs), np.array([len(d) for d in docs])).to_pylist()
+    groups = roots([(f"d{i:03}", f"k{k}") for i, own in enumerate(keys) for k in own])
+    assert all(len(own) == neardup.KEYS for own in keys)
+    most = defaultdict(int)
+    for i in range(300):
+        most[groups[f"d{i:03}"]] += 1
+    assert max(most.values()) > 280
+    assert neardup._leading(np.zeros(0, np.uint64), np.zeros(3, np.int64)).to_pylist() == [[], [], []]
+
+
 def test_no_similar_groups(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (None, "a b c")], "id long, text string")
     assert neardup.similar_groups(df).count() == 0
