@@ -157,13 +157,15 @@ def alphabets() -> dict[str, frozenset[str]]:
     return {name: frozenset(order + order.upper() + ("ЁΆΈΉΊΌΎΏ" if name in ("CYRILLIC", "GREEK") else "")) for name, order in FREQUENT.items()}
 
 
-@lru_cache(maxsize=1)
-def letter_automaton() -> object:
-    """Pairs of letters of a single-byte encoding as another one shows them."""
+@lru_cache(maxsize=2)
+def letter_automaton(within: bool) -> object:
+    """Pairs of letters of a single-byte encoding as another one shows them: within Cyrillic, or as letters and signs of the west."""
     import ahocorasick
 
     pairs: dict[str, set[int]] = {}
     for k, (true, wrong) in enumerate(LETTERWISE):
+        if within != (wrong in ("koi8-r", "cp1251")):
+            continue
         own = {}
         for c in sorted(alphabets()[ALPHABET_OF.get(true, "CYRILLIC")]):
             try:
@@ -438,7 +440,11 @@ def _settled(words: list[tuple[int, int, dict[int, tuple[str, float]], float]])
 def letter_spans(text: str, fixed: bytes = b"") -> list[Span]:
     """Whole words of Cyrillic, Greek, Hebrew, Arabic or Thai letters that another single-byte encoding shows as others; what is fixed stays."""
     runs: list[list] = []
-    for end, which in letter_automaton().iter(text):
+    hits = letter_automaton(False).iter(text)
+    if _INVERTED.search(text):
+        # only a word in the wrong letter case tells that Cyrillic was taken for other Cyrillic
+        hits = sorted([*hits, *letter_automaton(True).iter(text)], key=lambda h: h[0])
+    for end, which in hits:
         a, b = end - 1, end + 1
         if runs and runs[-1][1] >= a + 1 and runs[-1][1] <= b and (both := runs[-1][2] & which):
             runs[-1][1], runs[-1][2] = b, both
