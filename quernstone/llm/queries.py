@@ -136,3 +136,10 @@ SQL = {
             SELECT e.b, w.root FROM walk w JOIN edges e ON e.a = w.node WHERE w.root < e.b)
         SELECT node AS id, min(root) AS group_id FROM walk GROUP BY node""",
 }
+
+SQL["p3_report"] = f"""
+        WITH found AS ({SQL['p3_found']}),
+        ends AS (SELECT id_a AS id FROM found UNION ALL SELECT id_b FROM found),
+        each AS (SELECT id, count(*) AS pairs FROM ends GROUP BY id)
+        SELECT source_split AS split, source, sum(pairs)::BIGINT AS pairs, count(*) AS rows
+        FROM each JOIN corpus_rows USING (id) WHERE source_split IN ('validation', 'test') GROUP BY 1, 2"""
