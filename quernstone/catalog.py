@@ -923,7 +923,7 @@ def rejected_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Linear heads on hashed words, fitted on a sample of at most 5,000 labelled rows, applied to all rows."""
+    """The benign head alone on hashed words, fitted on a sample of at most 5,000 labelled rows, applied to all rows; `layer_scores` fits all eight."""
     rows = table(spark, d, "corpus_rows").where("text IS NOT NULL").select("id", "text", "label", "source_split")
     sample = rows.where("source_split = 'train' AND label IS NOT NULL").orderBy(F.md5("id")).limit(5000)
     target = F.array(*[F.lit(0.0)] * 7, (1 - F.col("label")).cast("double"))
