@@ -1,6 +1,7 @@
 """Ranks, running sums and gaps over several partitions."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -42,3 +43,39 @@ def test_sessions_of_a_hot_key(spark):
         want[o] = n
     assert got == want
     assert conversation.sessions(spark.createDataFrame([], "key string, ts double, ord string"), "key", "ts", "ord").count() == 0
+
+
+def test_risk_over_long_sessions(spark):
+    """One session of 30,000 turns beside short ones, over several ranges and many batches, against a plain walk."""
+    rng = random.Random(5)
+    rows, clock = [], 0.0
+    for i in range(32_000):
+        clock += rng.choice([1.0, 60.0, 300.0])
+        key = "hot" if i < 30_000 else f"k{rng.randrange(300)}"
+        labels = rng.choice([[], [], ["x"], ["tool_abuse"]]) if key == "hot" and i < 20_000 else rng.choice([[], ["tool_abuse"], ["role_play_jailbreak"]])
+        rows.append((key, clock, f"{i:05}", rng.choice([0.0, 0.05, 0.1, 0.2, rng.random() / 3]), rng.randrange(5), labels, rng.choice([None, 0.2, 0.8])))
+    want, last = {}, None
+    for key, t, o, s, v, labels, sim in sorted(rows, key=lambda r: r[:3]):
+        if not last or last[0] != key or t - last[1] >= conversation.TTL_S:
+            session = last[2] + 1 if last and last[0] == key else 0
+            turn, risk, had, before, scores = 0, 0.0, False, 0, []
+        turn, scores = turn + 1, [*scores, s][-conversation.WINDOW :]
+        risk = (risk * 0.5 ** ((t - last[1]) / conversation.HALF_LIFE_S) if turn > 1 else 0.0) + max(0.0, s - conversation.NOISE)
+        runs = [(i, j) for i in range(len(scores)) for j in range(i + 2, len(scores)) if all(a < b for a, b in zip(scores[i:j], scores[i + 1 : j + 1]))]
+        persona = had or "role_play_jailbreak" in labels
+        hard = risk >= 0.6 or (had and "tool_abuse" in labels) or (before >= 3 and sim == 0.2)
+        state = 3 if hard else 2 if persona or any(scores[j] - scores[i] >= 0.15 for i, j in runs) else 1 if risk >= 0.15 else 0
+        want[o] = (key, session, turn, round(risk, 6), state, max(v, conversation.FLOORS[state]))
+        had, before, last = persona, v, (key, t, session)
+    df = spark.createDataFrame(rows, "key string, ts double, ord string, score double, verdict int, labels array<string>, sim double")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, "700")
+    try:
+        began = time.monotonic()
+        out = conversation.follow(df, "key", "ts", "ord", "score", "verdict", "labels", "sim").collect()
+    finally:
+        spark.conf.set(limit, usual)
+    assert time.monotonic() - began < 60
+    assert {r.ord: (r.key, r.session, r.turn, round(r.risk, 6), r.state, r.floored) for r in out} == want
+    assert len({r.state for r in out}) == 4 and max(r.turn for r in out) == 30_000
