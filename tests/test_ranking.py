@@ -79,3 +79,26 @@ def test_risk_over_long_sessions(spark):
     assert time.monotonic() - began < 60
     assert {r.ord: (r.key, r.session, r.turn, round(r.risk, 6), r.state, r.floored) for r in out} == want
     assert len({r.state for r in out}) == 4 and max(r.turn for r in out) == 30_000
+
+
+def test_similarity_of_turns_by_their_vectors(spark):
+    """Turns that come with vectors are followed as turns that come with their similarity to the one before."""
+    rng = random.Random(6)
+    rows, before = [], {}
+    for i in range(600):
+        key = "hot" if i % 6 else f"k{i % 7}"
+        vector = rng.choice([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8]])
+        sim = sum(a * b for a, b in zip(vector, before[key])) if key in before else None
+        before[key] = vector
+        rows.append((key, i * 200.0, f"{i:05}", 0.05, rng.randrange(5), [], sim, vector))
+    df = spark.createDataFrame(rows, "key string, ts double, ord string, score double, verdict int, labels array<string>, sim double, vector array<float>")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, "50")
+    columns = ("key", "ts", "ord", "score", "verdict", "labels")
+    try:
+        want = conversation.follow(df, *columns, "sim").orderBy("ord").collect()
+        got = conversation.follow(df, *columns, vector_col="vector").orderBy("ord").collect()
+    finally:
+        spark.conf.set(limit, usual)
+    assert got == want and len({r.state for r in got}) == 2
